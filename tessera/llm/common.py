@@ -65,6 +65,14 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def parted(docs: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of docs whose keys are in ids, and the rest; where there are too many ids to broadcast, all of docs and None."""
+    if ids.count() > BROADCAST_IDS:
+        return docs, None
+    ids = F.broadcast(ids.select(*keys))
+    return docs.join(ids, keys, "left_semi"), docs.join(ids, keys, "left_anti")
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """Applies a function from an Arrow batch to a dict of columns; rows are only held batch by batch."""
     importable(df.sparkSession)

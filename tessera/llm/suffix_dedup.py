@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_types, byte_slices, cut, freed, importable, map_arrow, saved
+from .common import arrow_types, byte_slices, cut, freed, importable, map_arrow, parted, saved
 from .suffix_array import permuted_lcp, suffix_array
 
 GRAM = 20
 #: Different neighbourhoods of one minimizer from which hashed windows decide.
 BIG = 20_000
 #: Bytes that are suffix-sorted together.
-SHARD = 4 << 20
+SHARD = 1 << 20
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -190,8 +190,8 @@ def removals(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
     copies = seen.join(first.select("h", "c", "f"), ["h", "c"]).filter(F.struct("did", "k", "start") != F.struct("f.did", "f.k", "f.start")).select("did", "k", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
     many = first.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     left = first.select("h", "f.*").join(many, "h")
-    wanted = left.groupBy("did", "k").agg(F.collect_list(F.struct("h", "start", "n", "kinds")).alias("places"))
-    there = wanted.join(keyed.select("did", "k", "b"), ["did", "k"]).select("did", "k", "b", "places")
+    wanted = saved(left.groupBy("did", "k").agg(F.collect_list(F.struct("h", "start", "n", "kinds")).alias("places")))
+    there = wanted.join(parted(keyed.select("did", "k", "b"), wanted, ["did", "k"])[0], ["did", "k"]).select("did", "k", "b", "places")
     schema = "h long, did long, k long, start long, b binary"
     few = there.withColumn("places", F.filter("places", lambda p: p["kinds"] <= big)).filter(F.size("places") > 0)
     lots = there.withColumn("places", F.filter("places", lambda p: p["kinds"] > big)).filter(F.size("places") > 0)
@@ -237,10 +237,17 @@ def _kept(batch: pa.RecordBatch) -> dict:
     return {"doc_id": ids, "n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": sha, "kept": kept}
 
 
+def _with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adds each document's spans; only texts that have some are shuffled, unless their ids are too many to broadcast."""
+    some, rest = parted(keyed, spans, ["did", "k"])
+    if rest is None:
+        return keyed.join(spans, ["did", "k"], "left")
+    return some.join(spans, ["did", "k"]).unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+
+
 def suffix_dedup(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
-    spans = removals(docs, length, big)
-    joined = _key(docs).join(spans, ["did", "k"], "left").select("doc_id", "b", "spans")
+    joined = _with_spans(_key(docs), removals(docs, length, big)).select("doc_id", "b", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return map_arrow(joined, _kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
@@ -266,7 +273,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(t).alias("k"), t.cast("binary").alias("b"), F.when(F.col("text").isNotNull(), F.lit(1)).alias("raw_null")).drop("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(keyed.join(spans, ["did", "k"], "left"), _rewritten(docs.columns, arrow_types(docs.sparkSession, schema)), schema)
+    return map_arrow(_with_spans(keyed, spans), _rewritten(docs.columns, arrow_types(docs.sparkSession, schema)), schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
