@@ -22,8 +22,9 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, size: int) -> np.ndar
     total, small = np.bincount(t, minlength=size), np.bincount(t[s], minlength=size)
     start = np.concatenate(([0], np.cumsum(total)[:-1]))
     mid, end = start + total - small, start + total
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     first = t[lms]
+    lms = lms.astype(np.int32)
     by_first = lms[np.argsort(first, kind="stable")]
     at = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=size))))
     head = start.copy()
@@ -99,7 +100,7 @@ def _sorted_names(names: np.ndarray) -> np.ndarray:
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative integers of a small alphabet whose last symbol is 0 and unique."""
     n, size = len(t), int(t.max()) + 1
-    t = t.astype(np.int64)
+    t = np.ascontiguousarray(t)
     if n == 1:
         return np.zeros(1, np.int64)
     s = types(t)
@@ -131,16 +132,16 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """PLCP: for each position, the common prefix with the suffix before it in order. Only irreducible values are compared."""
     n = len(t)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     has = phi >= 0
     reducible = has & (i > 0) & (phi > 0)
     reducible[reducible] = t[i[reducible] - 1] == t[phi[reducible] - 1]
-    live = np.flatnonzero(has & ~reducible)
-    value = np.zeros(n, np.int64)
+    live = np.flatnonzero(has & ~reducible).astype(np.int32)
+    value = np.zeros(n, np.int32)
     padded = np.concatenate((t, np.zeros(1, t.dtype)))
-    got = np.zeros(len(live), np.int64)
+    got = np.zeros(len(live), np.int32)
     at = np.arange(len(live))
     while len(at):
         p, q = live[at] + got[at], phi[live[at]] + got[at]

@@ -1,6 +1,6 @@
 """Removal of byte strings of a given length that start earlier in the corpus, decided by suffix arrays.
 
-The corpus is cut into shards by content: each run of windows that share a minimizer (the smallest hashed 20-gram of
+The corpus is cut into shards by content: each run of windows that share a minimizer (the smallest hashed 36-gram of
 a window) is a neighbourhood, and equal windows always fall under equal minimizers, so all places of a window meet in
 one shard. Minimizers seen once are dropped. Equal neighbourhoods fold into their first one; what differs is
 concatenated shard by shard, suffix-sorted by induced sorting, and permuted common prefixes give the windows that
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_types, byte_slices, cut, freed, importable, map_arrow, parted, saved
 from .suffix_array import permuted_lcp, suffix_array
 
-GRAM = 20
+GRAM = 36
 #: Different neighbourhoods of one minimizer from which hashed windows decide.
 BIG = 20_000
 #: Bytes that are suffix-sorted together.
@@ -49,10 +49,11 @@ def runs(parts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarr
             w = np.ndarray((n,), "<u4", data, 0, (1,))
             m = n - GRAM + 1
             g = v[:m] * _MUL[0]
-            g ^= g >> np.uint64(29)
-            g += v[8 : 8 + m] * _MUL[1]
+            for i in (8, 16, 24):
+                g ^= g >> np.uint64(29)
+                g += v[i : i + m] * _MUL[1]
             g ^= g >> np.uint64(31)
-            g += w[16 : 16 + m] * _MUL[2]
+            g += w[32 : 32 + m] * _MUL[2]
             g ^= g >> np.uint64(32)
             g *= _MUL[3]
             g ^= g >> np.uint64(29)
@@ -96,11 +97,11 @@ def _occurrences(length: int):
         did, k, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
         out, content = [], []
         for part, start, count, h in runs(parts, length):
-            out.append((did[part], k[part], start, count, h))
+            out.append((did[part], k[part], start << 7 | count, h))
             digest = xxhash.xxh3_64_intdigest
             content += [digest(parts[p][s : s + n]) for p, s, n in zip(part.tolist(), start.tolist(), (count + length - 1).tolist(), strict=True)]
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
-        return dict(zip(("did", "k", "start", "n", "h"), cols, strict=True)) | {"c": np.array(content, np.uint64).view(np.int64)}
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return dict(zip(("did", "k", "place", "h"), cols, strict=True)) | {"c": np.array(content, np.uint64).view(np.int64)}
 
     return rows
 
@@ -181,15 +182,17 @@ def removals(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
     """did, k, spans: what is to be removed from each document, as (start, end) in no order; documents without are absent."""
     spark = docs.sparkSession
     keyed = _key(docs)
+    # a place is a run's first window and, in seven bits, its number of windows
+    start, count = F.shiftright("place", 7), F.col("place").bitwiseAND(F.lit(127))
     again = map_arrow(keyed.select("b"), _hashes(length), "h long").groupBy("h").agg(F.count("*").alias("seen")).filter("seen > 1").select("h")
     again = cut(again)
-    seen = map_arrow(keyed.select("did", "k", "b"), _occurrences(length), "did long, k long, start long, n long, h long, c long")
+    seen = map_arrow(keyed.select("did", "k", "b"), _occurrences(length), "did long, k long, place long, h long, c long")
     seen = saved(seen.join(again.hint("shuffle_hash"), "h", "left_semi"))
     freed(spark)
-    first = saved(seen.groupBy("h", "c").agg(F.min(F.struct("did", "k", "start", "n")).alias("f")))
-    copies = seen.join(first.select("h", "c", "f"), ["h", "c"]).filter(F.struct("did", "k", "start") != F.struct("f.did", "f.k", "f.start")).select("did", "k", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
+    first = saved(seen.groupBy("h", "c").agg(F.min(F.struct("did", "k", "place")).alias("f")))
+    copies = seen.join(first.select("h", "c", "f"), ["h", "c"]).filter(F.struct("did", "k", "place") != F.col("f")).select("did", "k", start.alias("start"), (start + count + (length - 1)).alias("end"))
     many = first.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    left = first.select("h", "f.*").join(many, "h")
+    left = first.select("h", "f.*").join(many, "h").withColumns({"start": start, "n": count})
     wanted = saved(left.groupBy("did", "k").agg(F.collect_list(F.struct("h", "start", "n", "kinds")).alias("places")))
     there = wanted.join(parted(keyed.select("did", "k", "b"), wanted, ["did", "k"])[0], ["did", "k"]).select("did", "k", "b", "places")
     schema = "h long, did long, k long, start long, b binary"
