@@ -1,4 +1,6 @@
 """All queries of the collection operators, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import lifecycle, matching, scoring
+
+QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES
+ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE
