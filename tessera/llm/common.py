@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -73,8 +74,24 @@ def parted(docs: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame,
     return docs.join(ids, keys, "left_semi"), docs.join(ids, keys, "left_anti")
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """Applies a function from an Arrow batch to a dict of columns; rows are only held batch by batch."""
+def trimmed(run: Callable[[Iterator], Iterator], after: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """run, after whose partition the worker, which Spark keeps, gives its free memory back to the system."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if after:
+                after()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
+def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """Applies a function from an Arrow batch to a dict of columns; rows are only held batch by batch. after: runs at a partition's end."""
     importable(df.sparkSession)
     for k, v in ARROW.items():
         df.sparkSession.conf.set(k, v)
@@ -86,7 +103,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], sche
             if batch.num_rows and (out := rows(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := out[n], pa.Array) and c.type == t else pa.array(c, t) for n, t in zip(names, types, strict=True)], names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run, after), schema)
 
 
 def _fields(schema: str) -> list[str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW, byte_slices, importable, map_arrow, table
+from .common import ARROW, byte_slices, importable, map_arrow, table, trimmed
 
 DOCS, MODEL, BLOCK = 64, 16_384, 4096
 #: Letters of all languages together, so that the tables of many languages stay as small.
@@ -198,7 +198,7 @@ def with_language(docs: DataFrame) -> DataFrame:
     for k, v in ARROW.items():
         docs.sparkSession.conf.set(k, v)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    return docs.mapInArrow(_accepted(shared, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(trimmed(_accepted(shared, docs.columns.index("text"))), docs.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

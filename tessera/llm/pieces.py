@@ -27,7 +27,7 @@ from .common import byte_slices, map_arrow, table
 
 MARK = "▁"
 #: Words whose ids a worker keeps between batches.
-MEMORY = 500_000
+MEMORY = 400_000
 
 
 def default_model() -> str:
@@ -78,7 +78,7 @@ class Pieces:
     def stays_apart(self, a: str, b: str) -> bool:
         got = self.apart.get((a, b))
         if got is None:
-            if len(self.apart) > 400_000:
+            if len(self.apart) > 200_000:
                 self.apart.clear()
             got = self.apart[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return got
@@ -130,6 +130,12 @@ class Pieces:
 _OPEN: dict[str, Pieces] = {}
 
 
+def _forget(path: str):
+    """Empties the words' memory at a partition's end; the pairs stay, as they serve any text."""
+    return lambda: _OPEN[path].memory.clear() if path in _OPEN else None
+
+
+
 def opened(path: str) -> Pieces:
     if path not in _OPEN:
         _OPEN[path] = Pieces(path)
@@ -154,7 +160,8 @@ def tokenize(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
     """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip, and the ids."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    return map_arrow(docs.select("doc_id", "text"), _digest(path or default_model(), with_ids), schema)
+    path = path or default_model()
+    return map_arrow(docs.select("doc_id", "text"), _digest(path, with_ids), schema, _forget(path))
 
 
 def _texts(path: str):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_types, cut, freed, importable, map_arrow, table, without
+from .common import arrow_types, cut, freed, importable, map_arrow, table, trimmed, without
 
 BLOCK = 4096
 _BITS = 64
@@ -212,7 +212,7 @@ def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
         keys = keys.select("mask", "v", F.lit(0).cast("long").alias("pair"), "fp")
     dealt = keys.repartition("mask", "v", "pair").sortWithinPartitions("mask", "v", "pair")
     importable(distinct.sparkSession)
-    return dealt.mapInArrow(_edges(distance, arrow_types(distinct.sparkSession, "a long, b long")), "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(_edges(distance, arrow_types(distinct.sparkSession, "a long, b long"))), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_types, byte_slices, cut, freed, importable, map_arrow, parted, saved
+from .common import arrow_types, byte_slices, cut, freed, importable, map_arrow, parted, saved, trimmed
 from .suffix_array import permuted_lcp, suffix_array
 
 GRAM = 36
@@ -201,7 +201,7 @@ def removals(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
     shard = map_arrow(few, _bytes_of(length), schema).dropDuplicates(["h", "did", "k", "start"]).repartition("h").sortWithinPartitions("h")
     out = "did long, k long, start long, end long"
     importable(spark)
-    found = shard.mapInArrow(_shards(length, arrow_types(spark, out)), out)
+    found = shard.mapInArrow(trimmed(_shards(length, arrow_types(spark, out))), out)
     spans = copies.union(found)
     if many.filter(F.col("kinds") > big).limit(1).count():
         windows = saved(map_arrow(map_arrow(lots, _bytes_of(length), schema), _windows(length), "w binary, did long, k long, start long"))
