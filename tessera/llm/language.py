@@ -14,6 +14,7 @@ are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,12 +143,18 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model, from labelled documents that are not held out."""
+@lru_cache(maxsize=1)
+def built(texts: tuple[tuple[str, str], ...]) -> Model:
+    """A worker builds the tables from the sample once; the sample, not the tables, goes out with the tasks."""
+    return Model(dict(texts))
+
+
+def fit(docs: DataFrame) -> tuple[tuple[str, str], ...]:
+    """Each language's sample, from labelled documents that are not held out."""
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "doc_id", F.xxhash64("doc_id").alias("o"))
     top = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).filter(F.col("n") <= DOCS).select("doc_id", "lang", "o", "n").collect()
     if not top:
-        return Model({})
+        return ()
     langs = {r["lang"] for r in top}
     most = min(MODEL, MODEL_TOTAL // len(langs))
     texts = {r["doc_id"]: r["t"] for r in docs.filter(F.col("doc_id").isin([r["doc_id"] for r in top])).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, most).alias("t")).collect()}
@@ -158,15 +165,15 @@ def fit(docs: DataFrame) -> Model:
         got = " ".join(t[: 4 * share] for t in mine)[:most]
         if any(c.isalpha() for c in got):
             out[lang] = got
-    return Model(out)
+    return tuple(sorted(out.items()))
 
 
-def _predict(shared):
+def _predict(texts_of: tuple[tuple[str, str], ...]):
     def rows(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         lang, score = [], []
         for a, b in byte_slices([len(t) for t in texts], 4 << 20):
-            x, y = shared.value.predict(texts[a:b])
+            x, y = built(texts_of).predict(texts[a:b])
             lang += x
             score += y
         return {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": lang, "score": score}
@@ -176,17 +183,16 @@ def _predict(shared):
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "text", held_out().alias("held_out")), _predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", "text", held_out().alias("held_out")), _predict(fit(docs)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def _accepted(shared, column: int):
+def _accepted(texts_of: tuple[tuple[str, str], ...], column: int):
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(column).to_pylist()]
             for a, b in byte_slices([len(t) for t in texts], 4 << 20):
-                lang, _ = shared.value.predict(texts[a:b])
+                lang, _ = built(texts_of).predict(texts[a:b])
                 yield batch.slice(a, b - a).filter(pa.array([x != "und" for x in lang]))
 
     return run
@@ -197,8 +203,7 @@ def with_language(docs: DataFrame) -> DataFrame:
     importable(docs.sparkSession)
     for k, v in ARROW.items():
         docs.sparkSession.conf.set(k, v)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    return docs.mapInArrow(trimmed(_accepted(shared, docs.columns.index("text"))), docs.schema)
+    return docs.mapInArrow(trimmed(_accepted(fit(docs), docs.columns.index("text"))), docs.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

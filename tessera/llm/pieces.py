@@ -28,6 +28,8 @@ from .common import byte_slices, map_arrow, table
 MARK = "▁"
 #: Words whose ids a worker keeps between batches.
 MEMORY = 400_000
+#: Pairs of pieces whose answer it keeps.
+PAIRS = 300_000
 
 
 def default_model() -> str:
@@ -58,7 +60,10 @@ class Pieces:
         for p in names:
             ends.setdefault(p[-3:], set()).add(len(p))
         self.sizes = {e: tuple(sorted({*x, 1, *(() if len(e) < 3 else (2,))}, reverse=True)) for e, x in ends.items()}
-        self.apart: dict[tuple[str, str], bool] = {}
+        assert n <= 1 << 16 and 0 not in self.ids.values()
+        self.names = {i: p for p, i in self.ids.items()}
+        self.packs = [i.to_bytes(4, "little") for i in range(n)]
+        self.apart: dict[int, bool] = {}
         inner = [p for p in names if MARK in p.lstrip(MARK)]
         assert not inner, "pieces that cross words need whole texts as words"
         self.split = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if "\n" not in self.ids and not any("\n" in p for p in names) else f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -75,19 +80,19 @@ class Pieces:
             out[i : i + 2] = [out[i] + out[i + 1]]
         return out
 
-    def stays_apart(self, a: str, b: str) -> bool:
-        got = self.apart.get((a, b))
-        if got is None:
-            if len(self.apart) > 200_000:
-                self.apart.clear()
-            got = self.apart[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+    def stays_apart(self, key: int) -> bool:
+        """Whether two neighbouring pieces, given as first << 16 | second (first 0: none), are merged no further."""
+        x, y = self.names.get(key >> 16, ""), self.names[key & 0xFFFF]
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
+        got = self.apart[key] = self.merged(x + y) == ([x, y] if x else [y])
         return got
 
     def packed(self, words: Iterable[str]) -> dict[str, bytes]:
         """Little-endian ids of distinct words, by one depth-first pass over their trie."""
-        ids, sizes, apart, stays = self.ids, self.sizes, self.apart, self.stays_apart
+        find, sizes, apart, stays, packs = self.ids.get, self.sizes.get, self.apart.get, self.stays_apart, self.packs
         out: dict[str, bytes] = {}
-        before, tail, path = "", [""], [b""]
+        before, tail, path = "", [0], [b""]
         for w in sorted(words):
             n = min(len(w), len(before))
             k = 0
@@ -95,19 +100,24 @@ class Pieces:
                 k += 1
             del tail[k + 1 :], path[k + 1 :]
             for end in range(k + 1, len(w) + 1):
-                for size in sizes.get(w[max(0, end - 3) : end], (2, 1)):
+                for size in sizes(w[end - 3 if end > 3 else 0 : end], (2, 1)):
                     if (a := end - size) < 0:
                         continue
-                    piece = w[a:end]
-                    if size == 1 or piece in ids:
-                        ok = apart.get((tail[a], piece))
-                        if ok if ok is not None else stays(tail[a], piece):
-                            break
+                    piece = find(w[a:end])
+                    if piece is None:
+                        if size > 1:
+                            continue
+                        # no piece: bytes, and what follows begins anew
+                        tail.append(0)
+                        path.append(path[a] + b"".join((self.bytes_at + x).to_bytes(4, "little") for x in w[a].encode("utf-8", "surrogatepass")))
+                        break
+                    ok = apart(key := tail[a] << 16 | piece)
+                    if ok or ok is None and stays(key):
+                        tail.append(piece)
+                        path.append(path[a] + packs[piece])
+                        break
                 else:
                     raise AssertionError(f"no segmentation of {w[:end]!r}")
-                tail.append(piece)
-                i = ids.get(piece)
-                path.append(path[a] + (i.to_bytes(4, "little") if i is not None else b"".join((self.bytes_at + x).to_bytes(4, "little") for x in piece.encode("utf-8", "surrogatepass"))))
             out[w] = path[len(w)]
             before = w
         return out
