@@ -60,7 +60,8 @@ class SuffixAutomaton:
 
 
 class Model:
-    """Tables of all languages: entry (state, symbol) is the next state, flagged where a phrase ends."""
+    """Tables of all languages: entry (state, symbol) is the next state, flagged where a phrase ends. A symbol
+    that the language lacks belongs to the phrase that it ends."""
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
