@@ -60,7 +60,7 @@ def scores_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     out["proposed_tier"] = F.when(tier.isin(*TIERS), tier).otherwise(F.raise_error(F.concat(F.lit("unknown tier: "), tier)).cast("string"))
     out["family_id"] = F.coalesce(cell.get("family_id", F.lit(None).cast("string")), F.lit("unassigned"))
     flags = F.split(F.coalesce(cell.get("flags", F.lit(None).cast("string")), F.lit("")), r"\|")
-    out["flags"] = F.array_distinct(F.filter(F.transform(flags, F.trim), lambda x: x != ""))
+    out["flags"] = F.array_distinct(F.filter(F.transform(flags, lambda x: F.trim(x)), lambda x: x != ""))
     return d.select(*(v.alias(k) for k, v in out.items()))
 
 

@@ -45,4 +45,4 @@ def undone(events: DataFrame) -> DataFrame:
 
 def stream_latest(events: DataFrame, key: str, seq: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """Streaming counterpart of latest(): counts and last sequence of each key and hour, with late data bounded by a watermark."""
-    return events.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"), key).agg(F.count("*").alias("n"), F.max(seq).alias("last"))
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"), key).agg(F.count("*").alias("n"), F.max(seq).alias("last"))
