@@ -27,7 +27,7 @@ from .common import byte_slices, map_arrow, table
 
 MARK = "▁"
 #: Words whose ids a worker keeps between batches.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Pairs of pieces whose answer it keeps.
 PAIRS = 300_000
 
@@ -156,7 +156,7 @@ def _digest(path: str, with_ids: bool):
     def rows(batch: pa.RecordBatch) -> dict:
         p, texts = opened(path), batch.column(1).to_pylist()
         out = []
-        for a, b in byte_slices([len(t or "") for t in texts], 4 << 20):
+        for a, b in byte_slices([len(t or "") for t in texts], 1 << 20):
             for t, ids in zip(texts[a:b], p.encode(texts[a:b]), strict=True):
                 v = np.frombuffer(ids, "<i4")
                 out.append((len(v), hashlib.sha256(ids).hexdigest(), p.decode(v) == (t or "").replace(MARK, " "), v if with_ids else None))
