@@ -111,33 +111,28 @@ def seeded_sample(rows: DataFrame, seed: int, most: int = 100) -> DataFrame:
     return d.withColumn("at", (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).cast("bigint")).join(places, ["g", "at"], "left_semi").select("g", "k")
 
 
-def _suppressed(overlap: float, least: int):
-    def run(key: tuple, boxes: pd.DataFrame) -> pd.DataFrame:
-        x = boxes[["x1", "y1", "x2", "y2", "score"]].to_numpy(float)
-        x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 1], x[:, 0], -x[:, 4]))]
-        w, h = boxes["width"].iloc[0], boxes["height"].iloc[0]
-        out: dict[tuple[int, int, int, int], float] = {}
-        while len(x):
-            top, x = x[0], x[1:]
-            left, up = max(0, int(np.floor(top[0]))), max(0, int(np.floor(top[1])))
-            box = (left, up, min(w, int(np.ceil(top[2]))) - left, min(h, int(np.ceil(top[3]))) - up)
-            if min(box[2:]) >= least:
-                out.setdefault(box, float(top[4]))
-            both = np.clip(np.minimum(top[2:4], x[:, 2:4]) - np.maximum(top[:2], x[:, :2]), 0, None).prod(1)
-            area = np.clip(x[:, 2:4] - x[:, :2], 0, None).prod(1) + np.clip(top[2:4] - top[:2], 0, None).prod()
-            x = x[both / np.maximum(area - both, 1e-12) <= overlap]
-        return pd.DataFrame([(key[0], *b, s) for b, s in sorted(out.items())], columns=["image", "x", "y", "w", "h", "score"])
-
-    return run
-
-
 def suppress(boxes: DataFrame, overlap: float = 0.5, least: int = 1) -> DataFrame:
-    """image, x, y, w, h, score: the best boxes first, without those that overlap a better one by more.
+    """image, x, y, w, h, score: the best boxes first, without those that overlap a kept one by more.
 
     boxes: image, width, height (of the image), x1, y1, x2, y2, score; an image has as many as its detector gives.
-    Boxes of equal score go by their corners.
+    Boxes of equal score go by their corners; a box under `least` pixels still suppresses others.
     """
-    return boxes.groupBy("image").applyInPandas(_suppressed(overlap, least), f"image {dict(boxes.dtypes)['image']}, x int, y int, w int, h int, score double")
+    corners = ("x1", "y1", "x2", "y2")
+    each = F.struct((-F.col("score")).alias("s"), *corners, "width", "height")
+    area = lambda b: F.greatest(b["x2"] - b["x1"], F.lit(0.0)) * F.greatest(b["y2"] - b["y1"], F.lit(0.0))
+    side = lambda a, b, lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
+
+    def hides(a, b):
+        both = side(a, b, "x1", "x2") * side(a, b, "y1", "y2")
+        return both / F.greatest(area(a) + area(b) - both, F.lit(1e-12)) > overlap
+
+    g = boxes.groupBy("image").agg(F.array_sort(F.collect_list(each)).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    picked = F.aggregate("all", none, lambda got, x: F.when(F.exists(got, lambda y: hides(y, x)), got).otherwise(F.concat(got, F.array(x))))
+    b = g.select("image", F.explode(picked).alias("b"))
+    x, y = (F.greatest(F.floor(f"b.{c}"), F.lit(0)).cast("int") for c in ("x1", "y1"))
+    b = b.select("image", x.alias("x"), y.alias("y"), (F.least(F.ceil("b.x2"), F.col("b.width")) - x).cast("int").alias("w"), (F.least(F.ceil("b.y2"), F.col("b.height")) - y).cast("int").alias("h"), (-F.col("b.s")).alias("score"))
+    return b.filter(F.least("w", "h") >= least).groupBy("image", "x", "y", "w", "h").agg(F.max("score").alias("score"))
 
 
 def best_tags(tags: DataFrame, limits: dict[str, int], above: float = 0.35) -> DataFrame:
