@@ -1,7 +1,7 @@
 """All queries of the collection operators, with the SQL that checks them."""
 
-from . import lifecycle, matching, scoring, selection
+from . import lifecycle, matching, reporting, scoring, selection
 
-QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES | selection.QUERIES
-ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE | selection.ORACLE
-WITHOUT_SQL = selection.WITHOUT_SQL
+QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES | selection.QUERIES | reporting.QUERIES
+ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE | selection.ORACLE | reporting.ORACLE
+WITHOUT_SQL = selection.WITHOUT_SQL | reporting.WITHOUT_SQL
