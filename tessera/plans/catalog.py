@@ -1,7 +1,7 @@
 """All queries of the collection operators, with the SQL that checks them."""
 
-from . import lifecycle, matching, reporting, scoring, selection
+from . import lifecycle, matching, reporting, scoring, selection, state
 
-QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES | selection.QUERIES | reporting.QUERIES
-ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE | selection.ORACLE | reporting.ORACLE
+QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES | selection.QUERIES | reporting.QUERIES | state.QUERIES
+ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE | selection.ORACLE | reporting.ORACLE | state.ORACLE
 WITHOUT_SQL = selection.WITHOUT_SQL | reporting.WITHOUT_SQL
