@@ -147,21 +147,25 @@ def earlier_in_shard(places: list[tuple[int, int, int]], parts: list[bytes], len
 
 
 def _shards(length: int, types: list[pa.DataType]):
-    """Works through a partition sorted by h: whole groups of h, about SHARD bytes at a time."""
+    """Works through a partition sorted by h: whole groups of h, about SHARD bytes at a time. A place that comes twice, from rows that repeat, counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[tuple]) -> pa.RecordBatch:
             got = earlier_in_shard([r[1:4] for r in rows], [r[4] for r in rows], length)
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True) if got else [()] * 4, types, strict=True)], ["did", "k", "start", "end"])
 
-        held, size = [], 0
+        held, size, places = [], 0, set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SHARD and row[0] != held[-1][0]:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                if held and row[0] != held[-1][0]:
+                    places = set()
+                    if size >= SHARD:
+                        yield solved(held)
+                        held, size = [], 0
+                if row[1:4] not in places:
+                    places.add(row[1:4])
+                    held.append(row)
+                    size += len(row[4])
         if held:
             yield solved(held)
 
@@ -198,7 +202,7 @@ def removals(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
     schema = "h long, did long, k long, start long, b binary"
     few = there.withColumn("places", F.filter("places", lambda p: p["kinds"] <= big)).filter(F.size("places") > 0)
     lots = there.withColumn("places", F.filter("places", lambda p: p["kinds"] > big)).filter(F.size("places") > 0)
-    shard = map_arrow(few, _bytes_of(length), schema).dropDuplicates(["h", "did", "k", "start"]).repartition("h").sortWithinPartitions("h")
+    shard = map_arrow(few, _bytes_of(length), schema).repartition("h").sortWithinPartitions("h")
     out = "did long, k long, start long, end long"
     importable(spark)
     found = shard.mapInArrow(trimmed(_shards(length, arrow_types(spark, out))), out)
