@@ -281,6 +281,12 @@ def test_repeated_rows(docs, spark):
         assert df.count() == n
 
 
+def test_repeated_rows_remove_nothing_more(docs, spark):
+    once = docs.filter("doc_id < 40").dropDuplicates(["doc_id"])
+    told = lambda d: {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(d).collect()}
+    assert told(once.union(once).union(once)) == told(once)
+
+
 def test_pipeline_stages(spark, docs, data, tmp_path):
     import corpus_pipeline as cp
 
