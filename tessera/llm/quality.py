@@ -1,9 +1,17 @@
 """Quality rules with thresholds from mergeable quantile sketches of each language and source.
 
 DataFrame operations only. A row's measures come from its own text in one pass and are written to the shared folder;
-KLL sketches of their ratios are built for each (lang, source), merged to languages and to the whole, and the fences
-q75 + REACH * max(q75 - q25, floor) are joined back. Groups of fewer than FEW rows use their language's fences, and
-languages of fewer than FEW the whole's.
+KLL sketches of their ratios over the rows that pass the base rules are built for each (lang, source), merged to
+languages and to the whole, and the fences are joined back. A fence is q75 + REACH * (q75 - q25), for word lengths also
+q25 - REACH * (q75 - q25). Most texts have no symbol, repeated line or repeated words at all, so quartiles of all rows
+say nothing of these shares: a second sketch holds the part above zero.
+
+- Repeats and duplicate lines are ordinary where they occur, so their quartiles are those of the part above zero.
+- Symbols are not: the quartiles are those of all rows, and the fence is at least half the lower quartile of the part
+  above zero over q75. Where nothing is above zero, FLOORS are the only spread; they are far below that of the tables.
+
+Groups of fewer than FEW rows (of such rows above zero for that part) use their language's fences, and languages of
+fewer than FEW the whole's.
 
 Null texts have no words and fail the base rules; a null lang or source is a group of its own; repeated rows are each
 judged. Extra columns are ignored.
@@ -17,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import cut, let, table
 
 FEW, REACH = 200, 4.0
-#: Least spread of each ratio.
-FLOORS = {"symbol_share": 0.06, "dup_line_share": 0.12, "repeat_share": 0.1, "word_length": 1.0}
+#: Least distance of a fence from its quartile.
+FLOORS = {"symbol_share": 0.02, "dup_line_share": 0.02, "repeat_share": 0.02, "word_length": 0.2}
+#: Ratios whose part above zero is sketched too.
+SHARES = ["symbol_share", "dup_line_share", "repeat_share"]
 
 
 def _repeats(words: Column) -> Column:
@@ -66,22 +76,28 @@ def _ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words")})
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def thresholds(rated: DataFrame) -> DataFrame:
-    """lang, source, rows and the fences of each group, from sketches merged upwards where a group is small."""
-    own = rated.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(c).alias(c) for c in FLOORS))
+    """lang, source and the fences of each group, from sketches merged upwards where a group is small."""
+    passed = {c: F.when(~_base_failed(), F.col(c)) for c in FLOORS}
+    parts = passed | {f"some_{c}": F.when(passed[c] > 0, F.col(c)) for c in SHARES}
+    own = rated.groupBy("lang", "source").agg(*(F.count(v).alias(f"rows_{c}") for c, v in parts.items()), *(F.kll_sketch_agg_double(v).alias(c) for c, v in parts.items()))
     own = cut(own)
-    merged = [F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(c).alias(c) for c in FLOORS)]
+    merged = [*(F.sum(f"rows_{c}").alias(f"rows_{c}") for c in parts), *(F.kll_merge_agg_double(c).alias(c) for c in parts)]
     lang = own.groupBy("lang").agg(*merged)
     whole = own.groupBy(F.lit(1).alias("one")).agg(*merged)
-    up = lambda df, p, keys: df.select(*(F.col(k).alias(f"{p}_{k}") for k in keys), *(F.col(c).alias(f"{p}_{c}") for c in ("rows", *FLOORS)))
+    up = lambda df, p, keys: df.select(*(F.col(k).alias(f"{p}_{k}") for k in keys), *(F.col(x).alias(f"{p}_{x}") for c in parts for x in (f"rows_{c}", c)))
     j = own.join(up(lang, "l", ["lang"]), F.col("lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(up(whole, "w", [])))  # one row
-    pick = lambda c: F.when(F.col("rows") >= FEW, F.col(c)).when(F.col("l_rows") >= FEW, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    q = lambda c, p: F.kll_sketch_get_quantile_double(pick(c), F.lit(p))
-    fences = {}
-    for c, floor in FLOORS.items():
-        spread = F.greatest(q(c, 0.75) - q(c, 0.25), F.lit(floor)) * REACH
-        fences[f"most_{c}"] = q(c, 0.75) + spread
-    fences["least_word_length"] = q("word_length", 0.25) - F.greatest(q("word_length", 0.75) - q("word_length", 0.25), F.lit(FLOORS["word_length"])) * REACH
+    pick = lambda c: F.when(F.col(f"rows_{c}") >= FEW, F.col(c)).when(F.col(f"l_rows_{c}") >= FEW, F.col(f"l_{c}")).when(F.col(f"w_rows_{c}") > 0, F.col(f"w_{c}"))
+    q = lambda c, p: F.coalesce(F.kll_sketch_get_quantile_double(pick(c), F.lit(p)), F.lit(0.0))
+    reach = lambda c, floor: F.greatest((q(c, 0.75) - q(c, 0.25)) * REACH, F.lit(floor))
+    fences = {f"most_{c}": q(f"some_{c}", 0.75) + reach(f"some_{c}", FLOORS[c]) for c in ("dup_line_share", "repeat_share")}
+    fences["most_symbol_share"] = q("symbol_share", 0.75) + F.greatest(reach("symbol_share", FLOORS["symbol_share"]), q("some_symbol_share", 0.25) / 2)
+    fences["most_word_length"] = q("word_length", 0.75) + reach("word_length", FLOORS["word_length"])
+    fences["least_word_length"] = q("word_length", 0.25) - reach("word_length", FLOORS["word_length"])
     return j.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *(v.alias(k) for k, v in fences.items()))
 
 
@@ -89,7 +105,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """The measures of every document, base_failed and kept, with the ratios that were over their fences."""
     rated = _ratios(cut(measures(docs)))
     t = cut(thresholds(rated))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base = _base_failed()
     over = F.array_compact(F.array(*(F.when(F.col(c) > F.col(f"most_{c}"), F.lit(c)) for c in FLOORS), F.when(F.col("word_length") < F.col("least_word_length"), F.lit("short_words"))))
     j = rated.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(over) == 0)).alias("kept"), F.array_join(over, ",").alias("over"))

@@ -190,6 +190,25 @@ def test_op5(docs, rows):
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_op5_fences_follow_the_groups(spark):
+    rows = []
+    for lang, symbol in (("a", 0.1), ("b", 0.3)):  # a twelfth of each language's texts are junk of its own strength
+        for i in range(3000):
+            share = symbol + i % 5 / 100 if i % 12 == 0 else 0.0
+            rows.append((len(rows), lang, "s", 100, 0, share, i % 10 / (50 if lang == "a" else 25), i % 20 / 200, 5 + i % 9 / (20 if lang == "a" else 10)))
+    rated = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, n_repeat_words long, symbol_share double, dup_line_share double, repeat_share double, word_length double")
+    a, b = sorted(quality.thresholds(rated).collect(), key=lambda r: r.t_lang)
+    assert 0.04 < a.most_symbol_share < 0.1 < b.most_symbol_share < 0.2
+    assert a.most_dup_line_share < b.most_dup_line_share and a.most_word_length < b.most_word_length and a.least_word_length > b.least_word_length
+
+
+def test_op5_lists_split_by_pipes(spark):
+    text = lambda i, by: by.join(f"wo{i % 7}rd{k * (i + 1)} te{k}xt" for k in range(60))
+    some = [(i, text(i, " | " if i % 20 == 0 else " "), "en", f"s{i % 3}") for i in range(600)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(some, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept == (i % 20 > 0) and not got[i].base_failed for i in got)
+
+
 def test_op4():
     g, trees = extract.Generator(1234), extract.model()
     wrong = 0
