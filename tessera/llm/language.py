@@ -2,7 +2,8 @@
 
 A suffix automaton of each language's labelled text gives the longest matches; a text is parsed greedily into the
 longest phrases that occur in that language's text, and the language with the fewest phrases, each weighed by the
-bits that name a place in its text, wins. The automata are tables, so a batch's texts are parsed side by side.
+bits that name a place in its text, wins. The automata are tables, so a batch's texts are parsed side by side. Every
+letter of the samples is a symbol of its own, however many there are.
 
 The model is fitted on a bounded sample: DOCS labelled texts of each language, MODEL letters in all of each, ordered
 by a hash of doc_id. Prediction reads whole texts; a phrase ends at the borders of BLOCK symbols. Letters are compared
@@ -26,6 +27,8 @@ from .common import ARROW, byte_slices, importable, map_arrow, table, trimmed
 DOCS, MODEL, BLOCK = 64, 16_384, 4096
 #: Letters of all languages together, so that the tables of many languages stay as small.
 MODEL_TOTAL = 1 << 18
+#: Columns of the dense tables: gaps, the most frequent letters, and last the letters that no sample has. The other
+#: letters have symbols from _WIDTH on, whose transitions are looked up among sorted keys.
 _WIDTH = 64
 _FLAG = 1 << 30
 
@@ -66,14 +69,16 @@ class Model:
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
         count = Counter(c for t in texts.values() for c in t.lower() if c.isalpha() and len(c.lower()) == 1)
-        known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: _WIDTH - 2]]
+        known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
         letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.classes = np.where(letters, np.uint8(_WIDTH - 1), np.uint8(0))
-        for i, c in enumerate(known):
-            self.classes[ord(c)] = i + 1
+        kind = np.uint8 if len(known) + 2 <= 256 else np.int32
+        self.classes = np.where(letters, kind(_WIDTH - 1), kind(0))
+        for i, c in enumerate(known, 1):
+            i += i >= _WIDTH - 1
+            self.classes[ord(c)] = i
             if len(c.upper()) == 1 and c.upper().lower() == c:
-                self.classes[ord(c.upper())] = i + 1
-        tables, self.roots, self.bits, base = [], [], [], 0
+                self.classes[ord(c.upper())] = i
+        tables, self.roots, self.bits, base, keys, nexts = [], [], [], 0, [], []
         for lang in self.langs:
             symbols = self.symbols([texts[lang]])[0]
             auto = SuffixAutomaton(symbols.tolist())
@@ -82,12 +87,34 @@ class Model:
             t[:] = restart
             for s, to in enumerate(auto.next):
                 for c, v in to.items():
-                    t[s, c] = v + base
+                    if c < _WIDTH:
+                        t[s, c] = v + base
+                    else:
+                        keys.append((s + base) << 20 | c)
+                        nexts.append(v + base)
             tables.append(t)
             self.roots.append(base)
             self.bits.append(float(np.log2(max(2, len(symbols)))))
             base += len(t)
         self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.nexts = np.array(keys, np.int64)[order], np.array(nexts, np.int32)[order]
+
+    def found(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The transitions by sorted key, -1 where there is none."""
+        key = state.astype(np.int64) << 20 | symbols
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nexts[at], -1)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The next states, flagged where a phrase ends, whatever the symbols."""
+        v = self.table[(state << 6) + np.minimum(symbols, _WIDTH - 1)]
+        at = np.flatnonzero(symbols >= _WIDTH)
+        if len(at):
+            roots = np.array(self.roots, np.int32)[:, None]
+            on, again = self.found(state[:, at], symbols[at]), self.found(roots, symbols[at])
+            v[:, at] = np.where(on >= 0, on, np.where(again >= 0, again, roots) | _FLAG)
+        return v
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Classes of the letters, each run of other characters as one 0, and the texts' new lengths."""
@@ -115,9 +142,11 @@ class Model:
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(size), 1)
         roots = state.copy()
         count = np.zeros_like(state)
+        wide = bool(len(flat)) and int(flat.max()) >= _WIDTH
         alive = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")
         for step, m in enumerate(alive.tolist()):
-            v = self.table[(state[:, :m] << 6) + flat[start[:m] + step]]
+            c = flat[start[:m] + step]
+            v = self.step(state[:, :m], c) if wide else self.table[(state[:, :m] << 6) + c]
             count[:, :m] += v >> 30
             state[:, :m] = v & (_FLAG - 1)
         count += state != roots

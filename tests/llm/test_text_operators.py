@@ -147,6 +147,30 @@ def test_op2_counts_longest_matches():
         assert int(got[0, k]) == n
 
 
+def test_op2_letters_beyond_the_dense_table():
+    rng = np.random.default_rng(1)
+    alphabets = {"la": [97, 26], "ru": [0x430, 32], "zh": [0x4E00, 400], "zi": [0x4E00 + 200, 400], "ko": [0xAC00, 300]}  # zh and zi share half
+    vocabulary = {k: ["".join(chr(a + i) for i in rng.integers(0, n, rng.integers(1, 4))) for _ in range(300)] for k, (a, n) in alphabets.items()}
+    say = lambda k, n: "".join(w + (" " if rng.random() < 0.3 else "") for w in rng.choice(vocabulary[k], n))
+    sample = {k: say(k, 1500) for k in alphabets}
+    m = language.Model(sample)
+    texts = [say(k, 40) for k in alphabets for _ in range(5)] + ["жук Ω 一二三 𠀀 abc", "Ω", "", "12"]
+    assert m.predict(texts)[0][:25] == [k for k in alphabets for _ in range(5)]
+    got, _ = m.phrases(texts)
+    normal = lambda t: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower())).lstrip()
+    for k, lang in enumerate(m.langs):
+        body = normal(sample[lang])
+        for t, n in zip(texts, got[:, k], strict=True):
+            s, at, phrases = normal(t), 0, 0
+            while at < len(s):
+                size = 0
+                while at + size < len(s) and s[at : at + size + 1] in body:
+                    size += 1
+                at += size + (at + size < len(s) and s[at + size] not in body)
+                phrases += 1
+            assert n == phrases
+
+
 def test_op3(docs, rows, spark, data):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()] + [(900, "a b"), (901, None), (902, "a b")]
     got = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
