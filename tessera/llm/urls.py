@@ -2,7 +2,8 @@
 
 A rule fits its host and all subdomains if the url's path starts with the rule's; the longest rule wins. Pages that
 name a canonical link or a refresh redirect are linked to the target's url; components of these links are found by
-distributed label passing. A url without a rule of its own takes its component's: allow if a member is allowed by a
+distributed label passing. Targets are resolved against the page's url or its <base> (RFC 3986), character references
+in them are decoded, and urls are the same node whatever the case of scheme and host. A url without a rule of its own takes its component's: allow if a member is allowed by a
 rule, else block if a member is blocked by one, else allow.
 
 Null urls and urls without :// have an empty host and path, fit no rule and are allowed unless linked. Repeated rows
@@ -11,10 +12,13 @@ are each judged. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, let, table
 from .simhash import components
 
 #: (verdict, host, path)
@@ -23,8 +27,12 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 INLINE = 256
 
 
+def _low(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host(url: Column) -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _low(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
 
 
 def path(url: Column) -> Column:
@@ -48,17 +56,68 @@ def ruled(urls: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
     return df.join(best, "_row", "left").select("*", "b.rule", "b.rule_verdict").drop("_row", "b")
 
 
+def decoded(text: Column) -> Column:
+    """Text of an attribute with its character references decoded; a name without ; is none before = or a letter or digit."""
+    bare = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    form = rf"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;|&(?:{bare})(?![=A-Za-z0-9])|[^&]+|&"
+    old = F.split(F.lit("\n".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0))), "\n")
+    code = lambda x: let(F.regexp_replace(x, "^&#[xX]?0*|;$", ""), lambda d: F.when((d == "") | (F.length(d) > 8), F.lit(0)).otherwise(F.when(x.rlike("^&#[xX]"), F.conv(d, 16, 10)).otherwise(d).cast("long")))
+    invalid = lambda n: (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    letter = lambda n: F.when(invalid(n), "\ufffd").when(n.between(0x80, 0x9F), F.get(old, (n - 0x80).cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def whole(x: Column) -> Column:
+        t, known = x["t"], x["known"]
+        piece = lambda y: F.when(y.rlike("^&#[0-9xX]"), let(code(y), letter)).when(y.startswith("&") & (F.length(y) > 1), F.coalesce(F.try_element_at(known, F.substring(y, 2, 64)), y)).otherwise(y)
+        return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(form), F.lit(0)), piece), "")
+
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    return let(text, lambda t: F.when(t.contains("&"), let(F.struct(t.alias("t"), names.alias("known")), whole)).otherwise(t))
+
+
+def _parts(url: Column) -> Column:
+    """scheme with its colon, authority with its slashes, path, and query with its mark; the fragment is dropped."""
+    part = lambda k: F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?", k)
+    cased = lambda a: F.concat(F.regexp_extract(a, "(?s)^(.*@)?(.*)$", 1), _low(F.regexp_extract(a, "(?s)^(.*@)?(.*)$", 2)))
+    return F.struct(_low(part(1)).alias("scheme"), let(part(2), cased).alias("authority"), part(3).alias("path"), part(4).alias("query"))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from / on without its . and .. segments."""
+    names = F.split(path, "/")
+    kept = F.aggregate(F.slice(names, 2, F.size(names)), F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    folder = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), F.array_join(folder, "/"))).otherwise(path)
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """ref as an absolute url without its fragment, relative to the absolute url base (RFC 3986, 5.2.2)."""
+
+    def of(x: Column) -> Column:
+        b, t = x["b"], x["t"]
+        own = (t["scheme"] != "") | (t["authority"] != "")
+        merged = F.when(b["path"].contains("/"), F.concat(F.regexp_extract(b["path"], "(?s)^(.*/)", 1), t["path"])).otherwise(F.concat(F.lit("/"), t["path"]))
+        path = F.when(own | t["path"].startswith("/"), t["path"]).when(t["path"] == "", b["path"]).otherwise(merged)
+        query = F.when(own | (t["path"] != "") | (t["query"] != ""), t["query"]).otherwise(b["query"])
+        return F.concat(F.when(t["scheme"] != "", t["scheme"]).otherwise(b["scheme"]), F.when(own, t["authority"]).otherwise(b["authority"]), let(path, _without_dots), query)
+
+    return let(F.struct(base.alias("b"), ref.alias("t")), lambda u: let(F.struct(_parts(u["b"]).alias("b"), _parts(u["t"]).alias("t")), of))
+
+
+def node(url: Column) -> Column:
+    """The url that stands for all its spellings: scheme and host in lower case, no dot segments, no fragment."""
+    return resolved(url, url)
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
-    """a, b: urls that a canonical link or a refresh redirect makes the same; fragments are dropped."""
+    """a, b: nodes of urls that a canonical link or a refresh redirect makes the same."""
     found = pages.select("url", "html").filter(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").contains("://"))
     link = F.regexp_extract("html", r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
     back = F.regexp_extract("html", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
+    base = F.regexp_extract(F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\s*=[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     named = F.array(F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(back, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    e = found.select("url", F.explode(named).alias("to")).filter("to <> ''")
-    root = F.regexp_extract("url", "^(.*?://[^/?#]*)", 1)
-    to = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.substring_index("url", "//", 1), F.col("to"))).when(F.col("to").startswith("/"), F.concat(root, F.col("to")))
-    bare = lambda c: F.substring_index(c, "#", 1)
-    return e.select(bare(F.col("url")).alias("a"), bare(to).alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
+    e = found.select("url", base.alias("base"), F.explode(named).alias("to")).filter("to <> ''")
+    on = resolved(F.col("url"), decoded(F.col("base")))
+    return e.select(node(F.col("url")).alias("a"), resolved(on, decoded(F.col("to"))).alias("b")).filter("contains(b, '://') AND a <> b").distinct()
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -71,7 +130,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
     members = ruled(label, rules, "node")
     told = members.groupBy("root").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
     alias = label.join(told, "root").select(F.col("node").alias("bare"), F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict")).filter("alias_verdict IS NOT NULL")
-    j = own.withColumn("bare", F.substring_index("url", "#", 1)).join(alias, "bare", "left")
+    j = own.withColumn("bare", node(F.col("url"))).join(alias, "bare", "left")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("alias_verdict").isNotNull(), "alias").otherwise("none")
     return j.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit("allow")).alias("verdict"), by.alias("by"))
 

@@ -309,6 +309,24 @@ def test_op8_aliases(spark):
     assert sorted(map(tuple, urls.url_filter(pages, many).collect())) == sorted(map(tuple, urls.url_filter(pages).collect()))
 
 
+def test_op8_targets_of_every_form(spark):
+    page = "http://b.com/d/e;p?q=1#f"
+    refs = ["page2.html", "../a", "../../../g", "./", "..", "g/./h/../i", "?id=3", "#top", "/r?u=http://x.y/z", "//C.com/k", "HTTP://Example.com/a", "http://u:P@EX.com/A/../B?C", "/s?a=1&amp;b=2&copy=3", "/&#x41;&#66;&eacute;&#150;&#0;&nosuch;&amp", "mailto:a@b"]
+    got = {r.t: (r.u, r.d) for r in spark.createDataFrame([(page, t) for t in refs], "p string, t string").select("t", urls.resolved(F.col("p"), urls.decoded(F.col("t"))).alias("u"), urls.decoded(F.col("t")).alias("d")).collect()}
+    want = ["http://b.com/d/page2.html", "http://b.com/a", "http://b.com/g", "http://b.com/d/", "http://b.com/", "http://b.com/d/g/i", "http://b.com/d/e;p?id=3", "http://b.com/d/e;p?q=1", "http://b.com/r?u=http://x.y/z", "http://c.com/k", "http://example.com/a", "http://u:P@ex.com/B?C"]
+    assert [got[t][0] for t in refs[:12]] == want
+    assert got[refs[12]][1] == "/s?a=1&b=2&copy=3" and got[refs[13]][1] == "/ABé–\ufffd&nosuch;&"
+
+
+def test_op8_aliases_by_relative_targets(spark):
+    link, back = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    forms = [("/p/x", link, "page2.html", "/p/page2.html"), ("/q/r/x", link, "../a", "/q/a"), ("/s", link, "?id=3", "/s?id=3"), ("/t/x", back, "next.html", "/t/next.html"), ("/u", link, "/v?a=1&amp;b=2", "/v?a=1&b=2"), ("/w", link, "HTTP://I.com/W1", "/W1"), ("/y", '<base href="/z/">' + link, "c", "/z/c")]
+    rows = [(2 * i, f"http://i.com{a}", how.format(to)) for i, (a, how, to, _) in enumerate(forms)]
+    rows += [(2 * i + 1, f"HTTP://I.COM{b}", link.format(f"http://blocked{i}.net/")) for i, (*_, b) in enumerate(forms)]
+    got = {r.page_id: r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(2 * len(forms)), "block")
+
+
 def test_empty_tables(none, spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     items = spark.createDataFrame([], "item_id long, text string")
