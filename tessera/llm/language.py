@@ -222,14 +222,15 @@ def _accepted(texts_of: tuple[tuple[str, str], ...], column: int):
         for batch in batches:
             texts = [t or "" for t in batch.column(column).to_pylist()]
             for a, b in byte_slices([len(t) for t in texts], 4 << 20):
-                lang, _ = built(texts_of).predict(texts[a:b])
-                yield batch.slice(a, b - a).filter(pa.array([x != "und" for x in lang]))
+                model = built(texts_of)
+                keep = [x != "und" for x in model.predict(texts[a:b])[0]] if model.langs else model.symbols(texts[a:b])[1] > 0
+                yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return run
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose text is in some language, that is, has letters to judge by."""
+    """The rows of docs, all columns, whose text is in some language, that is, has letters to judge by, be any language labelled or not."""
     importable(docs.sparkSession)
     for k, v in ARROW.items():
         docs.sparkSession.conf.set(k, v)

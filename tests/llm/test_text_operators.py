@@ -147,6 +147,12 @@ def test_op2_counts_longest_matches():
         assert int(got[0, k]) == n
 
 
+def test_pipeline_keeps_letters_where_nothing_is_labelled(docs, rows):
+    some = docs.filter("doc_id < 100 OR doc_id >= 10000").withColumn("lang", F.lit(None).cast("string"))
+    got = sorted(r.doc_id for r in language.with_language(some).collect())
+    assert got == sorted(i for i, t, *_ in rows if (i < 100 or i >= 10_000) and any(c.isalpha() for c in t or ""))
+
+
 def test_op2_letters_beyond_the_dense_table():
     rng = np.random.default_rng(1)
     alphabets = {"la": [97, 26], "ru": [0x430, 32], "zh": [0x4E00, 400], "zi": [0x4E00 + 200, 400], "ko": [0xAC00, 300]}  # zh and zi share half
