@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 #: Rows and bytes in one Arrow batch sent to a Python worker.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
-#: Ids (8 bytes each) up to which they are broadcast.
-BROADCAST_IDS = 1_000_000
+#: Pairs of longs up to which they are broadcast, and identities of documents.
+BROADCAST_IDS, BROADCAST_IDENTITIES = 1_000_000, 200_000
+#: A key is hot if it holds more than this part of a table's rows, so there are at most as many hot keys, and at least so many rows.
+HOT, HOT_ROWS = 1000, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +28,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a local folder is set."""
+    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine if the master is this process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """A folder of intermediate tables, which goes when the application ends if nothing dropped it before."""
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that no plan reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            fs, p = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -40,7 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet: for tables of many rows."""
-    path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    path = kept_until_exit(df.sparkSession, f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -60,10 +86,45 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def identity(docs: DataFrame) -> Column:
+    """What tells rows apart by doc_id (null is an id too) and text; rows that repeat share it."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.col("doc_id").isNull().alias("n"), text_hash().alias("k"))
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids; up to BROADCAST_IDS of these are broadcast, more are joined by shuffle."""
-    ids = cut(ids.select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose identity is in the column `gone` of ids; up to BROADCAST_IDENTITIES of these are broadcast, more are joined by shuffle."""
+    ids = cut(ids.select("gone").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDENTITIES else ids, identity(docs) == ids["gone"], "left_anti")
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys that hold more than 1/HOT of the rows of df (a table that is already computed) and HOT_ROWS: HOT of them at most."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = df.count()
+    least = max(HOT_ROWS, total // HOT)
+    if total <= least:
+        return None
+    hot = cut(counts.filter(F.col("n") > least).select(*keys))
+    return hot if hot.limit(1).count() else None
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has a key once. Rows of left's hot keys are dealt over as many salts as there are
+    shuffle partitions, and right's rows of these keys are copied to each, so that no task holds a key's rows alone."""
+    hot = hot if hot is not None else hot_keys(left, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    salts = max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(F.col(c) for c in left.columns)), F.lit(salts)).cast("int")).otherwise(0)
+    copied = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(hot, keys, "left").withColumn("_salt", dealt).drop("_hot")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(copied)).drop("_hot")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
 def parted(docs: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
