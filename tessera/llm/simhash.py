@@ -5,9 +5,11 @@ correlated bits; a dynamic programme gives each partition a threshold (-1: not p
 to distance - partitions + 1, at the least expected number of keys and candidate pairs; then any two fingerprints
 within the distance agree in some partition up to its threshold. Each fingerprint emits a key for each choice of
 masked bits, groups of a key are verified block by block, and only a spanning forest of each group leaves the task.
-Components are found by distributed label passing. Groups of more than BLOCK fingerprints are dealt out as pairs of blocks.
+Components are found by distributed label passing. Groups of more than BLOCK fingerprints are probed again with the
+bits outside their mask; groups that are larger even then are dealt out as pairs of blocks.
 
-Null texts count as empty; repeated rows and rows of equal doc_id are kept as rows. Extra columns are ignored.
+Null texts count as empty; repeated rows and rows of equal doc_id are kept as rows; a null doc_id is in its component
+but names none. Texts may be of any length. Extra columns are ignored, or kept by the stage that keeps rows.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_types, cut, freed, importable, map_arrow, table, trimmed, without
+from .common import BROADCAST_IDENTITIES, HOT, HOT_ROWS, arrow_types, cut, freed, hot_keys, identity, importable, joined, map_arrow, table, text_hash, trimmed, without
 
 BLOCK = 4096
 _BITS = 64
@@ -197,59 +199,123 @@ def _edges(distance: int, types: list[pa.DataType]):
     return run
 
 
+def finer(masks: np.ndarray, distance: int) -> np.ndarray:
+    """For each mask, distance + 1 masks that also hold a part of the bits outside it: what is within the distance agrees in one of them."""
+    out = []
+    for m in masks.tolist():
+        free = [b for b in range(_BITS) if not m >> b & 1]
+        out += [m | sum(1 << b for b in free[i :: distance + 1]) for i in range(distance + 1)]
+    return np.array(out, np.uint64)
+
+
+def _finer_keys(masks: np.ndarray, each: int):
+    def rows(batch: pa.RecordBatch) -> dict:
+        mask = (batch.column(0).to_numpy().astype(np.int64)[:, None] * each + np.arange(each)).ravel()
+        fp = np.repeat(batch.column(1).to_numpy().view(np.uint64), each)
+        return {"mask": mask.astype(np.int32), "v": (fp & masks[mask]).view(np.int64), "fp": fp.view(np.int64)}
+
+    return rows
+
+
+def _marked(keys: DataFrame, hot: DataFrame, total: int) -> DataFrame:
+    """keys with the size of their group where it is in hot; the rows of very large groups are salted."""
+    most = cut(hot.filter(F.col("size") > max(HOT_ROWS, total // HOT)).select("mask", "v"))
+    return joined(keys, hot, ["mask", "v"], "left", most) if most.limit(1).count() else keys.join(hot, ["mask", "v"], "left")
+
+
+def _large(keys: DataFrame, block: int) -> DataFrame | None:
+    hot = cut(keys.groupBy("mask", "v").agg(F.count("*").alias("size")).filter(F.col("size") > block))
+    return hot if hot.limit(1).count() else None
+
+
 def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
-    """a, b: links that connect what all links within the distance connect."""
+    """a, b: links that connect what all links within the distance connect.
+
+    Groups of more than `block` fingerprints are split by the bits outside their mask, of which one part in distance + 1
+    must agree; what is larger even then is dealt out as pairs of blocks.
+    """
     n, xx = bit_statistics(distinct)
     masks = _masks(allocate(n, xx, distance))
     keys = map_arrow(distinct.select("fp"), _keys(masks), "mask int, v long, fp long")
-    hot = cut(keys.groupBy("mask", "v").agg(F.count("*").alias("size")).filter(F.col("size") > block))
-    if hot.limit(1).count():
-        b = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        keys = keys.join(hot, ["mask", "v"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("long"))
-        keys = keys.withColumn("own", b).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        keys = keys.select("mask", "v", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), "fp")
-    else:
-        keys = keys.select("mask", "v", F.lit(0).cast("long").alias("pair"), "fp")
-    dealt = keys.repartition("mask", "v", "pair").sortWithinPartitions("mask", "v", "pair")
+    groups = ["mask", "v", "pair"]
+    whole = lambda df: df.select("mask", "v", F.lit(0).cast("long").alias("pair"), "fp")
+    parts = whole(keys)
+    if (hot := _large(keys, block)) is not None:
+        total = n * len(masks)
+        marked = _marked(keys, hot, total)
+        parts = whole(marked.filter("size IS NULL"))
+        fine, base = finer(masks, distance), len(masks)
+        split = map_arrow(marked.filter("size IS NOT NULL").select("mask", "fp"), _finer_keys(fine, distance + 1), "mask int, v long, fp long")
+        split = split.withColumn("mask", F.col("mask") + base)
+        if (hot := _large(split, block)) is not None:
+            b = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+            split = _marked(split, hot, total).withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("long"))
+            split = split.withColumn("own", b).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            parts = parts.union(split.select("mask", "v", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), "fp"))
+        else:
+            parts = parts.union(whole(split))
+    dealt = parts.repartition(*groups).sortWithinPartitions(*groups)
     importable(distinct.sparkSession)
     return dealt.mapInArrow(trimmed(_edges(distance, arrow_types(distinct.sparkSession, "a long, b long"))), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each node's component, by hooking to the smallest neighbour and pointer jumping."""
+    """node, root: the smallest node of each node's component, by hooking to the smallest neighbour and pointer jumping.
+
+    Joins on a neighbour of very many nodes, or on the root of a large component, salt these keys.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     both = cut(both)
+    hubs = hot_keys(both, ["b"])
+    reached = lambda label: joined(both, label, ["b"], "inner", hubs) if hubs is not None else both.join(label, "b")
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
     label = cut(label)
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
+        near = reached(label.select(F.col("node").alias("b"), F.col("root").alias("r"))).groupBy("a").agg(F.min("r").alias("r"))
         new = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("mid"))
         # the old root learns of it too, and every node follows its root's root
         told = new.groupBy(F.col("old").alias("node")).agg(F.min("mid").alias("t"))
-        hooked = new.join(told, "node", "left").select("node", "old", F.least("mid", F.coalesce("t", "mid")).alias("root"))
+        hooked = cut(new.join(told, "node", "left").select("node", "old", F.least("mid", F.coalesce("t", "mid")).alias("root")))
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        label2 = cut(hooked.join(jump, "root", "left").select("node", F.coalesce("up", "root").alias("root"), "old"))
+        label2 = cut(joined(hooked, jump, ["root"], "left").select("node", F.coalesce("up", "root").alias("root"), "old"))
         changed = label2.filter("root <> old").limit(1).count()
         label = label2.select("node", "root")
         if not changed:
             return label
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable by links) of every document."""
-    prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def classes(prints: DataFrame, least: Column, distance: int = 3, block: int = BLOCK) -> DataFrame:
+    """prints (a table that is already computed) with the smallest value of `least` in the component of each row's fp, as rep."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("rows")))
     label = components(links(distinct, distance, block))
-    named = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    to = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    freed(docs.sparkSession)
-    return prints.join(to, "fp")
+    named = cut(distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    smallest = named.groupBy("root").agg(F.min("least").alias("rep"))
+    to = joined(named.select("fp", "root"), smallest, ["root"]).select("fp", "rep")
+    freed(prints.sparkSession)
+    n = named.agg(F.sum("rows")).first()[0] or 0
+    copies = cut(named.filter(F.col("rows") > max(HOT_ROWS, n // HOT)).select("fp"))
+    return joined(prints, to, ["fp"], "inner", copies) if copies.limit(1).count() else prints.join(to, "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable by links, null only if all are) of every document."""
+    return classes(cut(fingerprints(docs)), F.col("doc_id"), distance, block).withColumnRenamed("rep", "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """docs, all columns, without documents that are linked to one of smaller doc_id."""
-    return without(docs, near_duplicates(docs, distance).filter("doc_id <> component_id"))
+    """docs, all columns, with one row of each component: the one of smallest doc_id (null last), then of the smallest hash of the text."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, fp long"
+    prints = cut(map_arrow(docs.select("doc_id", F.col("text").cast("binary").alias("b"), text_hash().alias("k")), lambda x: _prints(x) | {"k": x.column(2)}, schema))
+    who = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("k").alias("k"))
+    judged = classes(prints, who, distance)
+    same = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.col("doc_id").isNull().alias("n"), F.col("k").alias("k"))
+    out = without(docs, judged.filter(who != F.col("rep")).select(same.alias("gone")))
+    again = cut(prints.groupBy(same.alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"))
+    if not again.limit(1).count():
+        return out
+    here = F.broadcast(again) if again.count() <= BROADCAST_IDENTITIES else again
+    one = out.join(here, identity(out) == here["again"], "left_semi").groupBy(identity(out).alias("g")).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in out.columns))).alias("r")).select("r.*")
+    return out.join(here, identity(out) == here["again"], "left_anti").union(one)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ occur earlier. Groups with more than BIG different neighbourhoods are decided by
 pre-aggregated and so need no room for the group.
 
 Null texts count as empty; rows with equal doc_id and equal text count as one document and get equal results; a null
-doc_id sorts first. Extra columns are ignored.
+doc_id sorts first, ids that aren't integers in their own order. Texts may be of any length. Extra columns are ignored.
+Joins on a minimizer, or on a neighbourhood, salt those that hold more than a thousandth of all places.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import arrow_types, byte_slices, cut, freed, importable, map_arrow, parted, saved, trimmed
+from .common import HOT, HOT_ROWS, arrow_types, byte_slices, cut, drop, freed, importable, joined, map_arrow, parted, saved, table, trimmed
 from .suffix_array import permuted_lcp, suffix_array
 
 GRAM = 36
@@ -79,10 +81,22 @@ def runs(parts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarr
             yield p + a, start[first] - (ends[p] - sizes[p]), count, g[at[first]].view(np.int64)
 
 
-def _key(df: DataFrame) -> DataFrame:
-    """did, k: the document's identity, with the text as bytes. Ids order documents, then the text's hash."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(t).alias("k"), F.col("doc_id").alias("doc_id"), t.cast("binary").alias("b"))
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """doc_id, did: a number for each id, in the ids' order; None where ids are integers and number themselves."""
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return None
+    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return cut(ids.select("doc_id", F.monotonically_increasing_id().alias("did")))
+
+
+def keyed_with(docs: DataFrame, numbers: DataFrame | None, *more: Column) -> DataFrame:
+    """did, k, b: the document's identity, with the text as bytes, and what else is wanted. Ids order documents, then the text's hash."""
+    t, least = F.coalesce(F.col("text"), F.lit("")), F.lit(-(2**63))
+    k, b = F.xxhash64(t).alias("k"), t.cast("binary").alias("b")
+    if numbers is None:
+        return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("did"), k, b, *more)
+    own = docs.select(F.col("doc_id").alias("_id"), k, b, *more)
+    return own.join(numbers.withColumnRenamed("doc_id", "_id"), "_id", "left").withColumn("did", F.coalesce("did", least)).drop("_id")
 
 
 def _hashes(length: int):
@@ -182,21 +196,31 @@ def _windows(length: int):
     return rows
 
 
-def removals(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
+def removals(docs: DataFrame, length: int = 100, big: int = BIG, numbers: DataFrame | None = None) -> DataFrame:
     """did, k, spans: what is to be removed from each document, as (start, end) in no order; documents without are absent."""
     spark = docs.sparkSession
-    keyed = _key(docs)
+    keyed = keyed_with(docs, numbers)
     # a place is a run's first window and, in seven bits, its number of windows
     start, count = F.shiftright("place", 7), F.col("place").bitwiseAND(F.lit(127))
-    again = map_arrow(keyed.select("b"), _hashes(length), "h long").groupBy("h").agg(F.count("*").alias("seen")).filter("seen > 1").select("h")
+    again = map_arrow(keyed.select("b"), _hashes(length), "h long").groupBy("h").agg(F.count("*").alias("seen")).filter("seen > 1")
     again = cut(again)
+    least = max(HOT_ROWS, (again.agg(F.sum("seen")).first()[0] or 0) // HOT)
+    hot = cut(again.filter(F.col("seen") > least).select("h"))
+    hot = hot if hot.limit(1).count() else None
     seen = map_arrow(keyed.select("did", "k", "b"), _occurrences(length), "did long, k long, place long, h long, c long")
-    seen = saved(seen.join(again.hint("shuffle_hash"), "h", "left_semi"))
+    seen = saved(joined(seen, again.select("h"), ["h"], "left_semi", hot) if hot else seen.join(again.select("h").hint("shuffle_hash"), "h", "left_semi"))
     freed(spark)
-    first = saved(seen.groupBy("h", "c").agg(F.min(F.struct("did", "k", "place")).alias("f")))
-    copies = seen.join(first.select("h", "c", "f"), ["h", "c"]).filter(F.struct("did", "k", "place") != F.col("f")).select("did", "k", start.alias("start"), (start + count + (length - 1)).alias("end"))
+    first = saved(seen.groupBy("h", "c").agg(F.min(F.struct("did", "k", "place")).alias("f"), F.count("*").alias("seen")))
+    hot = cut(first.filter(F.col("seen") > least).select("h", "c"))
+    hot = hot if hot.limit(1).count() else None
+    earliest = first.filter("seen > 1").select("h", "c", "f")
+    repeats = joined(seen, earliest, ["h", "c"], "inner", hot) if hot else seen.join(earliest, ["h", "c"])
+    copies = repeats.filter(F.struct("did", "k", "place") != F.col("f")).select("did", "k", start.alias("start"), (start + count + (length - 1)).alias("end"))
     many = first.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    left = first.select("h", "f.*").join(many, "h").withColumns({"start": start, "n": count})
+    hot = cut(many.filter(F.col("kinds") > least).select("h"))
+    hot = hot if hot.limit(1).count() else None
+    places = first.select("h", "f.*")
+    left = (joined(places, many, ["h"], "inner", hot) if hot else places.join(many, "h")).withColumns({"start": start, "n": count})
     wanted = saved(left.groupBy("did", "k").agg(F.collect_list(F.struct("h", "start", "n", "kinds")).alias("places")))
     there = wanted.join(parted(keyed.select("did", "k", "b"), wanted, ["did", "k"])[0], ["did", "k"]).select("did", "k", "b", "places")
     schema = "h long, did long, k long, start long, b binary"
@@ -206,12 +230,14 @@ def removals(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
     out = "did long, k long, start long, end long"
     importable(spark)
     found = shard.mapInArrow(trimmed(_shards(length, arrow_types(spark, out))), out)
-    spans = copies.union(found)
+    spans, used = copies.union(found), [seen, first, wanted]
     if many.filter(F.col("kinds") > big).limit(1).count():
         windows = saved(map_arrow(map_arrow(lots, _bytes_of(length), schema), _windows(length), "w binary, did long, k long, start long"))
-        earliest = windows.groupBy("w").agg(F.min(F.struct("did", "k", "start")).alias("f"))
-        spans = spans.union(windows.join(earliest, "w").filter(F.struct("did", "k", "start") != F.col("f")).select("did", "k", "start", (F.col("start") + length).alias("end")))
+        used.append(windows)
+        least_of = windows.groupBy("w").agg(F.min(F.struct("did", "k", "start")).alias("f"))
+        spans = spans.union(joined(windows, least_of, ["w"]).filter(F.struct("did", "k", "start") != F.col("f")).select("did", "k", "start", (F.col("start") + length).alias("end")))
     done = cut(spans.groupBy("did", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    drop(*used)
     freed(spark)
     return done
 
@@ -254,36 +280,42 @@ def _with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, length: int = 100, big: int = BIG) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
-    joined = _with_spans(_key(docs), removals(docs, length, big)).select("doc_id", "b", "spans")
-    kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(joined, _kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    numbers = numbered(docs)
+    keyed = keyed_with(docs, numbers, F.col("doc_id"))
+    out = _with_spans(keyed, removals(docs, length, big, numbers)).select("doc_id", "b", "spans")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(out, _kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _rewritten(names: list[str], types: list[pa.DataType]):
     """The documents' own columns, with the kept text; cut characters lose their rest, and texts that were removed whole go."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        kept = _kept(pa.RecordBatch.from_arrays([batch.column("did"), batch.column("b"), batch.column("spans")], ["doc_id", "b", "spans"]))
+        kept = _kept(batch.select(["did", "b", "spans"]))
         texts = [x.decode("utf-8", "ignore") for x in kept["kept"]]
         stay = pa.array([i for i, (t, n) in enumerate(zip(texts, kept["n_removed"], strict=True)) if t.strip() or not n], pa.int64())
-        own = {n: batch.column(n) for n in names if n not in ("text", "n_chars")}
-        whole = [None if r is None and not k else t for r, k, t in zip(batch.column("raw_null").to_pylist(), kept["n_bytes"], texts, strict=True)]
-        cols = own | {"text": pa.array(whole, pa.string())} | ({"n_chars": pa.array([len(t) for t in texts], pa.int64())} if "n_chars" in names else {})
+        own = batch.column("row")
+        cols = {own.type.field(i).name: own.field(i) for i in range(own.type.num_fields)}
+        null = cols["text"].to_pylist()
+        cols["text"] = pa.array([None if n else t for n, t in zip(null, texts, strict=True)], pa.string())
+        if "n_chars" in cols:
+            cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
         return {n: cols[n].take(stay).cast(t) for n, t in zip(names, types, strict=True)}
 
     return rows
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """docs, all columns, with repeated byte strings cut from text; n_chars follows, and texts without a rest go."""
-    spans = removals(docs, length)
-    t = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(t).alias("k"), t.cast("binary").alias("b"), F.when(F.col("text").isNotNull(), F.lit(1)).alias("raw_null")).drop("text")
+    """docs, all columns whatever their names, with repeated byte strings cut from text; n_chars follows, and texts without a rest go.
+
+    A null text stays null and an empty one empty; rows that repeat are cut alike, so each keeps what one of them would.
+    """
+    numbers = numbered(docs)
+    spans = removals(docs, length, numbers=numbers)
+    row = F.struct(*(F.col(f"`{c}`").isNull().alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns)).alias("row")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(_with_spans(keyed, spans), _rewritten(docs.columns, arrow_types(docs.sparkSession, schema)), schema)
+    return map_arrow(_with_spans(keyed_with(docs, numbers, row), spans), _rewritten(docs.columns, arrow_types(docs.sparkSession, schema)), schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
