@@ -5,8 +5,12 @@ subtree's text, links and forms. Gradient-boosted trees, trained here on generat
 give each node's log-odds. A tree recursion then picks the best labelling in which content may only stand below
 undecided or content nodes and nothing below a discarded node is content, so no choice contradicts an ancestor's.
 
-Null html counts as empty; a page without a content node has an empty text. Repeated rows are each extracted; extra
-columns are ignored.
+Scripts, styles and other raw elements go with what they hold, as markup.tokens() has it. Vector graphics, templates,
+selections and noscript are parsed and dropped: they end with their end tag, with their parent, or, for graphics, when
+they close themselves or a block starts in them.
+
+Null html counts as empty; a page without a content node has an empty text. Pages may be of any length. Repeated rows
+are each extracted; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,22 +18,25 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import byte_slices, map_arrow, table
+from .markup import END, HELD, RAW, TEXT, tokens
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
-_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)", re.I)
 _WORD = re.compile(r"[a-z]+")
-_SKIPPED = frozenset("script style noscript template textarea select svg iframe title".split())
+#: Elements that are parsed, and dropped with all that they hold.
+_DROPPED = frozenset("noscript template select svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("b i em strong span u s small big sub sup code kbd samp var mark q cite abbr time font tt ins del dfn bdi bdo label wbr img input source track area".split())
 #: Tags that end an open element of the listed tags when they start.
 _CLOSES = {t: ("p",) for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Tags that can't stand in vector graphics and so end them.
+_BREAKS = frozenset([*_CLOSES, "body"]) - {"option"}
 _SCOPES = frozenset("ul ol dl table body html article aside section div nav main header footer form td".split())
 TAGS = "body article main section div p h1 h2 h3 ul ol li a nav header footer aside form table tr td blockquote pre figure figcaption dl".split()
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
@@ -55,57 +62,65 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tags, self.parent, self.attrs, self.depth = ["html"], [-1], [""], [0]
         self.pieces: list[tuple[int, str]] = []
-        stack, names, skip = [0], ["html"], ""
-        at, end = 0, len(source)
-        while at < end:
-            m = _TOKEN.match(source, at)
-            token = m[0]
-            at = m.end()
-            if token[0] != "<" or len(token) == 1:
-                self.pieces.append((stack[-1], token))
-                continue
-            if not (n := _NAME.match(token)):
-                continue
-            name = n[1].lower()
-            if token[1] == "/":
-                if name in _INLINE:
-                    continue
-                if name in names[1:]:
-                    while names[-1] != name:
-                        stack.pop()
-                        names.pop()
-                    stack.pop()
-                    names.pop()
-                self.pieces.append((stack[-1], " "))
+        stack, names, open_ = [0], ["html"], Counter()
+
+        def close(at: int) -> None:
+            """Ends the open elements from this place on; a node of -1 is dropped."""
+            open_.subtract(names[at:])
+            del names[at:], stack[at:]
+
+        for kind, name, rest in tokens(source):
+            node = stack[-1]
+            if kind == TEXT:
+                if node >= 0:
+                    self.pieces.append((node, rest))
                 continue
-            if name in _SKIPPED:
-                close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = close.end() if close else end
+            if kind == HELD or name in RAW or name in _INLINE:
                 continue
-            if name in _INLINE:
+            if kind == END:
+                if open_[name] > 0:
+                    at = len(names) - 1
+                    while names[at] != name:
+                        at -= 1
+                    close(at)
+                if stack[-1] >= 0:
+                    self.pieces.append((stack[-1], " "))
                 continue
-            if name in ("html", "body") and name in names[1:] or name == "html":
+            if name == "html" or name == "body" and open_[name] > 0:
                 continue
-            for other in (name in _CLOSES) and _CLOSES[name] or ():
+            if name in _BREAKS and open_["svg"] > 0 and not open_["foreignobject"] > 0:
+                close(names.index("svg"))
+            for other in _CLOSES.get(name, ()):
+                if open_[other] <= 0:
+                    continue
                 for i in range(len(names) - 1, 0, -1):
                     if names[i] == other:
-                        del names[i:], stack[i:]
+                        close(i)
                         break
-                    if names[i] in _SCOPES:
+                    if names[i] in _SCOPES or names[i] in _DROPPED:
                         break
+            node = stack[-1]
             if name in ("br", "hr"):
-                self.pieces.append((stack[-1], " "))
+                if node >= 0:
+                    self.pieces.append((node, " "))
                 continue
             if name in _VOID:
                 continue
+            if node < 0 or name in _DROPPED:
+                if not (rest.endswith("/") and (name == "svg" or open_["svg"] > 0)):
+                    stack.append(-1)
+                    names.append(name)
+                    open_[name] += 1
+                continue
             if name != "a":
-                self.pieces.append((stack[-1], " "))
+                self.pieces.append((node, " "))
             self.tags.append(name)
-            self.parent.append(stack[-1])
-            self.depth.append(self.depth[stack[-1]] + 1)
-            self.attrs.append(" ".join(_ATTR.findall(token)).lower() if " " in token or "\n" in token else "")
+            self.parent.append(node)
+            self.depth.append(self.depth[node] + 1)
+            self.attrs.append(" ".join(_ATTR.findall(rest)).lower() if rest else "")
             stack.append(len(self.tags) - 1)
             names.append(name)
+            open_[name] += 1
 
     def features(self) -> np.ndarray:
         n = len(self.tags)

@@ -287,16 +287,6 @@ def test_op6_like_the_library(text):
     assert np.frombuffer(pieces.opened(pieces.default_model()).encode([text])[0], "<i4").tolist() == sp.encode(text)
 
 
-def test_op7(spark, data):
-    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").union(spark.createDataFrame([(-1, None, None), (-2, "u", "")], "page_id long, url string, html string"))
-    html = {r.page_id: r.html for r in pages.collect()}
-    for r in warc.derivatives(pages).collect():
-        assert r.linked and r.refers_to == r.response_id != r.metadata_id != r.conversion_id
-        (h, b), *more = warc.parse(warc.response(r.page_id, r.url, html[r.page_id]))
-        assert not more and b.partition(b"\r\n\r\n")[2] == (html[r.page_id] or "").encode() and h["WARC-Payload-Digest"] == r.payload_digest
-        (h, b), *_ = warc.parse(r.conversion)
-        assert h["WARC-Refers-To"] == r.response_id and h["WARC-Block-Digest"] == warc.digest(b) and b"<p>" not in b
-
 
 def test_op8_aliases(spark):
     link = '<link rel="canonical" href="{}">'
