@@ -7,11 +7,11 @@ from .extract import op4_html_extraction
 from .language import op2_language_id
 from .licenses import op1_license_scan
 from .pieces import op6_sentencepiece
-from .quality import op5_quality_rules
+from .quality import OP5_SQL, op5_quality_rules
 from .simhash import op10_simhash_near_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .urls import OP8_SQL, op8_url_filter
 from .warc import op7_warc
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_decontamination, op4_html_extraction, op5_quality_rules, op6_sentencepiece, op7_warc, op8_url_filter, op9_suffix_dedup, op10_simhash_near_dedup)}
-ORACLE = {"op3_decontamination": OP3_SQL, "op8_url_filter": OP8_SQL}
+ORACLE = {"op3_decontamination": OP3_SQL, "op5_quality_rules": OP5_SQL, "op8_url_filter": OP8_SQL}

@@ -227,7 +227,7 @@ def test_op5_fences_follow_the_groups(spark):
             share = symbol + i % 5 / 100 if i % 12 == 0 else 0.0
             rows.append((len(rows), lang, "s", 100, 0, share, i % 10 / (50 if lang == "a" else 25), i % 20 / 200, 5 + i % 9 / (20 if lang == "a" else 10)))
     rated = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, n_repeat_words long, symbol_share double, dup_line_share double, repeat_share double, word_length double")
-    a, b = sorted(quality.thresholds(rated).collect(), key=lambda r: r.t_lang)
+    a, b = sorted(quality.thresholds(rated).collect(), key=lambda r: r.lang)
     assert 0.04 < a.most_symbol_share < 0.1 < b.most_symbol_share < 0.2
     assert a.most_dup_line_share < b.most_dup_line_share and a.most_word_length < b.most_word_length and a.least_word_length > b.least_word_length
 
