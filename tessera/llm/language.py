@@ -5,11 +5,13 @@ longest phrases that occur in that language's text, and the language with the fe
 bits that name a place in its text, wins. The automata are tables, so a batch's texts are parsed side by side. Every
 letter of the samples is a symbol of its own, however many there are.
 
-The model is fitted on a bounded sample: DOCS labelled texts of each language, MODEL letters in all of each, ordered
-by a hash of doc_id. Prediction reads whole texts; a phrase ends at the borders of BLOCK symbols. Letters are compared
-in lower case and runs of other characters count as one gap. Null texts and texts without letters are `und`, as are
-all texts if nothing is labelled. Ties go to the first language by name. Repeated rows are each judged; extra columns
-are ignored.
+The model is fitted on a bounded sample: of the LANGS languages with most labelled rows (of equals the first by name)
+DOCS labelled texts of each, MODEL letters in all of each, ordered by hashes of doc_id and text. Of rows that share
+doc_id and label the sample holds one, the smallest beginning of their texts; rows that repeat take places in the
+sample. Prediction reads whole texts; a phrase ends at the borders of BLOCK symbols. Letters are compared in lower case
+and runs of other characters count as one gap. Null texts and texts without letters are `und`, as are all texts if
+nothing is labelled. Ties go to the first language by name. Repeated rows are each judged; texts may be of any length;
+extra columns are ignored, or kept by the stage that keeps rows.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW, byte_slices, importable, map_arrow, table, trimmed
+from .common import ARROW, arrow_types, byte_slices, cut, importable, map_arrow, table, trimmed
 
 DOCS, MODEL, BLOCK = 64, 16_384, 4096
-#: Letters of all languages together, so that the tables of many languages stay as small.
-MODEL_TOTAL = 1 << 18
+#: Letters of all languages together, so that the tables of many languages stay as small, and languages that are learned.
+MODEL_TOTAL, LANGS = 1 << 18, 1024
 #: Columns of the dense tables: gaps, the most frequent letters, and last the letters that no sample has. The other
 #: letters have symbols from _WIDTH on, whose transitions are looked up among sorted keys.
 _WIDTH = 64
@@ -181,16 +183,24 @@ def built(texts: tuple[tuple[str, str], ...]) -> Model:
 
 def fit(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """Each language's sample, from labelled documents that are not held out."""
-    ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "doc_id", F.xxhash64("doc_id").alias("o"))
-    top = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))).filter(F.col("n") <= DOCS).select("doc_id", "lang", "o", "n").collect()
-    if not top:
+    taught = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    counts = taught.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("rows"))
+    known = [r["lang"] for r in counts.orderBy(F.desc("rows"), "lang").limit(LANGS).collect()]
+    if not known:
         return ()
-    langs = {r["lang"] for r in top}
-    most = min(MODEL, MODEL_TOTAL // len(langs))
-    texts = {r["doc_id"]: r["t"] for r in docs.filter(F.col("doc_id").isin([r["doc_id"] for r in top])).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, most).alias("t")).collect()}
+    most = MODEL_TOTAL // max(len(known), MODEL_TOTAL // MODEL)
+    rows = taught.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.xxhash64("doc_id", "text").alias("o"))
+    places = Window.partitionBy("lang").orderBy("o", "doc_id")
+    top = rows.join(F.broadcast(counts.orderBy(F.desc("rows"), "lang").limit(LANGS).select("lang")), "lang", "left_semi").withColumn("n", F.row_number().over(places)).filter(F.col("n") <= DOCS)
+    top = cut(top.groupBy("lang", "doc_id").agg(F.min("n").alias("n")))  # DOCS * LANGS rows at most
+    begin = F.substring(F.coalesce("text", F.lit("")), 1, most)
+    sample = taught.select(F.col("lang").cast("string").alias("lang"), "doc_id", begin.alias("t")).join(F.broadcast(top), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min("t").alias("t"))
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for r in sample.collect():
+        texts.setdefault(r["lang"], []).append((r["n"], r["t"]))
     out = {}
-    for lang in langs:
-        mine = [texts.get(r["doc_id"], "") for r in sorted(top, key=lambda r: r["n"]) if r["lang"] == lang]
+    for lang, held in texts.items():
+        mine = [t for _, t in sorted(held)]
         share = max(1, most // max(1, sum(bool(t) for t in mine)))
         got = " ".join(t[: 4 * share] for t in mine)[:most]
         if any(c.isalpha() for c in got):
@@ -217,24 +227,36 @@ def language_id(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text", held_out().alias("held_out")), _predict(fit(docs)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def _accepted(texts_of: tuple[tuple[str, str], ...], column: int):
+def _accepted(texts_of: tuple[tuple[str, str], ...], column: int, lang: int, types: list[pa.DataType]):
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(column).to_pylist()]
+            texts, said = [t or "" for t in batch.column(column).to_pylist()], batch.column(lang).to_pylist()
             for a, b in byte_slices([len(t) for t in texts], 4 << 20):
                 model = built(texts_of)
-                keep = [x != "und" for x in model.predict(texts[a:b])[0]] if model.langs else model.symbols(texts[a:b])[1] > 0
-                yield batch.slice(a, b - a).filter(pa.array(keep))
+                if model.langs:
+                    got = model.predict(texts[a:b])[0]
+                else:
+                    got = ["und" if not n else None for n in model.symbols(texts[a:b])[1]]
+                part = batch.slice(a, b - a)
+                filled = pa.array([x if x is not None else y for x, y in zip(said[a:b], got, strict=True)], types[lang])
+                part = pa.RecordBatch.from_arrays([filled if i == lang else c for i, c in enumerate(part.columns)], part.schema.names)
+                yield part.filter(pa.array([x != "und" for x in got]))
 
     return run
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose text is in some language, that is, has letters to judge by, be any language labelled or not."""
+    """The rows of docs, all columns, that are in some language, with the language that was found where lang is null.
+
+    Rejected is what is `und`: a null text, one without a letter, and nothing else. A label that is there stays. Where
+    nothing is labelled nothing can be found, and texts with a letter stay with a null lang.
+    """
     importable(docs.sparkSession)
     for k, v in ARROW.items():
         docs.sparkSession.conf.set(k, v)
-    return docs.mapInArrow(trimmed(_accepted(fit(docs), docs.columns.index("text"))), docs.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    run = _accepted(fit(docs), docs.columns.index("text"), docs.columns.index("lang"), arrow_types(docs.sparkSession, schema))
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

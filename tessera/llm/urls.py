@@ -3,11 +3,12 @@
 A rule fits its host and all subdomains if the url's path starts with the rule's; the longest rule wins. Pages that
 name a canonical link or a refresh redirect are linked to the target's url; components of these links are found by
 distributed label passing. Targets are resolved against the page's url or its <base> (RFC 3986), character references
-in them are decoded, and urls are the same node whatever the case of scheme and host. A url without a rule of its own takes its component's: allow if a member is allowed by a
-rule, else block if a member is blocked by one, else allow.
+in them are decoded, and urls are the same node whatever the case of scheme and host. Links whose target isn't
+absolute even then (mailto:) are no links. A url without a rule of its own takes its component's: allow if a member is
+allowed by a rule, else block if a member is blocked by one, else allow.
 
-Null urls and urls without :// have an empty host and path, fit no rule and are allowed unless linked. Repeated rows
-are each judged. Extra columns are ignored.
+Null urls and urls without :// have an empty host and path, fit no rule, have no links and are allowed. Null html has
+no links. Pages may be of any length. Repeated rows are each judged. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, table
+from .common import cut, joined, let, table
 from .simhash import components
 
 #: (verdict, host, path)
@@ -108,14 +109,21 @@ def node(url: Column) -> Column:
     return resolved(url, url)
 
 
+def _value(tag: Column, name: str) -> Column:
+    """An attribute's value as it stands in a tag, without its quotes; empty if it has none."""
+    raw = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.regexp_replace(raw, "^[\"'\\s]+|[\"'\\s]+$", "")
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
-    """a, b: nodes of urls that a canonical link or a refresh redirect makes the same."""
+    """a, b: nodes of urls that canonical links or refresh redirects make the same; every such tag outside comments and scripts counts."""
     found = pages.select("url", "html").filter(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").contains("://"))
-    link = F.regexp_extract("html", r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    back = F.regexp_extract("html", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    base = F.regexp_extract(F.regexp_extract("html", r"(?is)<base\b[^>]*\bhref\s*=[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    named = F.array(F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(back, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    e = found.select("url", base.alias("base"), F.explode(named).alias("to")).filter("to <> ''")
+    found = found.select("url", F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script|<style\b.*?</style", " ").alias("html"))
+    tags = lambda name: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    links = F.transform(F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(_value(t, "rel")), r"\s+"), "canonical")), lambda t: _value(t, "href"))
+    backs = F.transform(F.filter(tags("meta"), lambda t: F.lower(_value(t, "http-equiv")) == "refresh"), lambda t: F.regexp_extract(_value(t, "content"), r"(?is)url\s*=\s*[\"']?\s*([^\"'\s]+)", 1))
+    base = F.coalesce(F.get(F.filter(F.transform(tags("base"), lambda t: _value(t, "href")), lambda x: x != ""), F.lit(0)), F.lit(""))
+    e = found.select("url", base.alias("base"), F.explode(F.array_distinct(F.concat(links, backs))).alias("to")).filter("to <> ''")
     on = resolved(F.col("url"), decoded(F.col("base")))
     return e.select(node(F.col("url")).alias("a"), resolved(on, decoded(F.col("to"))).alias("b")).filter("contains(b, '://') AND a <> b").distinct()
 
@@ -129,8 +137,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
     label = components(edges)
     members = ruled(label, rules, "node")
     told = members.groupBy("root").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
-    alias = label.join(told, "root").select(F.col("node").alias("bare"), F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict")).filter("alias_verdict IS NOT NULL")
-    j = own.withColumn("bare", node(F.col("url"))).join(alias, "bare", "left")
+    alias = joined(label, told, ["root"]).select(F.col("node").alias("bare"), F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict")).filter("alias_verdict IS NOT NULL")
+    pages_of = cut(own.withColumn("bare", node(F.col("url"))))
+    j = joined(pages_of, alias, ["bare"], "left")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("alias_verdict").isNotNull(), "alias").otherwise("none")
     return j.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit("allow")).alias("verdict"), by.alias("by"))
 
