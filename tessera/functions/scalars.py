@@ -31,9 +31,14 @@ def valid_vector(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & finite & (norm(v) > 1e-12), F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; null if it isn't valid."""
-    return F.when(valid_vector(v), F.transform(v, lambda x: x.cast("double") / norm(v)))
+    return F.when(valid_vector(v), let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
@@ -72,3 +77,9 @@ def displayed_rect(box: Column, width: Column, height: Column, content: Column,
     left, top = turn(height - box["top"] - box["height"], box["left"]), turn(box["left"], box["top"])
     wide, high = turn(box["height"], box["width"]), turn(box["width"], box["height"])
     return F.when(good, F.struct((content["left"] - canvas["left"] + left * sx).alias("left"), (content["top"] - canvas["top"] + top * sy).alias("top"), (wide * sx).alias("width"), (high * sy).alias("height")))
+
+
+def natural_key(text: Column) -> Column:
+    """A string whose order is that of the text in lower case with runs of digits (up to 20) compared as numbers."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, dot
+from .blocks import matrix, products
+from .skew import group_quantiles, kept, quantiles
 
 
 def summed(vectors: Column, width: int) -> Column:
@@ -14,26 +18,72 @@ def summed(vectors: Column, width: int) -> Column:
 
 
 def reference_scores(items: DataFrame, refs: DataFrame, top: int = 3) -> DataFrame:
-    """k, top_mean (mean of the best `top` cosines), best and novelty of every item. refs is broadcast: it is a curated bank, checked by the caller."""
-    j = items.select("k", "v").crossJoin(F.broadcast(refs.select(F.col("v").alias("rv"))))
-    s = j.select("k", clip(dot(F.col("v"), F.col("rv"))).alias("s")).groupBy("k").agg(F.slice(F.sort_array(F.collect_list("s"), False), 1, top).alias("t"), F.max("s").alias("best"))
+    """k, top_mean (mean of the best `top` cosines), best and novelty of every item; null where there are no references."""
+    kind = dict(items.dtypes)["k"]
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"k": x["k"][:0], "t": []})
+        s = np.clip(matrix(x["v"]) @ matrix(y["v"]).T, -1, 1)
+        best = -np.sort(-np.partition(s, max(0, s.shape[1] - top), 1)[:, -top:], 1)
+        return pd.DataFrame({"k": x["k"], "t": list(best)})
+
+    parts = products(items.select("k", "v"), refs.select("k", "v"), ("k", "k"), run, f"k {kind}, t array<double>")
+    s = parts.groupBy("k").agg(F.slice(F.sort_array(F.flatten(F.collect_list("t")), False), 1, top).alias("t"))
     mean = F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / F.size("t")
-    return s.select("k", mean.alias("top_mean"), "best", (1 - F.col("best")).alias("novelty"))
+    return items.select("k").join(s, "k", "left").select("k", mean.alias("top_mean"), F.get("t", F.lit(0)).alias("best"), (1 - F.get("t", F.lit(0))).alias("novelty"))
 
 
 def label_scores(queries: DataFrame, bank: DataFrame, width: int) -> DataFrame:
     """k, label, centre, individual: cosine to each label's centroid and best reference, without references of the query's own crop.
 
-    queries: k, crop, v; bank: label, crop, v. Centroids are sums less the excluded rows, so no centroid is recomputed.
+    queries: k, crop, v; bank: label, crop, v. Centroids are sums less the excluded rows, which an equi-join on the crop
+    finds, so no centroid is recomputed. A label whose references are all excluded, or sum to nothing, has no score.
     """
-    sums = bank.groupBy("label").agg(summed(F.col("v"), width).alias("total"), F.count("*").alias("members"))
-    each = queries.select("k", "crop", "v").crossJoin(F.broadcast(bank.select("label", F.col("crop").alias("rcrop"), F.col("v").alias("rv"))))
-    own = F.col("crop") == F.col("rcrop")
-    got = each.groupBy("k", "label").agg(F.max(F.when(~own, dot(F.col("v"), F.col("rv")))).alias("individual"), F.count(F.when(~own, 1)).alias("n"), summed(F.when(own, F.col("rv")), width).alias("cut"))
-    j = got.join(F.broadcast(sums), "label").join(queries.select("k", "v"), "k").filter("n > 0")
-    centre = F.zip_with("total", "cut", lambda t, c: t - F.coalesce(c, F.lit(0.0)))
-    j = j.withColumn("c", centre).withColumn("len", F.sqrt(dot(F.col("c"), F.col("c")))).filter(F.col("len") / F.col("n") > 1e-12)
-    return j.select("k", "label", clip(dot(F.col("v"), F.col("c")) / F.col("len")).alias("centre"), clip(F.col("individual")).alias("individual"))
+    kinds = dict(queries.dtypes)
+    whole = bank.groupBy("label").agg(summed(F.col("v"), width).alias("v"), F.count("*").alias("members"))
+    own = bank.groupBy("crop", "label").agg(summed(F.col("v"), width).alias("cut"), F.count("*").alias("n"))
+    cuts = queries.select("k", "crop").join(own, "crop").groupBy("k").agg(F.collect_list(F.struct("label", "cut", "n")).alias("own"))
+    left = queries.select("k", "crop", "v").join(cuts, "k", "left")
+    right = bank.select("label", "crop", "v", F.lit(0).cast("long").alias("members")).union(whole.select("label", F.lit(None).cast(kinds["crop"]), "v", "members"))
+    right = right.withColumn("key", F.struct("label", "crop"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = {"k": [], "label": [], "centre": [], "individual": []}
+
+        def add(rows: np.ndarray, labels: np.ndarray, centre: np.ndarray, individual: np.ndarray) -> None:
+            for c, v in zip(out, (x["k"].to_numpy()[rows], labels, centre, individual), strict=True):
+                out[c].append(v)
+
+        if len(x) and len(y):
+            q = matrix(x["v"])
+            sums, refs = y[y["members"] > 0], y[y["members"] == 0].sort_values("label")
+            if len(sums):
+                t, n, names = matrix(sums["v"]), sums["members"].to_numpy(), sums["label"].to_numpy()
+                dots, lengths = q @ t.T, np.broadcast_to(np.sqrt((t * t).sum(1)), (len(q), len(t))).copy()
+                left_over = np.broadcast_to(n, lengths.shape).copy()
+                at = {name: i for i, name in enumerate(names)}
+                for i, mine in enumerate(x["own"]):
+                    for o in mine if mine is not None else ():
+                        if (j := at.get(o["label"])) is not None:
+                            c = t[j] - np.asarray(o["cut"], float)
+                            dots[i, j], lengths[i, j], left_over[i, j] = q[i] @ c, np.sqrt(c @ c), n[j] - o["n"]
+                ok = (left_over > 0) & (lengths > 1e-12 * np.maximum(left_over, 1))
+                i, j = np.nonzero(ok)
+                add(i, names[j], np.clip(dots[i, j] / lengths[i, j], -1, 1), np.full(len(i), np.nan))
+            if len(refs):
+                names, first = np.unique(refs["label"].to_numpy(), return_index=True)
+                s = q @ matrix(refs["v"]).T
+                s[x["crop"].to_numpy()[:, None] == refs["crop"].to_numpy()[None, :]] = -np.inf
+                best = np.maximum.reduceat(s, first, 1)
+                i, j = np.nonzero(best > -np.inf)
+                add(i, names[j], np.full(len(i), np.nan), np.clip(best[i, j], -1, 1))
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+
+    kind = dict(bank.dtypes)["label"]
+    parts = products(left, right, ("k", "key"), run, f"k {kinds['k']}, label {kind}, centre double, individual double")
+    seen = lambda c: F.max(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(c)
+    return parts.groupBy("k", "label").agg(seen("centre"), seen("individual")).filter("centre IS NOT NULL AND individual IS NOT NULL")
 
 
 def margins(scores: DataFrame) -> DataFrame:
@@ -56,10 +106,14 @@ def decide(scores: DataFrame, min_sim: float, min_margin: float) -> DataFrame:
 
 
 def calibrate(bank: DataFrame, width: int) -> DataFrame:
-    """One row: references used, impostors' 95th percentile and max(.005, 10th percentile of positive margins)."""
+    """One row: references used, those of a positive margin, the genuine scores' median, the impostors' 95th percentile and max(.005, 10th percentile of positive margins)."""
     q = bank.select(F.col("crop").alias("k"), "crop", "v", F.col("label").alias("own"))
-    m = margins(label_scores(q, bank, width)).join(q.select("k", "own"), "k").filter("label = own AND labels >= 2")
-    return m.agg(F.count("*").alias("used"), F.percentile("wrong", F.lit(0.95)).alias("min_sim"), F.greatest(F.lit(0.005), F.percentile(F.when(F.col("margin") > 0, F.col("margin")), F.lit(0.10))).alias("min_margin"))
+    m = kept(margins(label_scores(q, bank, width)).join(q.select("k", "own"), "k").filter("label = own AND labels >= 2"))
+    impostors = quantiles(m, "wrong", {"min_sim": 0.95})
+    genuine = quantiles(m, "centre", {"genuine": 0.5})
+    stable = quantiles(m.filter("margin > 0"), "margin", {"low": 0.10})
+    one = m.agg(F.count("*").alias("used"), F.count_if(F.col("margin") > 0).alias("stable"))  # all four are one row
+    return one.crossJoin(impostors).crossJoin(genuine).crossJoin(stable).select("used", "stable", "genuine", "min_sim", F.greatest(F.lit(0.005), F.col("low")).alias("min_margin"))
 
 
 def loo_coherence(groups: DataFrame, width: int) -> DataFrame:
@@ -67,4 +121,6 @@ def loo_coherence(groups: DataFrame, width: int) -> DataFrame:
     total = groups.filter("v IS NOT NULL").groupBy("g").agg(summed(F.col("v"), width).alias("t"), F.count("*").alias("n"))
     j = groups.join(total, "g", "left").withColumn("o", F.zip_with("t", "v", lambda a, b: a - b.cast("double"))).withColumn("len", F.sqrt(dot(F.col("o"), F.col("o"))))
     score = F.when(F.col("v").isNotNull() & (F.col("n") >= 2) & (F.col("len") > 1e-12), clip(dot(F.col("v"), F.col("o")) / F.col("len")))
-    return j.withColumn("s", score).groupBy("g").agg(F.count("*").alias("denominator"), F.count("s").alias("valid"), F.count(F.when(F.col("s").isNull(), 1)).alias("missing"), F.percentile("s", F.lit(0.5)).alias("median"), F.percentile("s", F.lit(0.1)).alias("p10"))
+    d = kept(j.withColumn("s", score).select("g", "s"))
+    n = d.groupBy("g").agg(F.count("*").alias("denominator"), F.count("s").alias("valid"), F.count(F.when(F.col("s").isNull(), 1)).alias("missing"))
+    return n.join(group_quantiles(d, ["g"], "s", {"median": 0.5, "p10": 0.1}), "g", "left")

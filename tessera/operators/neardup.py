@@ -1,28 +1,23 @@
-"""Near-duplicate links between bit strings, and connected components."""
+"""Near-duplicate links between bit strings, families, connected components and density clusters."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, hamming_hex
+from .blocks import similar_pairs
+from .ranking import family_id
+from .skew import joined, kept
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Computed once into the folder of spark.checkpoint.dir; a local folder is set only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(True)
-
-
-def banded_pairs(rows: DataFrame, key: str, bits: str, within: int, digits: int = 64, band: int = 4) -> DataFrame:
+def banded_pairs(rows: DataFrame, key: str, bits: str, within: int, digits: int = 64, band: int | None = None) -> DataFrame:
     """a, b, distance of keys a < b whose hex strings differ in at most `within` bits.
 
-    `within` differing bits leave at least one of `within` + 1 or more bands equal, so equal bands find every pair.
+    `within` differing bits leave at least one of `within` + 1 or more bands equal, so equal bands find every pair; the
+    bands are as wide as that allows, unless `band` digits are asked for.
     """
+    band = band or digits // (within + 1)
     bands = digits // band
     assert within < bands, "more differing bits than bands"
     d = rows.select(F.col(key).alias("k"), F.lpad(F.col(bits), digits, "0").alias("x"))
@@ -38,24 +33,46 @@ def theta_links(pairs: DataFrame, vectors: DataFrame, near: int = 6, far: int =
     return j.filter((F.col("distance") <= near) | ((F.col("distance") <= far) & (dot(F.col("va"), F.col("vb")) >= cosine))).select("a", "b")
 
 
+def theta_families(rows: DataFrame, profile: str = "theta-v1", near: int = 6, far: int = 10, cosine: float = 0.96) -> DataFrame:
+    """k, component, family_id of every row: the digest of the profile and its component's distinct contents.
+
+    rows: k, sha256, hash (64 hex digits; null: a family of its own), v (a unit vector or null). Rows of one hash are
+    folded before pairs are made, so copies cost no pairs; of a hash's rows each different vector may make a link.
+    """
+    hashed = kept(rows.filter("hash IS NOT NULL").select("k", "hash", "v"))
+    folded = kept(hashed.groupBy("hash").agg(F.min("k").alias("k")))
+    pairs = kept(banded_pairs(folded, "k", "hash", far))
+    each = joined(kept(hashed.filter("v IS NOT NULL").select("hash", "v").distinct()), folded, ["hash"]).select("k", "v")
+    close = pairs.filter(F.col("distance") <= near).select("a", "b")
+    wide = theta_links(pairs.filter(F.col("distance") > near), each, near, far, cosine)
+    copies = joined(hashed.select("k", "hash"), folded.withColumnRenamed("k", "b"), ["hash"]).filter("k <> b").select(F.col("k").alias("a"), "b")
+    part = components(rows, close.union(wide).union(copies).distinct())
+    members = kept(part.join(rows.select("k", "sha256"), "k"))
+    named = members.groupBy("component").agg(family_id(F.collect_set("sha256"), profile).alias("family_id"))
+    return joined(members, named, ["component"]).select("k", "component", "family_id")
+
+
 def components(nodes: DataFrame, links: DataFrame, key: str = "k") -> DataFrame:
-    """key, component (its smallest node): minimum labels with pointer jumping, each round kept in the shared folder."""
-    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = kept(nodes.select(F.col(key).alias("n"), F.col(key).alias("r")).distinct())
+    """key, component (its smallest node): minimum labels with pointer jumping, each round kept in the shared folder.
+
+    Only nodes with a link take part; joins on a node of very many links or on a large component's root salt these keys.
+    """
+    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    label = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("r")))
     while True:
-        near = both.join(label.select(F.col("n").alias("b"), "r"), "b").groupBy("a").agg(F.min("r").alias("m"))
-        new = label.join(near, label["n"] == near["a"], "left").select("n", F.col("r").alias("old"), F.least("r", F.coalesce("m", "r")).alias("r"))
+        near = joined(both, label.select(F.col("n").alias("b"), "r"), ["b"]).groupBy("a").agg(F.min("r").alias("m"))
+        new = kept(label.join(near, label["n"] == near["a"]).select("n", F.col("r").alias("old"), F.least("r", "m").alias("r")))
         up = new.select(F.col("n").alias("r"), F.col("r").alias("rr"))
-        step = kept(new.join(up, "r", "left").select("n", "old", F.coalesce("rr", "r").alias("r")))
+        step = kept(joined(new, up, ["r"], "left").select("n", "old", F.coalesce("rr", "r").alias("r")))
         label = step.select("n", "r")
         if step.filter("old <> r").limit(1).count() == 0:
-            return label.select(F.col("n").alias(key), F.col("r").alias("component"))
+            break
+    return nodes.select(key).distinct().join(label, F.col(key) == label["n"], "left").select(key, F.coalesce("r", key).alias("component"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """k, cluster, core over unit vectors by cosine distance; border points join their smallest neighbouring core's cluster."""
-    a, b = points.select(F.col("k").alias("a"), F.col("v").alias("va")), points.select(F.col("k").alias("b"), F.col("v").alias("vb"))
-    near = kept(a.join(b, F.col("a") < F.col("b")).filter(1 - dot(F.col("va"), F.col("vb")) <= eps).select("a", "b"))
+    near = kept(similar_pairs(points, 1 - eps).select("a", "b"))
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = kept(points.join(both.groupBy("a").agg(F.count("*").alias("n")), F.col("k") == F.col("a"), "left").filter(F.coalesce("n", F.lit(0)) + 1 >= least).select("k"))
     inner = near.join(core.select(F.col("k").alias("a")), "a", "left_semi").join(core.select(F.col("k").alias("b")), "b", "left_semi")

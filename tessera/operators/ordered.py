@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, dot
 from .grouping import summed
-from .neardup import components, kept
+from .neardup import components
+from .skew import kept
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

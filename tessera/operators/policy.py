@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import placed_within
+
 #: Fixed gates of each regime: feature, comparison, boundary.
 REGIMES = {
     "session-set": (("valid_images", ">=", 30), ("v", ">=", 0.90), ("f", ">=", 0.80), ("eligible_faces", ">=", 30)),
@@ -66,10 +68,8 @@ def first_pass(rows: DataFrame, min_sim: float = 0.90, min_margin: float = 0.05,
 def audit(rows: DataFrame, snapshot: str, seed: str = "audit-v1") -> DataFrame:
     """The ceil(5 %) rows of each tier with the smallest digest of seed, snapshot, tier and key."""
     digest = F.sha2(F.concat_ws("\n", F.lit(seed), F.lit(snapshot), "tier", F.col("k").cast("string")), 256)
-    d = rows.withColumn("digest", digest)
-    n = d.groupBy("tier").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("tier").orderBy("digest", "k")
-    return d.withColumn("rn", F.row_number().over(w)).join(F.broadcast(n), "tier").filter(F.col("rn") <= F.floor((F.col("n") + 19) / 20)).select("tier", "k", "digest")
+    d = placed_within(rows.select("tier", "k", digest.alias("digest")), ["tier"], "digest", "k")
+    return d.filter(F.col("place") < F.floor((F.col("n") + 19) / 20)).select("tier", "k", "digest")
 
 
 def roll_up(states: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hex_int
+from .skew import kept, quantiles
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,7 @@ def consensus(rows: DataFrame, signals: list[str], sigma: tuple[str, str] | None
     needed = signals + ([sigma[0]] if sigma else [])
     stats = [F.coalesce(F.bool_and(F.greatest(*(F.col(c).isNull().cast("int") for c in [*needed, needed[0]])) == 0), F.lit(False)).alias("complete")]
     stats += [f(c).alias(f"{n}_{c}") for c in signals for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    rows = kept(rows)
     scored = rows.crossJoin(F.broadcast(rows.agg(*stats)))
     zs = F.array(*(z(F.col(c), F.col(f"mean_{c}"), F.col(f"sd_{c}")) for c in signals))
     k = len(signals)
@@ -54,6 +56,7 @@ def consensus(rows: DataFrame, signals: list[str], sigma: tuple[str, str] | None
     if sigma:
         native = F.when(F.col(f"sd_{sigma[1]}") > 1e-12, F.pow(F.col(sigma[0]) / F.col(f"sd_{sigma[1]}"), 2) / k).otherwise(0.0)
     scored = scored.withColumn("_z", zs).withColumn("_m", F.when(F.col("complete"), mean)).withColumn("disagreement", F.when(F.col("complete"), F.sqrt(spread + native)))
+    scored = kept(scored)
     again = scored.agg(F.avg("_m").alias("_mm"), F.stddev_pop("_m").alias("_ms"))
     return scored.crossJoin(F.broadcast(again)).select(*rows.columns, "complete", z(F.col("_m"), F.col("_mm"), F.col("_ms")).alias("consensus_z"), "disagreement")
 
@@ -76,11 +79,11 @@ def tiers(rows: DataFrame, signals: list[str], limits: Limits = Limits(), sigma:
     rows: position, sha256, family_id, the signals, identity_sim, confusable_margin, nsfw_prob, gaming_delta.
     """
     needed = signals + ([sigma[0]] if sigma else [])
-    scored = champions(consensus(rows, signals, sigma))
-    q = scored.agg(
-        F.coalesce(F.bool_and(F.col("identity_sim").isNotNull()), F.lit(False)).alias("ids_complete"),
-        *(F.percentile(c, F.lit(p)).alias(n) for n, c, p in (("q_ir", "identity_sim", limits.identity_route), ("q_iq", "identity_sim", limits.identity_queue), ("q_q", "consensus_z", limits.queue), ("q_r", "consensus_z", limits.review))),
-    )
+    scored = kept(champions(consensus(rows, signals, sigma)))
+    told = scored.agg(F.coalesce(F.bool_and(F.col("identity_sim").isNotNull()), F.lit(False)).alias("ids_complete"))
+    low = quantiles(scored, "identity_sim", {"q_ir": limits.identity_route, "q_iq": limits.identity_queue})
+    high = quantiles(scored, "consensus_z", {"q_q": limits.queue, "q_r": limits.review})
+    q = told.crossJoin(low).crossJoin(high)  # one row each
     d = scored.crossJoin(F.broadcast(q))
     ir, iq = (F.when(F.col("ids_complete"), F.col(c)) for c in ("q_ir", "q_iq"))
     col = F.col

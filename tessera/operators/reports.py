@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from .skew import kept, quantiles as exact
 
 
 def pass_agreement(rows: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.2, 0.9)) -> DataFrame:
@@ -13,7 +14,7 @@ def pass_agreement(rows: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.2, 0.
 
     The threshold is a quantile of all old scores; only rows that have both scores are paired.
     """
-    limits = rows.agg(*(F.percentile("old", F.lit(q)).alias(f"t{i}") for i, q in enumerate(quantiles)))
+    limits = exact(rows, "old", {f"t{i}": q for i, q in enumerate(quantiles)})
     d = rows.crossJoin(F.broadcast(limits)).filter("old IS NOT NULL AND new IS NOT NULL")  # one row
     each = d.select("old", "new", F.explode(F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(f"t{i}").alias("threshold")) for i, q in enumerate(quantiles)))).alias("q"))
     a, b = F.col("old") >= F.col("q.threshold"), F.col("new") >= F.col("q.threshold")
@@ -64,7 +65,9 @@ def vector_agreement(pairs: DataFrame, absolute: float = 1e-3, relative: float =
     """One row that holds unit vectors x against y: largest and median deviations, and whether they stay in their budgets."""
     error = F.zip_with("x", "y", lambda a, b: F.abs(a - b))
     d = pairs.select((1 - dot(F.col("x"), F.col("y"))).alias("c"), F.array_max(error).alias("e"), F.forall(F.zip_with("x", "y", lambda a, b: F.abs(a - b) <= absolute + relative * F.abs(a)), lambda ok: ok).alias("ok"))
-    return d.agg(F.max("c").alias("max_cosine"), F.percentile("c", F.lit(0.5)).alias("median_cosine"), F.max("e").alias("max_component"), F.bool_and("ok").alias("component_pass"), (F.max("c") <= cosine).alias("cosine_pass"))
+    d = kept(d)
+    one = d.agg(F.max("c").alias("max_cosine"), F.max("e").alias("max_component"), F.bool_and("ok").alias("component_pass"), (F.max("c") <= cosine).alias("cosine_pass"))
+    return one.crossJoin(exact(d, "c", {"median_cosine": 0.5}))  # one row each
 
 
 def columnar_payload(rows: DataFrame, position: str, columns: list[str], coded: dict[str, list[str]], chunk: int = 10_000) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ancestors
+from ..functions.scalars import ancestors, natural_key
 from ..operators import inventory
+from ..operators.skew import placed
 from ..sources.tables import table
 from ..streaming import events as ev
 
@@ -39,9 +40,17 @@ def review_filter(spark, d):
 
 
 def nulls_last_sort(spark, d):
-    w = Window.orderBy(F.desc_nulls_last("quality"), "doc_id")
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality").orderBy(F.desc_nulls_last("quality"), "doc_id").limit(200)
-    return docs.select("doc_id", "quality", F.row_number().over(w).alias("place"))
+    """Every document's place in both directions; what has no value comes last in either."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality")
+    down = placed(docs, F.desc_nulls_last("quality"), F.col("doc_id"), name="down")
+    up = placed(docs, F.asc_nulls_last("quality"), F.col("doc_id"), name="up").select("doc_id", "up")
+    return down.join(up, "doc_id").select("doc_id", "quality", (F.col("down") + 1).alias("place"), (F.col("up") + 1).alias("place_up"))
+
+
+def natural_sort(spark, d):
+    """Every page's place by its url, runs of digits compared as numbers."""
+    p = table(spark, d, "pages").select("page_id", natural_key(F.col("url")).alias("key"))
+    return placed(p, F.asc_nulls_last("key"), F.col("page_id")).select("page_id", (F.col("place") + 1).alias("place"))
 
 
 def neighbour_frame(spark, d):
@@ -151,18 +160,26 @@ def corpus_fingerprint(spark, d):
     return docs.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("s")), "\n"), 256).alias("fingerprint"))
 
 
+def whole_fingerprint(spark, d):
+    """The digest of all distinct contents in order, however many there are."""
+    docs = table(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("s"))
+    return spark.createDataFrame([inventory.fingerprint(docs, "s")], "contents long, fingerprint string")
+
+
 def price_rollup(spark, d):
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_delta, duplicate_marks, new_content, review_filter, nulls_last_sort, neighbour_frame, latest_event, naming_fold, undo_fold, silent_gaps, chain_breaks, folder_tree, folder_purity, attribute_shares, support_quantiles, alias_lookup, assignment_diff, merged_options, conflicting_references, cluster_lineage, set_operations, integrity_violations, source_concentration, adjusted_rand, corpus_fingerprint, price_rollup)}
+QUERIES = {f.__name__: f for f in (inventory_delta, duplicate_marks, new_content, review_filter, nulls_last_sort, natural_sort, neighbour_frame, latest_event, naming_fold, undo_fold, silent_gaps, chain_breaks, folder_tree, folder_purity, attribute_shares, support_quantiles, alias_lookup, assignment_diff, merged_options, conflicting_references, cluster_lineage, set_operations, integrity_violations, source_concentration, adjusted_rand, corpus_fingerprint, whole_fingerprint, price_rollup)}
 _REV = "docs AS (SELECT source || '/' || doc_id AS path, sha256(coalesce(text, '')) AS sha, doc_id FROM documents), o AS (SELECT path, sha FROM docs WHERE doc_id % 7 <> 0), n AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN sha256(sha || 'x') ELSE sha END AS sha FROM docs WHERE doc_id % 11 <> 0)"
 ORACLE = {
     "inventory_delta": f"WITH {_REV} SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.sha <> n.sha THEN 'changed' ELSE 'same' END AS status FROM o FULL JOIN n ON n.path = o.path",
     "duplicate_marks": "SELECT path, sha, row_number() OVER (PARTITION BY sha ORDER BY path) > 1 AS duplicate FROM (SELECT source || '/' || doc_id AS path, sha256(coalesce(text, '')) AS sha FROM documents)",
     "new_content": f"WITH {_REV} SELECT sha, count(*) AS n, min(path) AS path FROM n WHERE sha NOT IN (SELECT sha FROM o) GROUP BY sha",
     "review_filter": "SELECT d.doc_id, source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE contains(lower(concat_ws(' ', source, lang, CAST(d.doc_id AS VARCHAR))), 'src1') AND lang = 'en' AND quality IS NULL",
-    "nulls_last_sort": "SELECT d.doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id QUALIFY place <= 200",
+    "nulls_last_sort": "SELECT d.doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, d.doc_id) AS place, row_number() OVER (ORDER BY quality NULLS LAST, d.doc_id) AS place_up FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "natural_sort": r"WITH k AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS k FROM pages) SELECT page_id, row_number() OVER (ORDER BY k NULLS LAST, page_id) AS place FROM k",
+    "whole_fingerprint": "SELECT count(DISTINCT s) AS contents, sha256(string_agg(DISTINCT s, chr(10) ORDER BY s)) AS fingerprint FROM (SELECT sha256(coalesce(text, '')) AS s FROM documents)",
     "neighbour_frame": "SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)",
     "latest_event": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "naming_fold": "SELECT k, CASE WHEN a < 2 THEN event_type END AS name, a >= 2 AS excluded FROM (SELECT event_id % 97 AS k, event_id % 4 AS a, event_type, row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",

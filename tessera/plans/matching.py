@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import unit, valid_vector, wilson
 from ..operators import grouping, neardup, policy
+from ..operators.blocks import similar_pairs
 from ..sources.tables import table
 
 WIDTH = 64
@@ -16,7 +17,7 @@ def _vectors(spark, d):
 
 
 def _bank(spark, d):
-    return _vectors(spark, d).filter("k % 4 = 0").select(F.col("label").cast("string").alias("label"), F.col("k").alias("crop"), "v")
+    return _vectors(spark, d).select(F.col("label").cast("string").alias("label"), F.col("k").alias("crop"), "v")
 
 
 _V = "v AS (SELECT vec_id AS k, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"
@@ -34,15 +35,9 @@ def near_duplicate_pairs(spark, d):
     return neardup.banded_pairs(_vectors(spark, d).withColumn("bits", hexed), "k", "bits", 15, digits=16, band=1).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
-def _links(spark, d, least: float):
-    v = _vectors(spark, d)
-    a, b = v.select(F.col("k").alias("a"), F.col("v").alias("va")), v.select(F.col("k").alias("b"), F.col("v").alias("vb"))
-    return v, a.join(b, F.col("a") < F.col("b")).filter(grouping.dot(F.col("va"), F.col("vb")) >= least).select("a", "b")
-
-
 def similarity_components(spark, d):
-    v, links = _links(spark, d, 0.38)
-    return neardup.components(v, links)
+    v = _vectors(spark, d)
+    return neardup.components(v, similar_pairs(v, 0.38))
 
 
 def density_clusters(spark, d):
@@ -57,7 +52,7 @@ def group_decisions(spark, d):
 
 
 def bank_calibration(spark, d):
-    return grouping.calibrate(_bank(spark, d), WIDTH).select("used", F.round("min_sim", 6).alias("min_sim"), F.round("min_margin", 6).alias("min_margin"))
+    return grouping.calibrate(_bank(spark, d), WIDTH).select("used", "stable", *(F.round(c, 6).alias(c) for c in ("genuine", "min_sim", "min_margin")))
 
 
 def group_coherence(spark, d):
@@ -131,7 +126,7 @@ def state_roll_up(spark, d):
 
 QUERIES = {f.__name__: f for f in (reference_similarity, near_duplicate_pairs, similarity_components, density_clusters, group_decisions, bank_calibration, group_coherence, top_candidates, model_proposals, first_pass, first_pass_reasons, first_pass_audit, label_intervals, folder_regimes, state_roll_up)}
 
-_SCORES = f"""{_V}, bank AS (SELECT CAST(label AS VARCHAR) AS label, k AS crop, v FROM v WHERE k % 4 = 0),
+_SCORES = f"""{_V}, bank AS (SELECT CAST(label AS VARCHAR) AS label, k AS crop, v FROM v),
 be AS (SELECT label, crop, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM bank),
 tot AS (SELECT label, i, sum(x) AS t FROM be GROUP BY label, i),
 qe AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
@@ -150,7 +145,7 @@ ORACLE = {
     "similarity_components": f"WITH RECURSIVE {_V}, e AS (SELECT a.k AS a, b.k AS b FROM v a, v b WHERE a.k <> b.k AND list_dot_product(a.v, b.v) >= 0.38), r AS (SELECT k AS n, k AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n) SELECT n AS k, min(c) AS component FROM r GROUP BY n",
     "density_clusters": f"WITH RECURSIVE {_V}, e AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM v a, v b WHERE a.k <> b.k AND 1 - list_dot_product(a.v, b.v) <= 0.66), core AS MATERIALIZED (SELECT k FROM v LEFT JOIN e ON e.a = v.k GROUP BY k HAVING count(e.a) + 1 >= 4), ce AS MATERIALIZED (SELECT a, b FROM e WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)), r AS (SELECT k AS n, k AS c FROM core UNION SELECT ce.b, r.c FROM r JOIN ce ON ce.a = r.n), m AS (SELECT n, min(c) AS c FROM r GROUP BY n), bo AS (SELECT e.a AS n, min(m.c) AS c FROM e JOIN m ON m.n = e.b WHERE e.a NOT IN (SELECT k FROM core) GROUP BY e.a) SELECT v.k, coalesce(m.c, bo.c) AS cluster, m.n IS NOT NULL AS core FROM v LEFT JOIN m ON m.n = v.k LEFT JOIN bo ON bo.n = v.k",
     "group_decisions": f"WITH {_SCORES}, b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY centre DESC, label) AS rn FROM mm) SELECT k, CASE WHEN centre >= 0.30 AND margin >= 0.02 AND margin > 0 THEN label END AS label, round(centre, 6) AS sim, round(margin, 6) AS margin FROM b WHERE rn = 1",
-    "bank_calibration": f"WITH {_SCORES}, g AS (SELECT mm.* FROM mm JOIN bank ON bank.crop = mm.k AND bank.label = mm.label) SELECT count(*) AS used, round(quantile_cont(wrong, 0.95), 6) AS min_sim, round(greatest(0.005, quantile_cont(CASE WHEN margin > 0 THEN margin END, 0.1)), 6) AS min_margin FROM g",
+    "bank_calibration": f"WITH {_SCORES}, g AS (SELECT mm.* FROM mm JOIN bank ON bank.crop = mm.k AND bank.label = mm.label) SELECT count(*) AS used, count(*) FILTER (margin > 0) AS stable, round(quantile_cont(centre, 0.5), 6) AS genuine, round(quantile_cont(wrong, 0.95), 6) AS min_sim, round(greatest(0.005, quantile_cont(CASE WHEN margin > 0 THEN margin END, 0.1)), 6) AS min_margin FROM g",
     "group_coherence": f"WITH {_V}, e AS (SELECT label AS g, k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v), t AS (SELECT *, sum(x) OVER (PARTITION BY g, i) - x AS o FROM e), s AS (SELECT g, k, greatest(-1, least(1, sum(x * o) / sqrt(sum(o * o)))) AS s FROM t GROUP BY g, k) SELECT g, count(*) AS denominator, count(s) AS valid, count(*) - count(s) AS missing, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.1), 6) AS p10 FROM s GROUP BY g",
     "top_candidates": f"WITH {_CAND} SELECT k, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, name) AS rank FROM c WHERE score > 0.35) WHERE rank <= 5",
     "model_proposals": f"WITH {_CAND}, r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nx FROM c WINDOW w AS (PARTITION BY k ORDER BY score DESC, name)) SELECT k, name, score, round(score - coalesce(nx, 0.35), 12) AS margin FROM r WHERE rn = 1 AND score >= 0.85 AND round(score - coalesce(nx, 0.35), 12) >= 0.2",

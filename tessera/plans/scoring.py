@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hex_int
+from ..operators.neardup import theta_families
 from ..operators.ranking import champions, consensus, family_id, tiers, zscores
+from ..operators.skew import group_quantiles, kept, placed, quantiles
 from ..sources.tables import MANIFEST_SQL, TIERS, manifest, table
 
 SIGNALS = ["s1", "s2", "s3", "s4"]
@@ -15,8 +17,17 @@ def _r(*cols: str):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
+def _families(rows):
+    return theta_families(rows.select(F.col("position").alias("k"), "sha256", "hash", "v"))
+
+
 def _tiered(spark, d):
-    return tiers(manifest(spark, d).withColumn("family_id", F.sha2("brand", 256)), SIGNALS)
+    rows = kept(manifest(spark, d))
+    return tiers(rows.join(_families(rows).select(F.col("k").alias("position"), "family_id"), "position"), SIGNALS)
+
+
+def theta_families_of_parts(spark, d):
+    return _families(kept(manifest(spark, d))).select(F.col("k").alias("position"), "component", "family_id")
 
 
 def corpus_tiering(spark, d):
@@ -24,12 +35,19 @@ def corpus_tiering(spark, d):
 
 
 _Z = "CASE WHEN sd{0} > 1e-12 THEN (s{0} - m{0}) / sd{0} WHEN s{0} IS NOT NULL THEN 0.0 END"
-TIERED_SQL = f"""{MANIFEST_SQL},
+FAMILIES_SQL = """hx AS (SELECT position, sha256, v, list_transform([1, 17, 33, 49], lambda i: ('0x' || substr(hash, i, 16))::UBIGINT) AS h FROM manifest),
+hp AS (SELECT a.position AS a, b.position AS b, list_sum(list_transform(list_zip(a.h, b.h), lambda p: bit_count(xor(p[1], p[2])::BIT))) AS n, list_dot_product(a.v, b.v) AS c FROM hx a JOIN hx b ON a.position <> b.position),
+he AS MATERIALIZED (SELECT a, b FROM hp WHERE n <= 6 OR n <= 10 AND c >= 0.96),
+hr AS (SELECT position AS n, position AS c FROM manifest UNION SELECT he.b, hr.c FROM hr JOIN he ON he.a = hr.n),
+hc AS (SELECT n AS position, min(c) AS component FROM hr GROUP BY n),
+hf AS (SELECT component, sha256('["theta-v1",["' || string_agg(DISTINCT sha256, '","' ORDER BY sha256) || '"]]') AS family_id FROM hc JOIN manifest USING (position) GROUP BY component),
+fam AS MATERIALIZED (SELECT position, component, family_id FROM hc JOIN hf USING (component))"""
+TIERED_SQL = f"""RECURSIVE {MANIFEST_SQL}, {FAMILIES_SQL},
 st AS (SELECT {', '.join(f'avg(s{i}) AS m{i}, stddev_pop(s{i}) AS sd{i}' for i in (1, 2, 3, 4))}, count(*) = count(s1) AND count(*) = count(s2) AND count(*) = count(s3) AND count(*) = count(s4) AS complete, count(*) = count(identity_sim) AS ids FROM manifest),
 zz AS (SELECT manifest.*, complete, ids, {', '.join(_Z.format(i) + f' AS z{i}' for i in (1, 2, 3, 4))} FROM manifest, st),
 mm AS (SELECT *, CASE WHEN complete THEN (z1 + z2 + z3 + z4) / 4 END AS m, CASE WHEN complete THEN sqrt(list_aggregate([z1, z2, z3, z4], 'var_pop')) END AS disagreement FROM zz),
 cc AS (SELECT mm.*, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS consensus_z FROM mm),
-pp AS (SELECT *, row_number() OVER w AS place, first_value(coalesce(consensus_z, 0)) OVER w AS champion_z FROM cc WINDOW w AS (PARTITION BY brand ORDER BY coalesce(consensus_z, 0) DESC, sha256, position)),
+pp AS (SELECT *, row_number() OVER w AS place, first_value(coalesce(consensus_z, 0)) OVER w AS champion_z FROM cc JOIN fam USING (position) WINDOW w AS (PARTITION BY family_id ORDER BY coalesce(consensus_z, 0) DESC, sha256, position)),
 qq AS (SELECT CASE WHEN bool_and(ids) THEN quantile_cont(identity_sim, 0.1) END AS q_ir, CASE WHEN bool_and(ids) THEN quantile_cont(identity_sim, 0.2) END AS q_iq, quantile_cont(consensus_z, 0.9) AS q_q, quantile_cont(consensus_z, 0.75) AS q_r FROM pp),
 ff AS (SELECT pp.*, qq.*, coalesce(nsfw_prob >= 0.65, false) AS is_nsfw, coalesce(identity_sim < q_ir AND (confusable_margin IS NULL OR confusable_margin < 0.05), false) AS is_low,
   list_filter([CASE WHEN s1 IS NULL THEN 'signal_unavailable:s1' END, CASE WHEN s2 IS NULL THEN 'signal_unavailable:s2' END, CASE WHEN s3 IS NULL THEN 'signal_unavailable:s3' END, CASE WHEN s4 IS NULL THEN 'signal_unavailable:s4' END,
@@ -56,11 +74,13 @@ def disagreement_with_sigma(spark, d):
 
 
 def quantile_thresholds(spark, d):
-    return table(spark, d, "orders").agg(*(F.round(F.percentile("o_totalprice", F.lit(p)), 4).alias(n) for n, p in (("p10", 0.1), ("p20", 0.2), ("p75", 0.75), ("p90", 0.9))))
+    q = quantiles(table(spark, d, "orders"), "o_totalprice", {"p10": 0.1, "p20": 0.2, "p75": 0.75, "p90": 0.9})
+    return q.select(*(F.round(c, 4).alias(c) for c in q.columns))
 
 
 def family_champions(spark, d):
-    c = champions(consensus(manifest(spark, d).withColumn("family_id", F.col("brand")), SIGNALS))
+    rows = kept(manifest(spark, d))
+    c = champions(consensus(rows.join(_families(rows).select(F.col("k").alias("position"), "family_id"), "position"), SIGNALS))
     return c.filter("place <= 2").select("family_id", "place", "position", *_r("consensus_z"))
 
 
@@ -78,9 +98,10 @@ def flag_counts(spark, d):
 
 
 def header_stats(spark, d):
-    t = _tiered(spark, d)
+    t = kept(_tiered(spark, d))
     kinds = spark.createDataFrame([(x,) for x in TIERS], "proposed_tier string")
-    g = t.groupBy("proposed_tier").agg(F.count("*").alias("n"), F.round(F.median("consensus_z"), 6).alias("median_z"), F.round(F.avg("consensus_z"), 6).alias("mean_z"))
+    middle = group_quantiles(t, ["proposed_tier"], "consensus_z", {"median_z": 0.5})
+    g = t.groupBy("proposed_tier").agg(F.count("*").alias("n"), F.round(F.avg("consensus_z"), 6).alias("mean_z")).join(middle, "proposed_tier", "left").withColumn("median_z", F.round("median_z", 6))
     total = t.agg(F.count("*").alias("total"))
     j = kinds.join(g, "proposed_tier", "left").crossJoin(F.broadcast(total))
     return j.select("proposed_tier", F.coalesce("n", F.lit(0)).alias("n"), "median_z", "mean_z", F.round(F.coalesce("n", F.lit(0)) / F.greatest("total", F.lit(1)), 6).alias("rate"))
@@ -108,13 +129,12 @@ def spotlights(spark, d):
 
 
 def signal_correlation(spark, d):
-    m = manifest(spark, d).select("s1", "s2")
-    rank = lambda c: m.groupBy(c).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
+    m = kept(manifest(spark, d).select("s1", "s2"))
 
     def ranked(c: str):
-        v = rank(c).withColumn("r", F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2)
-        return v.select(F.col(c).alias(f"v_{c}"), F.col("r").alias(f"r_{c}"))
+        """The mean rank of each value; equal values share it."""
+        at = placed(m.select(c).filter(F.col(c).isNotNull()), c).groupBy(c).agg(((F.min("place") + F.max("place")) / 2 + 1).alias("r"))
+        return at.select(F.col(c).alias(f"v_{c}"), F.col("r").alias(f"r_{c}"))
 
     j = m.join(ranked("s1"), F.col("s1") == F.col("v_s1")).join(ranked("s2"), F.col("s2") == F.col("v_s2"))
     return j.agg(F.round(F.corr("s1", "s2"), 6).alias("pearson"), F.round(F.corr("r_s1", "r_s2"), 6).alias("spearman"))
@@ -126,16 +146,17 @@ def tier_transitions(spark, d):
     return t.join(old, "position").groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_tiering, signal_zscores, incomplete_cohort, disagreement_with_sigma, quantile_thresholds, family_champions, content_families, tier_counts, flag_counts, header_stats, family_size_bins, audit_hash_sample, missing_signals, spotlights, signal_correlation, tier_transitions)}
+QUERIES = {f.__name__: f for f in (corpus_tiering, theta_families_of_parts, signal_zscores, incomplete_cohort, disagreement_with_sigma, quantile_thresholds, family_champions, content_families, tier_counts, flag_counts, header_stats, family_size_bins, audit_hash_sample, missing_signals, spotlights, signal_correlation, tier_transitions)}
 _W = f"WITH {TIERED_SQL} "
 _KINDS = ", ".join(f"('{t}')" for t in TIERS)
 ORACLE = {
     "corpus_tiering": _W + "SELECT position, round(consensus_z, 6) AS consensus_z, round(disagreement, 6) AS disagreement, flags, proposed_tier FROM tiered",
+    "theta_families_of_parts": f"WITH RECURSIVE {MANIFEST_SQL}, {FAMILIES_SQL} SELECT position, component, family_id FROM fam",
     "signal_zscores": _W + "SELECT position, " + ", ".join(f"round(z{i}, 6) AS z_s{i}" for i in (1, 2, 3, 4)) + " FROM zz",
     "incomplete_cohort": "SELECT doc_id AS position, false AS complete, CAST(NULL AS DOUBLE) AS consensus_z, CAST(NULL AS DOUBLE) AS disagreement FROM documents",
     "disagreement_with_sigma": _W + "SELECT position, round(sqrt(list_aggregate([z1, z2, z3, z4], 'var_pop') + pow((s1 / 10) / sd1, 2) / 4), 6) AS disagreement FROM zz, st",
     "quantile_thresholds": "SELECT " + ", ".join(f"round(quantile_cont(o_totalprice, {p}), 4) AS {n}" for n, p in (("p10", 0.1), ("p20", 0.2), ("p75", 0.75), ("p90", 0.9))) + " FROM orders",
-    "family_champions": _W + "SELECT brand AS family_id, place, position, round(consensus_z, 6) AS consensus_z FROM pp WHERE place <= 2",
+    "family_champions": _W + "SELECT family_id, place, position, round(consensus_z, 6) AS consensus_z FROM pp WHERE place <= 2",
     "content_families": """SELECT source, sha256('["content-v1",["' || string_agg(DISTINCT sha, '","' ORDER BY sha) || '"]]') AS family_id, count(DISTINCT sha) AS members FROM (SELECT source, sha256(coalesce(text, '')) AS sha FROM documents) GROUP BY source""",
     "tier_counts": _W + "SELECT proposed_tier, count(*) AS n FROM tiered GROUP BY proposed_tier",
     "flag_counts": _W + "SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, '|')) AS flag FROM tiered) WHERE flag <> '' GROUP BY flag",

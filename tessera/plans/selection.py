@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import displayed_rect
-from ..operators import grouping, layout, ordered
+from ..operators import layout, ordered
+from ..operators.blocks import similar_pairs
 from ..sources.tables import table
 from .matching import _V, WIDTH, _vectors, near_duplicate_pairs
 
@@ -22,8 +23,7 @@ def representative_wall(spark, d):
 
 def label_whispers(spark, d):
     v = _vectors(spark, d)
-    a, b = v.select(F.col("k").alias("a"), F.col("v").alias("va")), v.select(F.col("k").alias("b"), F.col("v").alias("vb"))
-    links = a.join(b, F.col("a") < F.col("b")).withColumn("w", grouping.dot(F.col("va"), F.col("vb"))).filter("w >= 0.38").select("a", "b", "w")
+    links = similar_pairs(v, 0.38)
     return ordered.whispers(v, links, 3)
 
 

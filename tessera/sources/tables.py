@@ -15,13 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each part: four quality signals (means of its line items), identity, safety and gaming scores, content and family."""
+    """One row for each part: four quality signals (means of its line items), identity, safety and gaming scores, content,
+    a 256-bit hash that up to four parts in five share but for some bits, and a unit vector."""
     s = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*(F.avg(c).alias(n) for n, c in (("s1", "l_quantity"), ("s2", "l_extendedprice"), ("s3", "l_discount"), ("s4", "l_tax"))))
     p = table(spark, sf_dir, "part").join(s, F.col("p_partkey") == F.col("l_partkey"), "left")
     k = F.col("p_partkey")
+    base, cut = F.sha2(F.concat(F.lit("g"), F.floor(k / 5).cast("string")), 256), F.element_at(F.array(*(F.lit(n) for n in (0, 1, 3, 5, 64))), (k % 5 + 1).cast("int"))
+    hashed = F.when(k % 5 == 4, F.sha2(F.concat(F.lit("x"), k.cast("string")), 256)).otherwise(F.rpad(F.substring(base, F.lit(1), 64 - cut), 64, "0"))
+    side = (k % 2) / 2.0
     return p.select(
         k.alias("position"), F.sha2(k.cast("string"), 256).alias("sha256"), F.col("p_brand").alias("brand"), "s1", "s2", "s3", "s4",
         ((k * 37 % 1000) / 1000).alias("identity_sim"), F.when(k % 7 != 0, (k * 13 % 100) / 1000).alias("confusable_margin"), ((k * 73 % 997) / 997).alias("nsfw_prob"), ((k * 11 % 101) / 250).alias("gaming_delta"),
+        hashed.alias("hash"), F.transform(F.array(F.lit(1.0), side), lambda x: x / F.sqrt(1 + side * side)).alias("v"),
     )
 
 
@@ -29,7 +34,9 @@ MANIFEST_SQL = """
 manifest AS (
   SELECT p_partkey AS position, sha256(CAST(p_partkey AS VARCHAR)) AS sha256, p_brand AS brand, avg(l_quantity) AS s1, avg(l_extendedprice) AS s2, avg(l_discount) AS s3, avg(l_tax) AS s4,
     (p_partkey * 37 % 1000) / 1000.0::DOUBLE AS identity_sim, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey * 13 % 100) / 1000.0::DOUBLE END AS confusable_margin,
-    (p_partkey * 73 % 997) / 997.0::DOUBLE AS nsfw_prob, (p_partkey * 11 % 101) / 250.0::DOUBLE AS gaming_delta
+    (p_partkey * 73 % 997) / 997.0::DOUBLE AS nsfw_prob, (p_partkey * 11 % 101) / 250.0::DOUBLE AS gaming_delta,
+    CASE WHEN p_partkey % 5 = 4 THEN sha256('x' || p_partkey) ELSE rpad(substr(sha256('g' || p_partkey // 5), 1, 64 - [0, 1, 3, 5][p_partkey % 5 + 1]), 64, '0') END AS hash,
+    [1.0::DOUBLE / sqrt(1 + pow(p_partkey % 2 / 2.0, 2)), p_partkey % 2 / 2.0 / sqrt(1 + pow(p_partkey % 2 / 2.0, 2))] AS v
   FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_brand)"""
 
 
