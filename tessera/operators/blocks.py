@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import importable
+
 BLOCK = 1024
 
 
@@ -35,6 +37,7 @@ def products(left: DataFrame, right: DataFrame, keys: tuple[str, str], run: Call
 
 def _cells(a: DataFrame, b: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     # columns of its own for the right side, as both may come from one table
+    importable(a.sparkSession)
     b = b.toDF(*(f"y{c}" for c in b.columns))
     renamed = lambda x, y: run(x, y.set_axis([c[1:] for c in y.columns], axis=1))
     return a.groupBy("_l", "_r").cogroup(b.groupBy("y_l", "y_r")).applyInPandas(renamed, schema)

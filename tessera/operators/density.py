@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .skew import importable
+
 
 def spanning_tree(x: np.ndarray, neighbours: int) -> np.ndarray:
     """Rows (distance, i, j) of the tree of least mutual reachability, a row counting as its own first neighbour."""
@@ -119,6 +121,7 @@ def clusters(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 def density_tree(points: DataFrame, least: int = 5, most: int = 50_000) -> DataFrame:
     """g, k, cluster (its smallest k; null: noise), prob of unit vectors v, in groups g of at most `most` rows."""
     kinds = dict(points.dtypes)
+    importable(points.sparkSession)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) > most:

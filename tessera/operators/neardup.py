@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import dot, hamming_hex
 from .blocks import similar_pairs
 from .ranking import family_id
-from .skew import joined, kept
+from .skew import HOT_ROWS, joined, kept
 
 
 def banded_pairs(rows: DataFrame, key: str, bits: str, within: int, digits: int = 64, band: int | None = None) -> DataFrame:
@@ -58,12 +58,19 @@ def components(nodes: DataFrame, links: DataFrame, key: str = "k") -> DataFrame:
     Only nodes with a link take part; joins on a node of very many links or on a large component's root salt these keys.
     """
     both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    many = both.count() > HOT_ROWS
+    met = joined if many else DataFrame.join
     label = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("r")))
     while True:
-        near = joined(both, label.select(F.col("n").alias("b"), "r"), ["b"]).groupBy("a").agg(F.min("r").alias("m"))
-        new = kept(label.join(near, label["n"] == near["a"]).select("n", F.col("r").alias("old"), F.least("r", "m").alias("r")))
-        up = new.select(F.col("n").alias("r"), F.col("r").alias("rr"))
-        step = kept(joined(new, up, ["r"], "left").select("n", "old", F.coalesce("rr", "r").alias("r")))
+        near = met(both, label.select(F.col("n").alias("b"), "r"), ["b"]).groupBy("a").agg(F.min("r").alias("m"))
+        new = label.join(near, label["n"] == near["a"]).select("n", F.col("r").alias("old"), F.least("r", "m").alias("m"))
+        new = kept(new) if many else new
+        # all nodes of a root follow the least that one of them has met, and then that one's own root
+        told = new.groupBy("old").agg(F.min("m").alias("r"))
+        hooked = met(new.select("n", "old"), told, ["old"])
+        hooked = kept(hooked) if many else hooked
+        up = hooked.select(F.col("n").alias("r"), F.col("r").alias("rr"))
+        step = kept(met(hooked, up, ["r"], "left").select("n", "old", F.coalesce("rr", "r").alias("r")))
         label = step.select("n", "r")
         if step.filter("old <> r").limit(1).count() == 0:
             break

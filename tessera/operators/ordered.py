@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip, dot
 from .grouping import summed
 from .neardup import components
-from .skew import kept
+from .skew import importable, kept
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -90,6 +90,7 @@ def whispers(points: DataFrame, links: DataFrame, least: int, rounds: int = 20)
     of fewer than `least` points are null.
     """
     kind = dict(points.dtypes)["k"]
+    importable(points.sparkSession)
     both = links.select("a", "b", "w").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     part = components(points, links).withColumnRenamed("k", "a")
     got = kept(both.join(part, "a").groupBy("component").applyInPandas(_whispers(rounds), f"k {kind}, label {kind}"))

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than this part of the rows, so there are at most as many, and at least so many rows.
-HOT, HOT_ROWS = 1000, 256
+#: A key is hot if it holds more than this part of the rows, so there are at most as many, and at least so many rows;
+#: a table of fewer rows than a task easily reads has none.
+HOT, HOT_ROWS = 1000, 50_000
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it; on a cluster ship it with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import unit, valid_vector, wilson
+from ..functions.scalars import unit, wilson
 from ..operators import grouping, neardup, policy
 from ..operators.blocks import similar_pairs
+from ..operators.skew import kept
 from ..sources.tables import table
 
 WIDTH = 64
 
 
 def _vectors(spark, d):
-    return table(spark, d, "embeddings").filter(valid_vector(F.col("embedding"))).select(F.col("vec_id").alias("k"), "label", unit(F.col("embedding")).alias("v"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "label", unit(F.col("embedding")).alias("v")).filter("v IS NOT NULL")
 
 
 def _bank(spark, d):
@@ -37,7 +38,7 @@ def near_duplicate_pairs(spark, d):
 
 def similarity_components(spark, d):
     v = _vectors(spark, d)
-    return neardup.components(v, similar_pairs(v, 0.38))
+    return neardup.components(v, kept(similar_pairs(v, 0.38)))
 
 
 def density_clusters(spark, d):

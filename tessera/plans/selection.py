@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import displayed_rect
 from ..operators import layout, ordered
 from ..operators.blocks import similar_pairs
+from ..operators.skew import kept
 from ..sources.tables import table
 from .matching import _V, WIDTH, _vectors, near_duplicate_pairs
 
@@ -23,7 +24,7 @@ def representative_wall(spark, d):
 
 def label_whispers(spark, d):
     v = _vectors(spark, d)
-    links = similar_pairs(v, 0.38)
+    links = kept(similar_pairs(v, 0.38))
     return ordered.whispers(v, links, 3)
 
 
