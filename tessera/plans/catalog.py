@@ -1,7 +1,7 @@
 """All queries of the collection operators, with the SQL that checks them."""
 
-from . import evidence, lifecycle, matching, reporting, scoring, selection, state
+from . import evidence, lifecycle, matching, measures, reporting, scoring, selection, state
 
-QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES | selection.QUERIES | reporting.QUERIES | state.QUERIES | evidence.QUERIES
-ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE | selection.ORACLE | reporting.ORACLE | state.ORACLE | evidence.ORACLE
+QUERIES = scoring.QUERIES | matching.QUERIES | lifecycle.QUERIES | selection.QUERIES | reporting.QUERIES | state.QUERIES | evidence.QUERIES | measures.QUERIES
+ORACLE = scoring.ORACLE | matching.ORACLE | lifecycle.ORACLE | selection.ORACLE | reporting.ORACLE | state.ORACLE | evidence.ORACLE | measures.ORACLE
 WITHOUT_SQL = selection.WITHOUT_SQL | reporting.WITHOUT_SQL
