@@ -29,7 +29,7 @@ def ascii_json(text: Column) -> Column:
 
 def html_safe(json: Column) -> Column:
     """JSON that may stand inside a script element."""
-    for raw, escaped in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"))):
+    for raw, escaped in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         json = F.replace(json, F.lit(raw), F.lit(escaped))
     return json
 
