@@ -43,27 +43,53 @@ def _cells(a: DataFrame, b: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame
     return a.groupBy("_l", "_r").cogroup(b.groupBy("y_l", "y_r")).applyInPandas(renamed, schema)
 
 
-def similar_pairs(points: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b, w: keys a < b of unit vectors (k, v) whose cosine w is at least `least`."""
-    kind = dict(points.dtypes)["k"]
+def _pairs(points: DataFrame, value: str, compare: Callable[[pd.Series, pd.Series], tuple[np.ndarray, np.ndarray]], kind: str, block: int) -> DataFrame:
+    """a, b, w of keys a < b for which compare (of two columns: which pairs pass, and their values) says so; each pair of blocks once."""
+    key = dict(points.dtypes)["k"]
     n = max(1, -(-points.count() // block))
-    d = _dealt(points.select("k", "v"), "k", n, "_own")
+    d = _dealt(points.select("k", value), "k", n, "_own")
     low = d.withColumn("_l", F.col("_own")).withColumn("_r", F.explode(F.sequence(F.col("_own"), F.lit(n - 1)))).drop("_own")
     high = d.withColumn("_r", F.col("_own")).withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_own")))).drop("_own")
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b, w = [], [], []
         if len(x) and len(y):
-            one, p, q, other = x["_l"].iloc[0] == x["_r"].iloc[0], x["k"].to_numpy(), y["k"].to_numpy(), matrix(y["v"]).T
+            one, p, q = x["_l"].iloc[0] == x["_r"].iloc[0], x["k"].to_numpy(), y["k"].to_numpy()
             for at in range(0, len(x), 512):
-                s = matrix(x["v"].iloc[at : at + 512]) @ other
-                i, j = np.nonzero(s >= least)
+                passes, s = compare(x[value].iloc[at : at + 512], y[value])
+                i, j = np.nonzero(passes)
                 s, i, j = s[i, j], p[i + at], q[j]
                 ok = i < j if one else np.ones(len(i), bool)
                 a.append(np.where(i < j, i, j)[ok])
                 b.append(np.where(i < j, j, i)[ok])
                 w.append(s[ok])
         none = np.empty(0, x["k"].dtype)
-        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b]), "w": np.concatenate([np.empty(0), *w])})
+        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b]), "w": np.concatenate([np.empty(0, np.int64 if kind == "long" else float), *w])})
+
+    return _cells(low, high, run, f"a {key}, b {key}, w {kind}")
+
+
+def similar_pairs(points: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b, w: keys a < b of unit vectors (k, v) whose cosine w is at least `least`."""
+
+    def compare(x: pd.Series, y: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        s = matrix(x) @ matrix(y).T
+        return s >= least, s
+
+    return _pairs(points, "v", compare, "double", block)
+
+
+def hamming_pairs(points: DataFrame, within: int, block: int = BLOCK) -> DataFrame:
+    """a, b, w: keys a < b of hex strings of one length (k, bits) that differ in w bits, `within` at most. For distances so
+    wide that bands (neardup.banded_pairs) would be too short to tell rows apart."""
+
+    def words(x: pd.Series) -> np.ndarray:
+        raw = np.frombuffer(bytes.fromhex("".join(h.rjust(-(-len(h) // 16) * 16, "0") for h in x)), ">u8")
+        return raw.reshape(len(x), -1)
+
+    def compare(x: pd.Series, y: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        p, q = words(x), words(y)
+        s = sum(np.bitwise_count(p[:, i, None] ^ q[None, :, i]).astype(np.int64) for i in range(p.shape[1]))
+        return s <= within, s
 
-    return _cells(low, high, run, f"a {kind}, b {kind}, w double")
+    return _pairs(points, "bits", compare, "long", block)

@@ -141,3 +141,52 @@ def test_entry_imports(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_block_products(spark):
+    """Blocks of any size give all pairs once; keys may be strings; empty tables give none."""
+    import numpy as np
+
+    from tessera.operators import blocks
+
+    r = np.random.default_rng(4)
+    m = r.normal(size=(90, 6))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    for name in (str, int):
+        keys = [name(i + 10) for i in range(90)]
+        points = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, m, strict=True)], f"k {'string' if name is str else 'int'}, v array<double>")
+        want = {(keys[i], keys[j]) for i in range(90) for j in range(i + 1, 90) if m[i] @ m[j] >= 0.5}
+        for block in (7, 1000):
+            got = blocks.similar_pairs(points, 0.5, block).collect()
+            assert len(got) == len(want) and {(p.a, p.b) for p in got} == want
+    assert blocks.similar_pairs(points.limit(0), 0.5).count() == 0
+    bits = [int(x) for x in r.integers(0, 2**62, 60)]
+    rows = spark.createDataFrame([(i, f"{x:032x}") for i, x in enumerate(bits)], "k int, bits string")
+    want = {(i, j, (bits[i] ^ bits[j]).bit_count()) for i in range(60) for j in range(i + 1, 60) if (bits[i] ^ bits[j]).bit_count() <= 26}
+    assert {tuple(p) for p in blocks.hamming_pairs(rows, 26, 16).collect()} == want
+
+
+def test_places_and_quantiles(spark):
+    import numpy as np
+
+    from tessera.operators import skew
+
+    r = np.random.default_rng(5)
+    rows = [(("a", "b", "c")[i % 7 % 3], float(v) if i % 11 else None) for i, v in enumerate(r.integers(0, 40, 300))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    q = skew.quantiles(df, "v", {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p100": 1.0}).first()
+    mine = [v for _, v in rows if v is not None]
+    assert [q.p0, q.p10, q.p50, q.p100] == pytest.approx(np.quantile(mine, [0, 0.1, 0.5, 1]).tolist())
+    for x in skew.group_quantiles(df, ["g"], "v", {"p10": 0.1, "p95": 0.95}).collect():
+        assert [x.p10, x.p95] == pytest.approx(np.quantile([v for g, v in rows if g == x.g and v is not None], [0.1, 0.95]).tolist())
+    got = skew.placed(df.filter("v IS NOT NULL"), F.desc("v"), "g").sort("place").collect()
+    assert [x.place for x in got] == list(range(len(mine))) and [(x.v, x.g) for x in got] == sorted(((v, g) for g, v in rows if v is not None), key=lambda x: (-x[0], x[1]))
+    assert skew.quantiles(df.limit(0), "v", {"p": 0.5}).first().p is None
+
+
+def test_theta_families_fold_copies(spark):
+    """Copies of one hash make a family without pairs; the wider distance needs one pair of close vectors."""
+    h = lambda *bits: f"{sum(1 << b for b in bits):064x}"
+    rows = [(i, f"s{i % 2}", h(), [1.0, 0.0]) for i in range(40)] + [(50, "s50", h(1, 2, 3), [0.0, 1.0]), (60, "s60", h(*range(100, 108)), [1.0, 0.0]), (70, "s70", h(*range(150, 158)), [0.0, 1.0]), (80, "s80", None, None), (81, "s80", None, [1.0, 0.0]), (90, "s90", h(*range(20)), [1.0, 0.0])]
+    got = {r.k: r.component for r in neardup.theta_families(spark.createDataFrame(rows, "k int, sha256 string, hash string, v array<double>")).collect()}
+    assert got == {i: 0 for i in range(40)} | {50: 0, 60: 0, 70: 70, 80: 80, 81: 81, 90: 90}
