@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Names up to which the reduced string is sorted by recursion.
+WIDE = 512
+
 
 def types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last symbol must be the unique smallest."""
@@ -81,7 +84,10 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, size: int) -> np.ndar
 
 
 def _sorted_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string: names of pairs, then of pairs of pairs and so on, until all differ."""
+    """Order of the suffixes of the reduced string: by recursion where it has few names; where it has many, by names of
+    pairs, then of pairs of pairs and so on, until all differ, as induction works through the names' buckets one by one."""
+    if int(names.max()) < WIDE:
+        return suffix_array(np.append(names + 1, 0).astype(np.uint16))[1:]
     n = len(names)
     rank, step = names.astype(np.int64), 1
     while True:
@@ -98,7 +104,8 @@ def _sorted_names(names: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of non-negative integers of a small alphabet whose last symbol is 0 and unique."""
+    """Suffix array of non-negative integers whose last symbol is 0 and unique: leftmost-smaller substrings are sorted by
+    induction and named, their string is sorted by recursion if names repeat, and its order induces all suffixes."""
     n, size = len(t), int(t.max()) + 1
     t = np.ascontiguousarray(t)
     if n == 1:

@@ -42,10 +42,15 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("wide", [0, 3, 512])
+def test_suffix_arrays(monkeypatch, wide):
+    from tessera.llm import suffix_array as module
+
+    monkeypatch.setattr(module, "WIDE", wide)
     r = np.random.default_rng(1)
-    for _ in range(400):
-        t = np.concatenate((r.integers(1, r.integers(2, 6), r.integers(0, 40)), [0])).astype(np.uint16)
+    for i in range(400):
+        u = r.integers(1, r.integers(2, 6), r.integers(0, 40))
+        t = np.concatenate((np.tile(u, 1 + i % 3), [0])).astype(np.uint16)
         sa, x = suffix_array(t), t.tolist()
         assert sa.tolist() == sorted(range(len(x)), key=lambda i: x[i:])
         plcp = permuted_lcp(t, sa)
