@@ -148,19 +148,51 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages")).drop("by")
 
 
-OP8_SQL = r"""
+def _sql() -> str:
+    """The same in SQL; a step that resolves a url adds its parts and their composition."""
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    value = lambda t, n: rf"""regexp_replace(regexp_extract({t}, '(?is)[\s"''/]{n}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["''\s]+|["''\s]+$', '', 'g')"""
+    tags = lambda n: rf"regexp_extract_all(h, '(?is)<{n}\b[^>]*>')"
+    text = lambda x: "replace(" * 5 + x + """, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
+    part = lambda u, k: rf"regexp_extract({u}, '(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?', {k})"
+    user = lambda x, k: f"regexp_extract({x}, '(?s)^(.*@)?(.*)$', {k})"
+    parts = lambda u, p: f"{low(part(u, 1))} AS {p}s, {user(part(u, 2), 1)} || {low(user(part(u, 2), 2))} AS {p}a, {part(u, 3)} AS {p}p, {part(u, 4)} AS {p}q"
+    kept = lambda x: f"list_reduce(list_concat([['']], list_transform(string_split({x}, '/')[2:], lambda z: [z])), lambda a, z: CASE z[1] WHEN '.' THEN a WHEN '..' THEN CASE WHEN len(a) > 1 THEN a[1:len(a) - 1] ELSE a END ELSE list_concat(a, z) END)[2:]"
+    folder = lambda x: rf"CASE WHEN regexp_matches({x}, '/\.\.?$') THEN list_concat({kept(x)}, ['']) ELSE {kept(x)} END"
+    dots = lambda x: f"CASE WHEN starts_with({x}, '/') THEN '/' || array_to_string({folder(x)}, '/') ELSE {x} END"
+
+    def resolved(name: str, source: str, base: str, ref: str, to: str) -> str:
+        own = "(rs <> '' OR ra <> '')"
+        merged = "CASE WHEN contains(bp, '/') THEN regexp_extract(bp, '(?s)^(.*/)', 1) || rp ELSE '/' || rp END"
+        path = f"CASE WHEN {own} OR starts_with(rp, '/') THEN rp WHEN rp = '' THEN bp ELSE {merged} END"
+        whole = f"CASE WHEN rs <> '' THEN rs ELSE bs END || CASE WHEN {own} THEN ra ELSE ba END || {dots('mp')} || CASE WHEN {own} OR rp <> '' OR rq <> '' THEN rq ELSE bq END"
+        return f"{name}_1 AS (SELECT *, {parts(base, 'b')}, {parts(ref, 'r')} FROM {source}), {name}_2 AS (SELECT *, {path} AS mp FROM {name}_1), {name} AS (SELECT * EXCLUDE (bs, ba, bp, bq, rs, ra, rp, rq, mp), {whole} AS {to} FROM {name}_2)"
+
+    canonical = rf"list_transform(list_filter({tags('link')}, lambda t: list_contains(regexp_split_to_array(lower({value('t', 'rel')}), '\s+'), 'canonical')), lambda t: {value('t', 'href')})"
+    refresh = rf"""list_transform(list_filter({tags('meta')}, lambda t: lower({value('t', 'http-equiv')}) = 'refresh'), lambda t: regexp_extract({value('t', 'content')}, '(?is)url\s*=\s*["'']?\s*([^"''\s]+)', 1))"""
+    fits = "(host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)"
+    return rf"""
 WITH RECURSIVE h AS (
-  SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-r(v, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-e AS (
-  SELECT DISTINCT split_part(url, '#', 1) AS a, split_part(t, '#', 1) AS b FROM (
-    SELECT url, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t FROM pages) WHERE contains(t, '://')),
+  SELECT page_id, url, html, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(v, rh, rp) AS (VALUES {", ".join(map(str, RULES))}),
+raw AS (SELECT url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script|<style\b.*?</style', ' ', 'g') AS h FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv') AND contains(url, '://')),
+tg AS (SELECT url, coalesce(list_filter(list_transform({tags('base')}, lambda t: {value('t', 'href')}), lambda x: x <> '')[1], '') AS base, unnest(list_distinct(list_concat({canonical}, {refresh}))) AS ref FROM raw),
+td AS (SELECT url, {text('base')} AS base, {text('ref')} AS ref FROM tg WHERE ref <> ''),
+{resolved('w1', 'td', 'url', 'base', 'base_url')},
+{resolved('w2', 'w1', 'base_url', 'ref', 'b')},
+{resolved('w3', 'w2', 'url', 'url', 'a')},
+e AS (SELECT DISTINCT a, b FROM w3 WHERE contains(b, '://') AND a <> b),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c AS (SELECT a AS root, a AS node FROM s UNION SELECT c.root, s.b FROM c JOIN s ON s.a = c.node),
-n AS (SELECT DISTINCT node, translate(regexp_extract(node, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(node, '://[^/?#]*([^?#]*)', 1) AS path FROM c),
-nr AS (SELECT node, arg_max(v, length(rh || rp)) AS v FROM n JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node),
+n AS (SELECT DISTINCT node, {low("regexp_extract(node, '://([^/?#]*)', 1)")} AS host, regexp_extract(node, '://[^/?#]*([^?#]*)', 1) AS path FROM c),
+nr AS (SELECT node, arg_max(v, length(rh || rp)) AS v FROM n JOIN r ON {fits} GROUP BY node),
 al AS (SELECT c.root AS node, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM c JOIN nr ON nr.node = c.node GROUP BY c.root),
-pr AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT h.page_id, h.host, h.path, pr.rule, coalesce(pr.v, al.v, 'allow') AS verdict FROM h LEFT JOIN pr ON pr.page_id = h.page_id LEFT JOIN al ON al.node = split_part(h.url, '#', 1)
+pr AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM (SELECT DISTINCT host, path FROM h) JOIN r ON {fits} GROUP BY host, path),
+hu AS (SELECT page_id, host, path, coalesce(url, '') AS u FROM h),
+{resolved('hn', 'hu', 'u', 'u', 'node')}
+SELECT hn.page_id, hn.host, hn.path, pr.rule, coalesce(pr.v, al.v, 'allow') AS verdict FROM hn LEFT JOIN pr ON pr.host = hn.host AND pr.path = hn.path LEFT JOIN al ON al.node = hn.node
 """
+
+
+#: It decodes five character references where the operator knows all.
+OP8_SQL = _sql()

@@ -87,3 +87,24 @@ def test_components_of_hubs_chains_and_repeats(spark, monkeypatch):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_verdicts_of_linked_pages_in_sql(spark):
+    """Every form of link, chains, rules at either end, and pages without any, against SQL."""
+    import duckdb
+    import pandas as pd
+
+    r, rows = random.Random(9), []
+    hosts = ["a.com", "b.net", "www.example.net", "EXAMPLE.com", "c.org", "d.io"]
+    paths = ["/", "/en/x", "/de/y", "/fr/z", "/d/e/f", "/p?q=1", "/s/t#u", ""]
+    refs = ["../g", "./", "h", "/fr/z", "?q=2", "#f", "//b.net/", "http://www.example.net/en/x", "HTTP://A.com/d/../en/x", "..", "../../../k", "/a/./b/../c", "mailto:x@y", "i?a=1&amp;b=2", "j/", "&quot;"]
+    forms = ['<link rel="canonical" href="{}">', "<LINK HREF='{}' REL='x Canonical'>", "<meta http-equiv=refresh content='0; url={}'>", '<!-- <link rel="canonical" href="{}"> -->', "<script><link rel=canonical href='{}'></script>", '<link rel="alternate" href="{}">', "<base href='{}'>"]
+    for i in range(400):
+        html = "".join(r.choice(forms).format(r.choice(refs)) for _ in range(r.choice((0, 0, 1, 1, 2, 3))))
+        rows.append((i, f"{r.choice(('http', 'HTTPS'))}://{r.choice(hosts)}{r.choice(paths)}" if i % 40 else None, html if i % 33 else None))
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = {tuple(None if pd.isna(v) else v for v in x) for x in con.sql(urls.OP8_SQL).df()[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False)}
+    got = {tuple(x) for x in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert got == want and len({x[4] for x in got if x[3] is None}) == 2
