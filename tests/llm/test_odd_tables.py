@@ -4,8 +4,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import common, decontaminate, simhash, suffix_dedup
+from tessera.llm import common, decontaminate, extract, language, licenses, pieces, quality, simhash, suffix_dedup, urls, warc
 
 CLASH = "did string, k int, b string, spans int, raw_null int, row string, kept string, `_id` int, `_salt` int, `_hot` int, gone int, n int, h long, fp int, root int"
 
@@ -107,3 +108,50 @@ def test_decontamination_beyond_the_broadcast(spark, monkeypatch, hot):
     monkeypatch.setattr(decontaminate, "BROADCAST", 0)
     plan = decontaminate.contamination(docs, bench)
     assert sorted(map(str, plan.collect())) == want
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of 200,000 words, a megabyte without a space, each twice under two ids, and repeated rows."""
+    words = " ".join(f"w{i * 7919 % 1_000_003}" for i in range(200_000)) + " all rights reserved"
+    solid = "".join(chr(0x4E00 + i * 31 % 3000) for i in range(350_000))
+    rows = [(1, words, "en"), (2, words, "en"), (3, solid, "zh"), (4, solid, "zh"), (4, solid, "zh"), (5, "short one", "en")]
+    return words, solid, spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).repartition(6)
+
+
+def test_very_long_texts(spark, long_docs):
+    words, solid, docs = long_docs
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    one = by(licenses.license_scan(docs))
+    assert (one[1].n_words, one[1].n_base, one[1].first_word, one[3].n_words) == (200_003, 1, 200_000, 1)
+    assert {i: r.lang_pred for i, r in by(language.language_id(docs)).items()}.keys() == {1, 2, 3, 4, 5}
+    items = spark.createDataFrame([(1, " ".join(words.split()[150_000:150_020])), (2, solid), (3, "nothing here")], "item_id long, text string")
+    three = by(decontaminate.contamination(docs, items))
+    assert (three[1].n_words, three[1].n_hit, three[1].contaminated) == (200_003, 20, False) and (three[3].n_words, three[3].n_hit, three[3].contaminated, three[3].n_items) == (1, 1, True, 1)
+    five = by(quality.quality(docs))
+    assert five[1].n_words == 200_003 and five[3].word_chars == 350_000 and five[3].base_failed
+    w, seen = words.split(), {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    assert five[1].n_repeat_words == len({p + j for v in seen.values() if len(v) > 1 for p in v for j in range(3)})
+    assert all(r.round_trip for r in pieces.tokenize(docs, with_ids=False).collect())
+    nine = by(suffix_dedup.suffix_dedup(docs))
+    assert nine[1].n_removed < nine[1].n_bytes // 2 and nine[2].n_removed == nine[2].n_bytes == len(words) and nine[4].n_removed == nine[4].n_bytes == 3 * 350_000
+    assert {i: r.component_id for i, r in by(simhash.near_duplicates(docs)).items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_very_long_and_repeated_pages(spark, long_docs):
+    words, solid, _ = long_docs
+    html = f'<html><body><nav><a href="/">home</a></nav><article><p>{words}</p><p>{solid}</p></article><footer>end</footer><link rel="canonical" href="http://b.net/x"></body></html>'
+    pages = spark.createDataFrame([(1, "http://a.com/" + "p" * 300_000, html), (1, "http://a.com/" + "p" * 300_000, html), (2, "http://c.com/", "")], "page_id long, url string, html string")
+    four = [(r.page_id, r.n_chars) for r in extract.extract(pages).collect()]
+    assert sorted(four) == [(1, len(words) + 1 + len(solid))] * 2 + [(2, 0)]
+    eight = sorted((r.page_id, r.verdict) for r in urls.url_filter(pages).collect())
+    assert eight == [(1, "block"), (1, "block"), (2, "allow")]
+    seven = warc.derivatives(pages)
+    assert seven.count() == 3 and seven.select("conversion_id").distinct().count() == 2
+
+
+def test_ties_between_languages():
+    m = language.Model({"b": "same text here", "a": "same text here", "c": "same text here"})
+    assert m.predict(["text here", ""]) == (["a", "und"], [0.0, 0.0])
