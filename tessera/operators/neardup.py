@@ -40,16 +40,17 @@ def theta_families(rows: DataFrame, profile: str = "theta-v1", near: int = 6, fa
     folded before pairs are made, so copies cost no pairs; of a hash's rows each different vector may make a link.
     """
     hashed = kept(rows.filter("hash IS NOT NULL").select("k", "hash", "v"))
+    met = joined if hashed.count() > HOT_ROWS else DataFrame.join
     folded = kept(hashed.groupBy("hash").agg(F.min("k").alias("k")))
     pairs = kept(banded_pairs(folded, "k", "hash", far))
-    each = joined(kept(hashed.filter("v IS NOT NULL").select("hash", "v").distinct()), folded, ["hash"]).select("k", "v")
+    each = met(hashed.filter("v IS NOT NULL").select("hash", "v").distinct(), folded, ["hash"]).select("k", "v")
     close = pairs.filter(F.col("distance") <= near).select("a", "b")
     wide = theta_links(pairs.filter(F.col("distance") > near), each, near, far, cosine)
-    copies = joined(hashed.select("k", "hash"), folded.withColumnRenamed("k", "b"), ["hash"]).filter("k <> b").select(F.col("k").alias("a"), "b")
+    copies = met(hashed.select("k", "hash"), folded.withColumnRenamed("k", "b"), ["hash"]).filter("k <> b").select(F.col("k").alias("a"), "b")
     part = components(rows, close.union(wide).union(copies).distinct())
     members = kept(part.join(rows.select("k", "sha256"), "k"))
     named = members.groupBy("component").agg(family_id(F.collect_set("sha256"), profile).alias("family_id"))
-    return joined(members, named, ["component"]).select("k", "component", "family_id")
+    return met(members, named, ["component"]).select("k", "component", "family_id")
 
 
 def components(nodes: DataFrame, links: DataFrame, key: str = "k") -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, dot
+from .blocks import matrix, products
 from .grouping import summed
 from .neardup import components
-from .skew import importable, kept
+from .skew import importable, kept, placed
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -156,7 +157,16 @@ def cluster_report(members: DataFrame, width: int, top: int = 3) -> DataFrame:
     near = d.join(c.select("cluster", "c"), "cluster").withColumn("s", dot(F.col("v"), F.col("c")))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("s").desc(), "k"))
     shown = near.withColumn("rank", rank).filter(F.col("rank") <= top).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"]).alias("representatives"))
-    a, b = c.select("cluster", "c"), c.select(F.col("cluster").alias("other"), F.col("c").alias("oc"))
-    margin = a.join(b, F.col("cluster") != F.col("other")).groupBy("cluster").agg(clip(F.max(dot(F.col("c"), F.col("oc")))).alias("margin"))
-    ids = c.withColumn("cluster_id", F.row_number().over(Window.orderBy("least")) - 1)
+    kind = dict(c.dtypes)["cluster"]
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"cluster": x["cluster"][:0], "s": []})
+        s = matrix(x["c"]) @ matrix(y["c"]).T
+        s[x["cluster"].to_numpy()[:, None] == y["cluster"].to_numpy()[None, :]] = -2
+        return pd.DataFrame({"cluster": x["cluster"], "s": s.max(1)})
+
+    own = c.select("cluster", "c")
+    margin = products(own, own, ("cluster", "cluster"), nearest, f"cluster {kind}, s double").filter("s > -2").groupBy("cluster").agg(clip(F.max("s")).alias("margin"))
+    ids = placed(c, "least", name="cluster_id")
     return ids.join(shown, "cluster").join(margin, "cluster", "left").select("cluster_id", "cluster", "size", "confidence", "representatives", "margin")

@@ -51,8 +51,7 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
-def placed(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
-    """df with each row's place (from 0) in a total order: ranges are sorted side by side, and their sizes are added up."""
+def _placed(df: DataFrame, order: tuple, name: str) -> tuple[DataFrame, int]:
     d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     d = kept(d.withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m"))
     sizes = d.groupBy("_p").agg(F.count("*").alias("n")).collect()  # a row for each partition
@@ -61,13 +60,17 @@ def placed(df: DataFrame, *order: str | Column, name: str = "place") -> DataFram
         starts.append((r["_p"], before))
         before += r["n"]
     offsets = df.sparkSession.createDataFrame(starts, "_p long, _o long")
-    return d.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+    return d.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o"), before
+
+
+def placed(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """df with each row's place (from 0) in a total order: ranges are sorted side by side, and their sizes are added up."""
+    return _placed(df, order, name)[0]
 
 
 def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """One row of linearly interpolated quantiles by name, exact, null where there are no values; no task holds them all."""
-    d = placed(df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL"), "v")
-    total = d.count()
+    d, total = _placed(df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL"), ("v",), "place")
     at = {n: p * (total - 1) for n, p in shares.items()}
     wanted = sorted({int(x) + i for x in at.values() for i in (0, 1)})
     v = lambda i: F.max(F.when(F.col("place") == i, F.col("v")))
@@ -80,9 +83,9 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame
 
 def placed_within(df: DataFrame, keys: list[str], *order: str | Column, name: str = "place") -> DataFrame:
     """df with each row's place (from 0) within its key, which must not be null, and the key's rows as n: a row number for keys of any size."""
-    d = placed(df, *keys, *order, name="_at")
+    d, total = _placed(df, (*keys, *order), "_at")
     sizes = d.groupBy(*keys).agg(F.min("_at").alias("_start"), F.count("*").alias("n"))
-    return joined(d, sizes, keys).withColumn(name, F.col("_at") - F.col("_start")).drop("_at", "_start")
+    return (joined if total > HOT_ROWS else DataFrame.join)(d, sizes, keys).withColumn(name, F.col("_at") - F.col("_start")).drop("_at", "_start")
 
 
 def group_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
