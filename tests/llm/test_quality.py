@@ -1,10 +1,9 @@
-"""Fences and verdicts against a brute-force sketch, exact quantiles and SQL."""
+"""Fences and verdicts against a brute-force sketch and exact quantiles."""
 
 import math
 import re
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 
@@ -91,11 +90,3 @@ def test_sketches_are_as_exact_as_said(spark):
             for p, v in ((0.25, q.q25), (0.75, q.q75)):
                 exact = float(np.quantile(mine, p, method="lower"))
                 assert q.n == len(mine) and abs(v - exact) <= 1.0001 * quality.ACCURACY * exact
-
-
-def test_same_as_sql(spark, data):
-    con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
-    a, b = quality.op5_quality_rules(spark, data).toPandas(), con.sql(quality.OP5_SQL).df()
-    cols = sorted(a.columns)
-    assert cols == sorted(b.columns) and sorted(map(tuple, a[cols].astype(str).values)) == sorted(map(tuple, b[cols].astype(str).values))
