@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, hamming_hex
+from ..functions.scalars import dot, hex_int
 from .blocks import similar_pairs
 from .ranking import family_id
 from .skew import HOT_ROWS, joined, kept
@@ -21,9 +21,12 @@ def banded_pairs(rows: DataFrame, key: str, bits: str, within: int, digits: int
     bands = digits // band
     assert within < bands, "more differing bits than bands"
     d = rows.select(F.col(key).alias("k"), F.lpad(F.col(bits), digits, "0").alias("x"))
-    d = d.select("k", "x", F.posexplode(F.array(*(F.substring("x", i * band + 1, band) for i in range(bands)))).alias("band", "v"))
-    a, b = (d.select("band", "v", F.col("k").alias(k), F.col("x").alias("x" + k)) for k in "ab")
-    pairs = a.join(b, ["band", "v"]).filter("a < b").select("a", "b", hamming_hex(F.col("xa"), F.col("xb"), digits).alias("distance"))
+    # the digits are read once for a row, not once for a pair
+    d = d.withColumn("h", F.array(*(hex_int(F.col("x"), i) for i in range(1, digits, 8))))
+    d = d.select("k", "h", F.posexplode(F.array(*(F.substring("x", i * band + 1, band) for i in range(bands)))).alias("band", "v"))
+    a, b = (d.select("band", "v", F.col("k").alias(k), F.col("h").alias("h" + k)) for k in "ab")
+    distance = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = a.join(b, ["band", "v"]).filter("a < b").select("a", "b", distance.alias("distance"))
     return pairs.filter(F.col("distance") <= within).distinct()
 
 
