@@ -56,7 +56,9 @@ def test_many_languages(spark, monkeypatch):
 
 @pytest.mark.parametrize(("tag", "to"), [
     ('<link rel="x canonical" href="../y">', "/y"), ("<LINK HREF=/y REL=Canonical>", "/y"), ("<link rel='canonical' data-href='/no' href='/y'>", "/y"), ('<link rel="alternate" href="/no"><link rel="canonical" href=" /y ">', "/y"),
-    ('<meta http-equiv="Refresh" content="0; URL=\'/y\'">', "/y"), ("<meta content='5;url=/y?a=1&amp;b=2' http-equiv=refresh>", "/y?a=1&b=2"), ('<link rel="canonical" href="/p"><link rel="canonical" href="/y">', "/y"),
+    ('<meta http-equiv="Refresh" content="0; URL=\'/y\'">', "/y"), ("<meta content='5;url=/y?a=1&amp;b=2' http-equiv=refresh>", "/y?a=1&b=2"),
+    ("<meta http-equiv=refresh content='0; /y'>", "/y"), ("<meta http-equiv=refresh content='3, http://i.com:80/y'>", "/y"), ('<link title="a>b" rel="canonical" href="/y">', "/y"), ('<link rel="canonical" href="http://I.com:/%7ey/%2e/z%c3%a9#f">', "/~y/z%C3%A9"),
+    ('<link rel="canonical" href="http://i.com">', "/"), ('<link rel="canonical" href="/y&copy=1">', "/y&copy=1"), ('<link rel="canonical" href="/y&copy;">', "/y\u00a9"), ('<link rel="canonical"\nhref=" /\ty ">', "/y"), ('<link rel="canonical" href="/p"><link rel="canonical" href="/y">', "/y"),
     ('<!-- <link rel="canonical" href="/no"> --><link rel="canonical" href="y">', "/d/y"), ('<base target=x><base href="//i.com/z/"><link rel="canonical" href="y">', "/z/y"),
 ])
 def test_links_in_every_tag(spark, tag, to):
@@ -66,10 +68,30 @@ def test_links_in_every_tag(spark, tag, to):
 
 
 def test_no_links_where_there_are_none(spark):
-    rows = [(1, "http://i.com/d", '<link rel="canonicals" href="http://b.net/"><link rel="alternate" href="http://b.net/"><script>"<link rel=canonical href=http://b.net/>"</script>'), (2, "http://i.com/e", '<link rel="canonical" href="mailto:a@b.net">'), (3, None, '<link rel="canonical" href="http://b.net/">'), (4, "http://i.com/f", '<meta http-equiv="x" content="0;url=http://b.net/">'), (1, "http://i.com/d", None)]
+    rows = [(5, "http://i.com/g", '<link title="rel=canonical" rel="icon" href="http://b.net/">'), (6, "http://i.com/h", "<textarea><link rel=canonical href=http://b.net/></textarea><title><meta http-equiv=refresh content='0;http://b.net/'></title>"), (7, "http://i.com/i", "<meta http-equiv=refresh content='url=http://b.net/'><meta http-equiv=refresh content=5>")]
+    rows += [(1, "http://i.com/d", '<link rel="canonicals" href="http://b.net/"><link rel="alternate" href="http://b.net/"><script>"<link rel=canonical href=http://b.net/>"</script>'), (2, "http://i.com/e", '<link rel="canonical" href="mailto:a@b.net">'), (3, None, '<link rel="canonical" href="http://b.net/">'), (4, "http://i.com/f", '<meta http-equiv="x" content="0;url=http://b.net/">'), (1, "http://i.com/d", None)]
     assert {r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("piece", ["<!--", "<script ", "<link ", "<link rel='canonical", "<base href=\"", "<textarea>", "%7e/../", "&amp", "< = \"'", "<title></titl"])
+def test_long_pages_take_time_in_proportion(piece):
+    """A megabyte of what never ends, before and within a link."""
+    import time
+
+    many = piece * (1_000_000 // len(piece))
+    for html in (many, "http-equiv " + many + " -->", f'<link rel="canonical" href="{many}">', f"<meta http-equiv=refresh content='0;{many}'>"):
+        began = time.time()
+        urls.targets("http://a.com/b", html)
+        assert time.time() - began < 5
+
+
+def test_spellings_of_a_url():
+    same = ["http://a.com", "HTTP://A.com:80/", "http://a.com:/#x", "http://a.com/./b/../", "http://a.com/b/..", " http://a.com/\n"]
+    assert {urls.node(u) for u in same} == {"http://a.com/"}
+    assert urls.node("https://U%73er@H:443/%7Ex%2fy?q=%41%e9") == "https://U%73er@h/~x%2Fy?q=A%E9"
+    assert len({urls.node(u) for u in ("http://a.com/b", "http://a.com/b/", "http://a.com/B", "http://a.com/b?", "https://a.com/b", "http://a.com:81/b")}) == 6
+
+
 def test_components_of_hubs_chains_and_repeats(spark, monkeypatch):
     """Salted joins: a hub of many leaves, a long chain, a clique and repeated edges give what union-find gives."""
     monkeypatch.setattr(common, "HOT_ROWS", 20)
@@ -95,10 +117,10 @@ def test_verdicts_of_linked_pages_in_sql(spark):
     import pandas as pd
 
     r, rows = random.Random(9), []
-    hosts = ["a.com", "b.net", "www.example.net", "EXAMPLE.com", "c.org", "d.io"]
+    hosts = ["a.com", "b.net", "www.example.net", "EXAMPLE.com", "c.org", "d.io", *(f"x{i}.io" for i in range(90))]
     paths = ["/", "/en/x", "/de/y", "/fr/z", "/d/e/f", "/p?q=1", "/s/t#u", ""]
-    refs = ["../g", "./", "h", "/fr/z", "?q=2", "#f", "//b.net/", "http://www.example.net/en/x", "HTTP://A.com/d/../en/x", "..", "../../../k", "/a/./b/../c", "mailto:x@y", "i?a=1&amp;b=2", "j/", "&quot;"]
-    forms = ['<link rel="canonical" href="{}">', "<LINK HREF='{}' REL='x Canonical'>", "<meta http-equiv=refresh content='0; url={}'>", '<!-- <link rel="canonical" href="{}"> -->', "<script><link rel=canonical href='{}'></script>", '<link rel="alternate" href="{}">', "<base href='{}'>"]
+    refs = ["../g", "./", "h", "/fr/z", "?q=2", "#f", "//b.net/", "http://www.example.net/en/x", "HTTP://A.com/d/../en/x", "..", "../../../k", "/a/./b/../c", "mailto:x@y", "i?a=1&amp;b=2", "j/", "&quot;", "HTTP://a.com:80", "http://c.org:/%7ex/%2e/%c3", "/%7E", "https://d.io:443/fr/../de/y", "http://b.net"]
+    forms = ['<link title="a>b" rel="canonical" href="{}">', '<link title="rel=canonical" rel="icon" href="{}">', "<textarea><link rel=canonical href={}></textarea>", "<meta http-equiv=refresh content='0; {}'>", "<meta content='1,URL=\"{}\" x' http-equiv=REFRESH>", '<link rel="canonical" href="{}">', "<LINK HREF='{}' REL='x Canonical'>", "<meta http-equiv=refresh content='0; url={}'>", '<!-- <link rel="canonical" href="{}"> -->', "<script><link rel=canonical href='{}'></script>", '<link rel="alternate" href="{}">', "<base href='{}'>"]
     for i in range(400):
         html = "".join(r.choice(forms).format(r.choice(refs)) for _ in range(r.choice((0, 0, 1, 1, 2, 3))))
         rows.append((i, f"{r.choice(('http', 'HTTPS'))}://{r.choice(hosts)}{r.choice(paths)}" if i % 40 else None, html if i % 33 else None))
