@@ -30,8 +30,8 @@ def vector_codec(spark, d):
 
 def canonical_rows(spark, d):
     docs = table(spark, d, "documents")
-    j = codecs.canonical_json(source=F.col("source"), lang=F.col("lang"), id=F.col("doc_id"), head=F.substring("text", 1, 40))
-    return docs.select("doc_id", F.sha2(j, 256).alias("fingerprint"), F.length(codecs.ascii_json(F.regexp_replace(F.substring("text", 1, 40), r"[^\x20-\x7Eäöüßéèç]", ""))).alias("ascii"), codecs.html_safe(F.to_json(F.struct(F.concat(F.lit("<a&"), "lang").alias("x")))).alias("safe"))
+    j = codecs.canonical_json(source=F.col("source"), lang=F.col("lang"), id=F.col("doc_id"), text=F.col("text"))
+    return docs.select("doc_id", F.sha2(j, 256).alias("fingerprint"), F.length(codecs.ascii_json(F.regexp_replace("text", r"[^\x20-\x7Eäöüßéèç]", ""))).alias("ascii"), codecs.html_safe(F.to_json(F.struct(F.concat(F.lit("<a&"), "lang").alias("x")))).alias("safe"))
 
 
 def budgets(spark, d):
@@ -163,7 +163,7 @@ ORACLE = {
     "identifiers": """SELECT vec_id, 'f_' || substr(sha256(sha256(CAST(vec_id AS VARCHAR)) || '[' || vec_id % 7 || ',' || vec_id % 11 || ',' || (vec_id % 13 + 1) || ',' || (vec_id % 17 + 1) || ']'), 1, 8) AS face, 'faces/f_' || substr(sha256(sha256(CAST(vec_id AS VARCHAR)) || '[' || vec_id % 7 || ',' || vec_id % 11 || ',' || (vec_id % 13 + 1) || ',' || (vec_id % 17 + 1) || ']'), 1, 8) || '.jpg' AS crop, sha256('directory-v1:a/' || vec_id % 5) AS folder, sha256('occurrence-v1:a/' || vec_id || ':' || sha256(CAST(vec_id AS VARCHAR))) AS occurrence,
   sha256('["cache-v2", "' || sha256('model@' || vec_id % 3) || '", "' || sha256('rgb|none') || '", "outputs-v1", "cpu"]') AS namespace FROM embeddings""",
     "vector_codec": "SELECT vec_id, (len(embedding) * 4 + 2) // 3 * 4 AS length, true AS same FROM embeddings",
-    "canonical_rows": r"""SELECT doc_id, sha256('{"head":' || coalesce(to_json(substr(text, 1, 40)), 'null') || ',"id":' || doc_id || ',"lang":' || coalesce(to_json(lang), 'null') || ',"source":' || coalesce(to_json(source), 'null') || '}') AS fingerprint, length(t) + 5 * length(regexp_replace(t, '[ -~]', '', 'g')) AS ascii, '{' || coalesce('"x":"\u003ca\u0026' || lang || '"', '') || '}' AS safe FROM (SELECT *, regexp_replace(substr(text, 1, 40), '[^ -~äöüßéèç]', '', 'g') AS t FROM documents)""",
+    "canonical_rows": r"""SELECT doc_id, sha256('{"id":' || doc_id || ',"lang":' || coalesce(to_json(lang), 'null') || ',"source":' || coalesce(to_json(source), 'null') || ',"text":' || coalesce(to_json(text), 'null') || '}') AS fingerprint, length(t) + 5 * length(regexp_replace(t, '[ -~]', '', 'g')) AS ascii, '{' || coalesce('"x":"\u003ca\u0026' || lang || '"', '') || '}' AS safe FROM (SELECT *, regexp_replace(text, '[^ -~äöüßéèç]', '', 'g') AS t FROM documents)""",
     "budgets": "SELECT p_partkey, 4 * p_partkey * 1000 + 48 * p_size * (p_partkey % 50) + 16777216 AS decode, CAST(floor(least(20971520, 0.65::DOUBLE * (p_partkey * 90000), 0.75::DOUBLE * (p_partkey * 70000))) AS BIGINT) AS host, CAST(floor(least(0.8::DOUBLE * (p_partkey * 1000), 0.85::DOUBLE * (p_partkey * 900))) AS BIGINT) AS device, CASE WHEN p_partkey % 9 <> 0 THEN printf('%.3f', round(p_partkey / 8, 3)) ELSE '—' END AS shown, printf('%.1f', round(p_partkey % 200 / 2, 1)) || '%' AS percent FROM part",
     "cluster_snapshots": "SELECT label, sha256('cluster-members-v1' || chr(10) || string_agg('i' || vec_id || ':' || CASE WHEN vec_id % 3 = 0 THEN 's' || vec_id ELSE '' END || ':c' || vec_id || ':p1', chr(10) ORDER BY 'i' || vec_id) || chr(10) || (SELECT string_agg(DISTINCT 'q' || z.vec_id % 3, chr(10) ORDER BY 'q' || z.vec_id % 3) FROM embeddings z WHERE z.label = e.label) || chr(10)) AS snapshot FROM embeddings e GROUP BY label",
     "memory_fold": f"WITH {_NAMED} SELECT * FROM mem",
