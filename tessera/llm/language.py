@@ -5,8 +5,8 @@ longest phrases that occur in that language's text, and the language with the fe
 bits that name a place in its text, wins. The automata are tables, so a batch's texts are parsed side by side. Every
 letter of the samples is a symbol of its own, however many there are.
 
-The model is fitted on a bounded sample: of the LANGS languages with most labelled rows (of equals the first by name)
-DOCS labelled texts of each, MODEL letters in all of each, ordered by hashes of doc_id and text. Of rows that share
+The model is fitted on a bounded sample of every labelled language: DOCS labelled texts and MODEL letters of each
+(MODEL_TOTAL of all together, but MODEL_LEAST of each), ordered by hashes of doc_id and text. Of rows that share
 doc_id and label the sample holds one, the smallest beginning of their texts; rows that repeat take places in the
 sample. Prediction reads whole texts; a phrase ends at the borders of BLOCK symbols. Letters are compared in lower case
 and runs of other characters count as one gap. Null texts and texts without letters are `und`, as are all texts if
@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW, arrow_types, byte_slices, cut, importable, map_arrow, table, trimmed
+from .common import ARROW, BROADCAST_IDENTITIES, arrow_types, byte_slices, cut, importable, map_arrow, table, trimmed
 
 DOCS, MODEL, BLOCK = 64, 16_384, 4096
-#: Letters of all languages together, so that the tables of many languages stay as small, and languages that are learned.
-MODEL_TOTAL, LANGS = 1 << 18, 1024
+#: Letters of all languages together, so that the tables of many languages stay as small, and letters that each has even
+#: of very many; every language is learned.
+MODEL_TOTAL, MODEL_LEAST = 1 << 18, 128
 #: Columns of the dense tables: gaps, the most frequent letters, and last the letters that no sample has. The other
 #: letters have symbols from _WIDTH on, whose transitions are looked up among sorted keys.
 _WIDTH = 64
@@ -185,16 +186,17 @@ def fit(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """Each language's sample, from labelled documents that are not held out."""
     taught = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = taught.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("rows"))
-    known = [r["lang"] for r in counts.orderBy(F.desc("rows"), "lang").limit(LANGS).collect()]
+    known = counts.count()
     if not known:
         return ()
-    most = MODEL_TOTAL // max(len(known), MODEL_TOTAL // MODEL)
+    most = max(MODEL_LEAST, MODEL_TOTAL // max(known, MODEL_TOTAL // MODEL))
     rows = taught.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.xxhash64("doc_id", "text").alias("o"))
     places = Window.partitionBy("lang").orderBy("o", "doc_id")
-    top = rows.join(F.broadcast(counts.orderBy(F.desc("rows"), "lang").limit(LANGS).select("lang")), "lang", "left_semi").withColumn("n", F.row_number().over(places)).filter(F.col("n") <= DOCS)
-    top = cut(top.groupBy("lang", "doc_id").agg(F.min("n").alias("n")))  # DOCS * LANGS rows at most
+    top = rows.withColumn("n", F.row_number().over(places)).filter(F.col("n") <= DOCS)
+    top = cut(top.groupBy("lang", "doc_id").agg(F.min("n").alias("n")))  # DOCS rows of each language at most
+    top = F.broadcast(top) if DOCS * known <= BROADCAST_IDENTITIES else top
     begin = F.substring(F.coalesce("text", F.lit("")), 1, most)
-    sample = taught.select(F.col("lang").cast("string").alias("lang"), "doc_id", begin.alias("t")).join(F.broadcast(top), ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min("t").alias("t"))
+    sample = taught.select(F.col("lang").cast("string").alias("lang"), "doc_id", begin.alias("t")).join(top, ["lang", "doc_id"]).groupBy("lang", "n").agg(F.min("t").alias("t"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], []).append((r["n"], r["t"]))

@@ -1,9 +1,10 @@
 """Licence scans over a positional rare-token index of licence texts.
 
-Every word of every template is posted under its places. The words' document frequencies are counted over the whole
-corpus. A text's licence words are looked up from the rarest (highest IDF) on: the rarest word of a mandatory phrase
+The words of every mandatory phrase are posted under their places in it; a template without phrases of its own is one.
+The document frequencies of all templates' words are counted over the whole corpus. A text's licence words are looked up from the rarest (highest IDF) on: the rarest word of a mandatory phrase
 opens the starts that its places in the text minus its place in the phrase give, and the postings of the phrase's
 other words are intersected with them by relative position, until all of its words stand in a row or no start is left.
+A template's other words are compared in place.
 A template matches where its rarest phrase stands and all its other mandatory phrases stand in order around it, each at
 most SLACK words away from its place in the template, as texts insert names and lines. The score is the IDF-weighted
 share of the template's words that stand in place relative to one of these phrases.
@@ -151,7 +152,7 @@ class Phrase:
 
 
 class Index:
-    """Postings of all templates' words; each mandatory phrase is opened by its rarest word."""
+    """Postings of the mandatory phrases' words; each phrase is opened by its rarest word."""
 
     def __init__(self, frequency: dict[bytes, int], rows: int) -> None:
         self.idf = {w: math.log((rows + 1) / (frequency.get(w, 0) + 1)) + 1e-9 for w in vocabulary()}

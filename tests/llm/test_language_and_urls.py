@@ -45,12 +45,13 @@ def test_fit_reads_labelled_rows_alone(spark):
 def test_many_languages(spark, monkeypatch):
     rows = [(i * 10 + j, f"wort{i} " * 5, f"l{i:03}", "x", 1) for i in range(300) for j in range(3 if i < 20 else 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, score int")
-    assert len(language.fit(docs)) > 200
-    monkeypatch.setattr(language, "LANGS", 10)
+    taught = {r.lang for r in docs.filter(~language.held_out()).select("lang").collect()}
+    assert {k for k, _ in language.fit(docs)} == taught and len(taught) > 250
     monkeypatch.setattr(language, "MODEL_TOTAL", 4000)
-    monkeypatch.setattr(language, "MODEL", 1000)
+    monkeypatch.setattr(language, "MODEL_LEAST", 20)
+    monkeypatch.setattr(language, "BROADCAST_IDENTITIES", 0)
     got = language.fit(docs)
-    assert len(got) == 10 and all(k < "l300" and len(t) <= 400 for k, t in got)
+    assert {k for k, _ in got} == taught and all(len(t) <= 20 for _, t in got)
     assert {r.lang_pred for r in language.language_id(docs).collect()} <= {k for k, _ in got}
 
 
