@@ -20,6 +20,7 @@ by tokenized() and kept by pack().
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -28,15 +29,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import placed
 from .common import byte_slices, map_arrow, saved, table
-from .words import SPACED, split
+from .words import LOWER, SPACED, split
 
-#: Tokens of a bin, the id that ends each document, words whose ids a worker keeps and the bytes from which a word isn't kept.
-LENGTH, END, MEMORY, KEPT = 4096, 1, 200_000, 64
+#: Tokens of a bin, the id that ends each document, parts of texts after which a worker keeps no more ids, the length from which a part isn't kept.
+LENGTH, END, MEMORY, KEPT = 4096, 1, 300_000, 64
 
 
 def default_tokenizer() -> str:
@@ -48,34 +50,74 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What the encoder relies on to take texts apart (fixed values): how the tokenizer normalises texts, and its tokens' pattern.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+_LETTER, _DIGIT, _OTHER, _LOOSE = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[*range(48, 58)]] = _DIGIT
+_KIND[[39, *range(128, 256)]] = _LOOSE  # apostrophes and what isn't ASCII may belong to either side
+
+
+def _breaks(data: np.ndarray) -> np.ndarray:
+    """Where a part ends whatever stands around it: between a letter, a digit and other ASCII, and after each digit."""
+    k = _KIND[data]
+    return ((k[1:] != k[:-1]) | (k[1:] == _DIGIT)) & (k[1:] != _LOOSE) & (k[:-1] != _LOOSE)
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case where no combining character may follow."""
+    low = LOWER[data]
+    return np.where(np.append(data[1:] < 128, True), low, data)
+
+
 class Encoder:
-    """Ids of a tokenizer that never joins what white space parts (its pretokenizer drops it): each distinct word is encoded once."""
+    """Ids of a tokenizer; of one that NORMAL and PATTERN describe each distinct part of a batch's texts is encoded once."""
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(model)
-        if (probe := self._encode(["a b", "a", "b"]))[0] != probe[1] + probe[2]:
-            raise ValueError("the tokenizer doesn't drop white space")
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        told = json.loads(model)
+        first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_parts = (told.get("normalizer") or {}).get("normalizers") == NORMAL and first.get("pattern") == {"Regex": PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+        self.special = [t["content"] for t in told.get("added_tokens") or []]
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each part with its ids. Parts that no normalisation lengthens or joins are encoded many at a time, told apart by where tokens start."""
+        plain, other = [], []
+        for p in parts:
+            t = p.decode()
+            (plain if len(t) < KEPT and (t.isascii() or (max(t) < "\u0180" and "\u0130" not in t)) else other).append(t)
+        yield from zip((t.encode() for t in other), self._encode(other), strict=True)
+        for at in range(0, len(plain), 4096):
+            groups = [plain[i : i + 64] for i in range(at, min(at + 4096, len(plain)), 64)]
+            for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids, begin = np.array(e.ids, "<u4"), np.fromiter((a for a, _ in e.offsets), np.int64)
+                ends = np.cumsum([len(t) + 1 for t in group])
+                cuts = [0, *np.searchsorted(begin, ends).tolist()]
+                yield from ((t.encode(), ids[a:b].tobytes()) for t, a, b in zip(group, cuts, cuts[1:], strict=False))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and where each text's end, from 0 on."""
-        w = split(texts, SPACED, lower=False)
+        if not self.by_parts or any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.special):
+            raw = self._encode([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(raw), "<u4"), np.append(0, np.cumsum([len(x) // 4 for x in raw], dtype=np.int64))
+        w = split(texts, SPACED, _folded, _breaks)
         distinct = w.distinct.to_pylist()
-        new = [x for x in distinct if x not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, distinct
-        fresh = dict(zip(new, (np.array(i, np.uint32) for i in self._encode([x.decode() for x in new])), strict=True)) if new else {}
+        fresh = dict(self._parts([x for x in distinct if x not in self.known]))
         ids = [fresh[x] if x in fresh else self.known[x] for x in distinct]
-        self.known.update((x, i) for x, i in fresh.items() if len(x) < KEPT)
-        sizes = np.array([len(i) for i in ids], np.int64)
-        flat, starts = np.concatenate([np.empty(0, np.uint32), *ids]), np.append(0, np.cumsum(sizes))[:-1]
-        each = sizes[w.codes]
+        if len(self.known) < MEMORY:
+            self.known.update((x, i) for x, i in fresh.items() if len(x) < KEPT)
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        each, starts = sizes[w.codes], np.append(0, np.cumsum(sizes))[:-1]
         before = np.append(0, np.cumsum(each))
         return flat[np.repeat(starts[w.codes] - before[:-1], each) + np.arange(before[-1])], before[w.ends]
 

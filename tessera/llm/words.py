@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -41,8 +42,13 @@ class Words(NamedTuple):
         return np.diff(np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset : self.distinct.offset + len(self.distinct) + 1])
 
 
-def split(texts: pa.Array, kind: np.ndarray, lower: bool = True) -> Words:
-    """The words of the texts; null texts have none, and no word or piece reaches into the next text."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    return LOWER[data]
+
+
+def split(texts: pa.Array, kind: np.ndarray, fold: Callable[[np.ndarray], np.ndarray] | None = lowered, breaks: Callable[[np.ndarray], np.ndarray] | None = None) -> Words:
+    """The words of the texts; null texts have none, and no word or piece reaches into the next text. fold changes bytes
+    for bytes; breaks says, of all bytes but the first, which begin a word though one goes on before them."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary())
@@ -51,11 +57,11 @@ def split(texts: pa.Array, kind: np.ndarray, lower: bool = True) -> Words:
         return Words(pa.array([], pa.large_binary()), np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64))
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    data = LOWER[data] if lower else data
+    data = fold(data) if fold else data
     of = kind[data]
     inside = of == WORD
     first = inside.copy()
-    first[1:] &= ~inside[:-1]
+    first[1:] &= ~inside[:-1] | breaks(data) if breaks else ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     first[heads] = inside[heads]
     starts, letters = np.flatnonzero(first), data[inside]

@@ -73,6 +73,25 @@ def docs(spark):
     return rows, spark.createDataFrame([(*x, "a", 1, 2) for x in rows], "doc_id long, text string, row string, place int, length int").repartition(5)
 
 
+def test_ids_of_any_text():
+    """Parts of all kinds of characters, next to each other in every order, against the library on whole texts."""
+    import pyarrow as pa
+
+    e, t = packing.Encoder(open(packing.default_tokenizer()).read()), Tokenizer.from_file(packing.default_tokenizer())
+    assert e.by_parts
+    r = random.Random(8)
+    alphabet = [*"aZz09.,!'\"<|>-_ ", "'S", "'ll", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "é", "É", "\u0301", "\u0331", "H", "h", "I", "\u0130", "\u0307", "ß", "ſ", "K", "Σ", "σ", "中", "…", "—", "½", "२", "\u0958", "ﬁ", "\u200d", "👩", "\u1100\u1161", "\0", "\u0345", "ǆ", "İ", "‘", "\u2028"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 12))) for _ in range(20_000)] + [None, "", " ", "word " * 9]
+    for a in (0, 10_000, 20_000):
+        part = texts[a : a + 10_000]
+        ids, ends = e.texts(pa.array(part))
+        want = [x.ids for x in t.encode_batch([x or "" for x in part], add_special_tokens=False)]
+        assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:])] == want
+    t.pre_tokenizer = None
+    other = packing.Encoder(t.to_str())
+    assert not other.by_parts and other.texts(pa.array(["a b", None]))[0].tolist() == t.encode("a b", add_special_tokens=False).ids
+
+
 def test_pieces_are_the_librarys_ids(docs):
     rows, df = docs
     t = Tokenizer.from_file(packing.default_tokenizer())
