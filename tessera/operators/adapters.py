@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import density, neardup, ordered
-from .blocks import similar_pairs
+from .metric import similar_pairs
 from .skew import importable, kept
 
 

@@ -1,13 +1,14 @@
-"""Products of vectors, block by block.
+"""Products of vectors, block by block, for what needs every pair (the best few, a score for each label).
 
-Two tables of vectors are dealt into blocks of about BLOCK rows by a hash of their key, and each pair of blocks is one
-matrix product in a Python worker, so that no task holds more than two blocks and their product. The work is that of
-all pairs, as an exact threshold on the cosine has no key to join by; what leaves a task is only what passes.
+A right side of up to SENT rows and BYTES is sent to all workers, and the left side stays where it is. A larger one and
+the left side are dealt into blocks of about BLOCK rows by a hash of their key, and each pair of blocks is one matrix
+product in a Python worker, so that no task holds more than two blocks and their product. Pairs over a threshold are
+found by cells that can meet (metric.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .skew import importable
 
 BLOCK = 1024
+#: Rows and bytes of a right side that is sent to all workers.
+SENT, BYTES = 8192, 32 << 20
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -28,7 +31,18 @@ def _dealt(df: DataFrame, key: str, n: int, mine: str) -> DataFrame:
 
 
 def products(left: DataFrame, right: DataFrame, keys: tuple[str, str], run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """What `run` returns for each pair of a block of left and a block of right, given their columns."""
+    """What `run` returns for each pair of a part of left and a block of right, given their columns."""
+    importable(left.sparkSession)
+    some = right.limit(SENT + 1).toArrow()
+    if some.num_rows <= SENT and some.nbytes <= BYTES:
+        sent = left.sparkSession.sparkContext.broadcast(some.to_pandas())
+
+        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in parts:
+                for at in range(0, len(x), block):
+                    yield run(x.iloc[at : at + block].reset_index(drop=True), sent.value)
+
+        return left.mapInPandas(each, schema)
     n, m = (max(1, -(-df.count() // block)) for df in (left, right))
     a = _dealt(left, keys[0], n, "_l").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     b = _dealt(right, keys[1], m, "_r").withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -37,59 +51,6 @@ def products(left: DataFrame, right: DataFrame, keys: tuple[str, str], run: Call
 
 def _cells(a: DataFrame, b: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     # columns of its own for the right side, as both may come from one table
-    importable(a.sparkSession)
     b = b.toDF(*(f"y{c}" for c in b.columns))
     renamed = lambda x, y: run(x, y.set_axis([c[1:] for c in y.columns], axis=1))
     return a.groupBy("_l", "_r").cogroup(b.groupBy("y_l", "y_r")).applyInPandas(renamed, schema)
-
-
-def _pairs(points: DataFrame, value: str, compare: Callable[[pd.Series, pd.Series], tuple[np.ndarray, np.ndarray]], kind: str, block: int) -> DataFrame:
-    """a, b, w of keys a < b for which compare (of two columns: which pairs pass, and their values) says so; each pair of blocks once."""
-    key = dict(points.dtypes)["k"]
-    n = max(1, -(-points.count() // block))
-    d = _dealt(points.select("k", value), "k", n, "_own")
-    low = d.withColumn("_l", F.col("_own")).withColumn("_r", F.explode(F.sequence(F.col("_own"), F.lit(n - 1)))).drop("_own")
-    high = d.withColumn("_r", F.col("_own")).withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_own")))).drop("_own")
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b, w = [], [], []
-        if len(x) and len(y):
-            one, p, q = x["_l"].iloc[0] == x["_r"].iloc[0], x["k"].to_numpy(), y["k"].to_numpy()
-            for at in range(0, len(x), 512):
-                passes, s = compare(x[value].iloc[at : at + 512], y[value])
-                i, j = np.nonzero(passes)
-                s, i, j = s[i, j], p[i + at], q[j]
-                ok = i < j if one else np.ones(len(i), bool)
-                a.append(np.where(i < j, i, j)[ok])
-                b.append(np.where(i < j, j, i)[ok])
-                w.append(s[ok])
-        none = np.empty(0, x["k"].dtype)
-        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b]), "w": np.concatenate([np.empty(0, np.int64 if kind == "long" else float), *w])})
-
-    return _cells(low, high, run, f"a {key}, b {key}, w {kind}")
-
-
-def similar_pairs(points: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b, w: keys a < b of unit vectors (k, v) whose cosine w is at least `least`."""
-
-    def compare(x: pd.Series, y: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        s = matrix(x) @ matrix(y).T
-        return s >= least, s
-
-    return _pairs(points, "v", compare, "double", block)
-
-
-def hamming_pairs(points: DataFrame, within: int, block: int = BLOCK) -> DataFrame:
-    """a, b, w: keys a < b of hex strings of one length (k, bits) that differ in w bits, `within` at most. For distances so
-    wide that bands (neardup.banded_pairs) would be too short to tell rows apart."""
-
-    def words(x: pd.Series) -> np.ndarray:
-        raw = np.frombuffer(bytes.fromhex("".join(h.rjust(-(-len(h) // 16) * 16, "0") for h in x)), ">u8")
-        return raw.reshape(len(x), -1)
-
-    def compare(x: pd.Series, y: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        p, q = words(x), words(y)
-        s = sum(np.bitwise_count(p[:, i, None] ^ q[None, :, i]).astype(np.int64) for i in range(p.shape[1]))
-        return s <= within, s
-
-    return _pairs(points, "bits", compare, "long", block)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, hex_int
-from .blocks import similar_pairs
+from .metric import similar_pairs
 from .ranking import family_id
 from .skew import HOT_ROWS, joined, kept
 

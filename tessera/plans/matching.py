@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import unit, wilson
 from ..operators import grouping, neardup, policy
-from ..operators.blocks import hamming_pairs, similar_pairs
+from ..operators.metric import hamming_pairs, similar_pairs
 from ..operators.skew import kept
 from ..sources.tables import table
 
@@ -33,7 +33,7 @@ def reference_similarity(spark, d):
 def near_duplicate_pairs(spark, d):
     bits = F.array_join(F.transform("v", lambda x: F.when(x > 0, "1").otherwise("0")), "")
     hexed = F.concat(*(F.lower(F.conv(F.substring(bits, 4 * i + 1, 4), 2, 16)) for i in range(WIDTH // 4)))
-    return hamming_pairs(_vectors(spark, d).withColumn("bits", hexed), 15).withColumnRenamed("w", "distance")
+    return hamming_pairs(_vectors(spark, d).select("k", hexed.alias("v")), 15).withColumnRenamed("w", "distance")
 
 
 def similarity_components(spark, d):

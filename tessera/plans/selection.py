@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import displayed_rect
 from ..operators import layout, ordered
-from ..operators.blocks import similar_pairs
+from ..operators.metric import similar_pairs
 from ..operators.skew import kept
 from ..sources.tables import table
 from .matching import _V, WIDTH, _vectors, near_duplicate_pairs

@@ -143,27 +143,71 @@ def test_entry_imports(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_block_products(spark):
-    """Blocks of any size give all pairs once; keys may be strings; empty tables give none."""
+@pytest.mark.parametrize("small", [4096, 8])
+def test_pairs_within_a_distance(spark, monkeypatch, small):
+    """One cell or many, hot cells, copies, keys of two kinds, empty tables: all pairs once."""
     import numpy as np
 
-    from tessera.operators import blocks
+    from tessera.operators import metric
 
+    monkeypatch.setattr(metric, "SMALL", small)
+    monkeypatch.setattr(metric, "CELL", 7)
+    monkeypatch.setattr(metric, "HELD", 20)
+    monkeypatch.setattr(metric, "PASSING", 50)
     r = np.random.default_rng(4)
-    m = r.normal(size=(90, 6))
+    m = np.concatenate([r.normal(size=(90, 6)), np.tile(r.normal(size=(1, 6)), (25, 1)), r.normal(size=(60, 6)) * 0.1 + 1])
     m /= np.linalg.norm(m, axis=1)[:, None]
     for name in (str, int):
-        keys = [name(i + 10) for i in range(90)]
-        points = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, m, strict=True)], f"k {'string' if name is str else 'int'}, v array<double>")
-        want = {(keys[i], keys[j]) for i in range(90) for j in range(i + 1, 90) if m[i] @ m[j] >= 0.5}
-        for block in (7, 1000):
-            got = blocks.similar_pairs(points, 0.5, block).collect()
+        keys = [name(i + 100) for i in range(len(m))]
+        points = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, m, strict=True)], f"k {'string' if name is str else 'int'}, v array<double>").repartition(3)
+        for least in (0.5, 0.95):
+            want = {(keys[i], keys[j]) for i in range(len(m)) for j in range(i + 1, len(m)) if m[i] @ m[j] >= least}
+            got = metric.similar_pairs(points, least).collect()
             assert len(got) == len(want) and {(p.a, p.b) for p in got} == want
-    assert blocks.similar_pairs(points.limit(0), 0.5).count() == 0
-    bits = [int(x) for x in r.integers(0, 2**62, 60)]
-    rows = spark.createDataFrame([(i, f"{x:032x}") for i, x in enumerate(bits)], "k int, bits string")
-    want = {(i, j, (bits[i] ^ bits[j]).bit_count()) for i in range(60) for j in range(i + 1, 60) if (bits[i] ^ bits[j]).bit_count() <= 26}
-    assert {tuple(p) for p in blocks.hamming_pairs(rows, 26, 16).collect()} == want
+    assert metric.similar_pairs(points.limit(0), 0.5).count() == 0
+    bits = [int(x) for x in r.integers(0, 2**62, 60)] + [(1 << 90) + (1 << int(x)) for x in r.integers(0, 20, 40)]
+    rows = spark.createDataFrame([(i, f"{x:032x}") for i, x in enumerate(bits)], "k int, v string")
+    for within in (2, 26):
+        want = {(i, j, (bits[i] ^ bits[j]).bit_count()) for i in range(100) for j in range(i + 1, 100) if (bits[i] ^ bits[j]).bit_count() <= within}
+        assert {tuple(p) for p in metric.hamming_pairs(rows, within).collect()} == want
+
+
+def test_few_cells_are_multiplied_where_vectors_lie_in_clusters(spark):
+    import numpy as np
+
+    from tessera.operators import metric
+
+    r = np.random.default_rng(0)
+    centres = r.normal(size=(120, 16))
+    x = centres[r.integers(0, 120, 6000)] + r.normal(size=(6000, 16)) * 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    _, *cells = metric.celled(points, metric.COSINE)
+    n = len(cells[0])
+    met = metric.meeting_cells(spark, metric.COSINE, *cells, float(np.sqrt(2 - 2 * 0.95))).count()
+    assert n <= 6000 / metric.CELL + metric.PIVOTS + 1 and met < n * (n + 1) / 2 / 10
+    assert metric.similar_pairs(points, 0.95).count() == np.triu(x @ x.T >= 0.95, 1).sum()
+
+
+def test_block_products(spark, monkeypatch):
+    """A right side that is sent, and blocks of any size, give each pair once."""
+    import numpy as np
+    import pandas as pd
+
+    from tessera.operators import blocks
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "k int, v array<double>").repartition(3)
+
+    def run(x, y):
+        s = blocks.matrix(x["v"]) @ blocks.matrix(y["v"]).T if len(x) and len(y) else np.empty((0, 0))
+        i, j = np.nonzero(s >= 0)
+        return pd.DataFrame({"a": x["k"].to_numpy()[i], "b": y["k"].to_numpy()[j], "s": s[i, j]})
+
+    want = sorted((i, j, i * j + 1.0) for i in range(40) for j in range(40))
+    for sent in (8192, 0):
+        monkeypatch.setattr(blocks, "SENT", sent)
+        got = blocks.products(df, df, ("k", "k"), run, "a int, b int, s double", 7).collect()
+        assert sorted(map(tuple, got)) == want
 
 
 def test_places_and_quantiles(spark):
