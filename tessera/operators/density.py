@@ -1,44 +1,56 @@
 """Hierarchical density clusters by mutual reachability.
 
-Each group is one task of Python: the tree of a group needs all of it. Distances are taken a row at a time, so memory
-grows with the group, not with its square; time does grow with the square, and a group over `most` rows is an error.
+A group of up to SMALL rows is one task. Of a larger one the tree of least mutual reachability is built in rounds over
+cells of points (metric.py): core distances come from the cells that can hold a point's neighbours, and in each round
+every part of the tree finds its least edge to another part, looking only where a cell's distance leaves room for a lesser
+edge than the cells around it promise. Vectors never meet in one task; the clusters come from the tree's sorted edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .skew import importable
-
+from .metric import COSINE, SLACK, Kernel, cell_size, celled, units
+from .neardup import components
+from .skew import importable, kept
 
-def spanning_tree(x: np.ndarray, neighbours: int) -> np.ndarray:
-    """Rows (distance, i, j) of the tree of least mutual reachability, a row counting as its own first neighbour."""
-    n, squares = len(x), (x * x).sum(1)
+#: Rows of a group that one task clusters.
+SMALL = 4096
 
-    def row(i: int) -> np.ndarray:
-        d = np.sqrt(np.maximum(squares + squares[i] - 2 * (x @ x[i]), 0))
-        d[i] = 0
-        return d
 
+def spanning_tree(x: np.ndarray, neighbours: int) -> np.ndarray:
+    """Rows (distance, i, j) of the tree of least mutual reachability, a row counting as its own first neighbour; of equal
+    edges that of the smaller rows goes first, so there is one such tree."""
+    n = len(x)
+    row = lambda i: COSINE.distance(x[i : i + 1], x)[0]
     core = np.array([np.partition(row(i), neighbours - 1)[neighbours - 1] for i in range(n)])
-    near, via, out, at = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0
+    near, via, out, at, all_rows = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0, np.arange(n)
     edges = np.empty((n - 1, 3))
     for k in range(n - 1):
         out[at] = False
-        reach = np.maximum(np.maximum(core, core[at]), row(at))
-        better = out & (reach < near)
+        reach = np.round(np.maximum(np.maximum(core, core[at]), row(at)), 12)
+        low, high = np.minimum(all_rows, at), np.maximum(all_rows, at)
+        was = np.minimum(all_rows, via)
+        before = (low < was) | ((low == was) & (high < np.maximum(all_rows, via)))
+        better = out & ((reach < near) | ((reach == near) & before))
         near[better], via[better] = reach[better], at
-        to = int(np.where(out, near, np.inf).argmin())
-        edges[k] = near[to], via[to], to
+        ties = np.flatnonzero(out & (near == near[out].min()))
+        low, high = np.minimum(ties, via[ties]), np.maximum(ties, via[ties])
+        to = int(ties[np.lexsort((high, low))[0]])
+        edges[k] = near[to], min(via[to], to), max(via[to], to)
         at = to
-    return edges[np.argsort(edges[:, 0], kind="stable")]
+    return edges[np.lexsort((edges[:, 2], edges[:, 1], edges[:, 0]))]
 
 
-def linked(edges: np.ndarray) -> tuple[list[tuple[int, int]], list[float], list[int]]:
-    """The merges of a tree's edges in order: children, height and size of node n + k."""
-    n = len(edges) + 1
+def linked(edges: np.ndarray, n: int) -> tuple[list[tuple[int, int]], list[float], list[int]]:
+    """The merges of n rows by a tree's edges in order: children, height and size of node n + k. Edges that close a ring are passed over."""
     parent, size = list(range(2 * n - 1)), [1] * (2 * n - 1)
     children, heights = [], []
 
@@ -48,22 +60,29 @@ def linked(edges: np.ndarray) -> tuple[list[tuple[int, int]], list[float], list[
             i = parent[i]
         return i
 
-    for k, (d, i, j) in enumerate(edges):
+    for d, i, j in edges:
         a, b = top(int(i)), top(int(j))
-        parent[a] = parent[b] = n + k
-        size[n + k] = size[a] + size[b]
-        children.append((a, b))
-        heights.append(float(d))
+        if a != b:
+            node = n + len(children)
+            parent[a] = parent[b] = node
+            size[node] = size[a] + size[b]
+            children.append((a, b))
+            heights.append(float(d))
     return children, heights, size
 
 
 def clusters(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Label (-1: noise) and membership strength of each row, by the clusters of most excess of mass, never the whole."""
     n = len(x)
-    labels, strength = np.full(n, -1), np.zeros(n)
     if n < max(least, 2):
-        return labels, strength
-    children, heights, size = linked(spanning_tree(x, min(least, n)))
+        return np.full(n, -1), np.zeros(n)
+    return condensed(spanning_tree(x, min(least, n)), n, least)
+
+
+def condensed(edges: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the sorted edges of a tree of n rows."""
+    labels, strength = np.full(n, -1), np.zeros(n)
+    children, heights, size = linked(edges, n)
     # clusters by number, 0 the whole: birth, parent, and what leaves each: (level, rows), with points apart
     birth, above, mass, last = [0.0], [-1], [0.0], [0.0]
     home, level = np.zeros(n, int), np.zeros(n)
@@ -118,17 +137,210 @@ def clusters(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return labels, strength
 
 
-def density_tree(points: DataFrame, least: int = 5, most: int = 50_000) -> DataFrame:
-    """g, k, cluster (its smallest k; null: noise), prob of unit vectors v, in groups g of at most `most` rows."""
+class _Rows(Kernel):
+    """Held rows as arrays, and where each cell's are."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.RecordBatch] = []
+        self.at: dict[int, list[slice]] = {}
+        self.rows = 0
+        self.all: pa.Table | None = None
+
+    def hold(self, cell: int, batch: pa.RecordBatch) -> None:
+        self.parts.append(batch)
+        self.at.setdefault(cell, []).append(slice(self.rows, self.rows + batch.num_rows))
+        self.rows += batch.num_rows
+
+    def ready(self) -> None:
+        self.all = pa.Table.from_batches(self.parts).combine_chunks()
+        self.keys, self.matrix = self.all["k"].combine_chunks(), COSINE.matrix(self.all["v"].combine_chunks())
+
+
+def _nearest(neighbours: int, key: pa.DataType) -> type[Kernel]:
+    class Nearest(_Rows):
+        """k, near: each held row's least distances, itself among them."""
+
+        def meet(self, cell: int, held: list[int], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if self.all is None:
+                self.ready()
+                self.best = np.full((self.rows, neighbours), np.inf)
+            at = np.r_[tuple(s for o in held for s in self.at[o])]
+            d = np.concatenate([self.best[at], COSINE.distance(self.matrix[at], COSINE.matrix(batch["v"]))], 1)
+            self.best[at] = np.partition(d, neighbours - 1, 1)[:, :neighbours]
+            yield from ()
+
+        def end(self) -> Iterator[pa.RecordBatch]:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(self.rows + 1, dtype=np.int32) * neighbours), pa.array(self.best.ravel()))
+            yield pa.RecordBatch.from_arrays([self.keys.cast(key), lists], ["k", "near"])
+
+    return Nearest
+
+
+def _outward(key: pa.DataType) -> type[Kernel]:
+    class Outward(_Rows):
+        """part, other, w, a, b: the least edge that leaves each part of the tree, among held rows and what passes by."""
+
+        def meet(self, cell: int, held: list[int], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if self.all is None:
+                self.ready()
+                self.core, self.part = self.all["core"].to_numpy(), self.all["part"].combine_chunks()
+                self.codes, self.names = _coded(self.part)
+                self.least = np.full(self.rows, np.inf)
+                self.to: list = [None] * self.rows
+                self.of: list = [None] * self.rows
+            order = np.argsort(batch["k"].to_numpy(zero_copy_only=False), kind="stable")
+            batch = batch.take(pa.array(order))
+            at = np.r_[tuple(s for o in held for s in self.at[o])]
+            w = np.round(np.maximum(np.maximum(COSINE.distance(self.matrix[at], COSINE.matrix(batch["v"])), batch["core"].to_numpy()[None]), self.core[at, None]), 12)
+            theirs = np.array([self.names.get(p, -1) for p in batch["part"].to_pylist()])
+            w[self.codes[at, None] == theirs[None]] = np.inf
+            best = w.argmin(1)
+            found = w[np.arange(len(at)), best]
+            for i in np.flatnonzero((found < np.inf) & (found <= self.least[at])):
+                r, k = at[i], batch["k"][int(best[i])].as_py()
+                if found[i] < self.least[r] or k < self.to[r]:
+                    self.least[r], self.to[r], self.of[r] = found[i], k, batch["part"][int(best[i])].as_py()
+            yield from ()
+
+        def end(self) -> Iterator[pa.RecordBatch]:
+            best: dict = {}
+            for i in np.flatnonzero(self.least < np.inf) if self.all is not None else ():
+                a, b = self.keys[int(i)].as_py(), self.to[i]
+                edge = (float(self.least[i]), min(a, b), max(a, b), self.of[i])
+                part = self.part[int(i)].as_py()
+                if part not in best or edge < best[part]:
+                    best[part] = edge
+            if best:
+                columns = list(zip(*((p, e[3], e[0], e[1], e[2]) for p, e in best.items()), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, key, pa.float64(), key, key), strict=True)], ["part", "other", "w", "a", "b"])
+
+    return Outward
+
+
+def _coded(values: pa.Array) -> tuple[np.ndarray, dict]:
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+
+
+def _slices(spark, cells: int, run, schema: str) -> DataFrame:
+    """run of each slice of cell numbers, side by side."""
+    parts = -(-cells // 256)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch["id"].to_pylist():
+                yield run(slice(i * 256, min(i * 256 + 256, cells)))
+
+    return spark.range(0, parts, 1, min(parts, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(each, schema)
+
+
+def tree_edges(points: DataFrame, neighbours: int) -> DataFrame:
+    """a, b, w: edges of the tree of least mutual reachability of points (k, once each, and v, unit vectors); a row counts as its own first neighbour."""
+    spark, kind = points.sparkSession, dict(points.dtypes)["k"]
+    importable(spark)
+    key = to_arrow_type(points.schema["k"].dataType)
+    points, cells, centres, radii = celled(points, COSINE)
+    n, size = points.count(), cell_size(points.count(), centres.shape[1])
+    sizes = {r["cell"]: r["n"] for r in points.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    numbers = np.array(cells, np.int64)
+    sent = spark.sparkContext.broadcast((numbers, centres, radii, np.array([sizes[c] for c in cells])))
+
+    def holding(mine: slice) -> pa.RecordBatch:
+        """Cells that may hold the neighbours of each cell's points: those within what it takes to be sure of as many points."""
+        numbers, centres, radii, many = sent.value
+        d = COSINE.distance(centres[mine], centres)
+        most = d + radii[mine, None] + radii[None]
+        order = np.argsort(most, 1)
+        enough = (np.cumsum(many[order], 1) >= neighbours).argmax(1)
+        reach = np.take_along_axis(most, np.take_along_axis(order, enough[:, None], 1), 1)
+        i, j = np.nonzero(d - radii[mine, None] - radii[None] <= reach + SLACK)
+        return pa.RecordBatch.from_arrays([pa.array(numbers[mine][i]), pa.array(numbers[j])], ["a", "b"])
+
+    pairs = kept(_slices(spark, len(cells), holding, "a long, b long"))
+    near = units(points, pairs, size, _nearest(min(neighbours, n), key), f"k {kind}, near array<double>")
+    core = near.groupBy("k").agg(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(min(neighbours, n) - 1)).alias("core"))
+    points = kept(points.join(core, "k"))
+    label, edges = kept(points.select("k", F.col("k").alias("part"))), []
+    while True:
+        now = kept(points.join(label, "k"))
+        told = {r["cell"]: r for r in now.groupBy("cell").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.min("core").alias("low"), F.max("core").alias("high")).collect()}
+        rows = [told[c] for c in cells]
+        names = {p: i for i, p in enumerate({r["least"] for r in rows})}
+        own = np.array([names[r["least"]] if r["least"] == r["most"] else -1 for r in rows])
+        if (own == own[0]).all() and own[0] >= 0:
+            break
+        state = spark.sparkContext.broadcast((own, np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])))
+
+        def promised(mine: slice, state=state) -> pa.RecordBatch:
+            """An edge as short as this leaves every part that a cell has rows of."""
+            _, centres, radii, _ = sent.value
+            own, _, high = state.value
+            other = (own[mine, None] != own[None]) | (own[mine, None] < 0)
+            d = np.maximum(COSINE.distance(centres[mine], centres) + radii[mine, None] + radii[None], np.maximum(high[mine, None], high[None]))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(mine.start, mine.stop)), pa.array(np.where(other, d, np.inf).min(1))], ["at", "most"])
+
+        most = np.empty(len(cells))
+        for r in _slices(spark, len(cells), promised, "at long, most double").toArrow().to_batches():
+            most[r["at"].to_numpy()] = r["most"].to_numpy()
+        of_part = np.full(len(names), np.inf)
+        np.minimum.at(of_part, own[own >= 0], most[own >= 0])
+        bound = spark.sparkContext.broadcast(np.where(own >= 0, of_part[own], most))
+
+        def looked(mine: slice, state=state, bound=bound) -> pa.RecordBatch:
+            """Cells among whose rows a part's least edge may end."""
+            numbers, centres, radii, _ = sent.value
+            own, low, _ = state.value
+            other = (own[mine, None] != own[None]) | (own[mine, None] < 0)
+            d = np.maximum(COSINE.distance(centres[mine], centres) - radii[mine, None] - radii[None], np.maximum(low[mine, None], low[None]))
+            i, j = np.nonzero(other & (d <= bound.value[mine, None] + SLACK))
+            return pa.RecordBatch.from_arrays([pa.array(numbers[mine][i]), pa.array(numbers[j])], ["a", "b"])
+
+        pairs = kept(_slices(spark, len(cells), looked, "a long, b long"))
+        found = units(now, pairs, size, _outward(key), f"part {kind}, other {kind}, w double, a {kind}, b {kind}")
+        best = kept(found.groupBy("part").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("part", "e.*"))
+        edges.append(kept(best.select("w", "a", "b").distinct()))
+        links = best.select(F.col("part").alias("a"), F.col("other").alias("b"))
+        joined = components(label.select(F.col("part").alias("k")).distinct(), links)
+        label = kept(label.join(joined.withColumnRenamed("k", "part"), "part").select("k", F.col("component").alias("part")))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.union(e)
+    return out.select("a", "b", "w")
+
+
+def density_tree(points: DataFrame, least: int = 5, small: int = SMALL) -> DataFrame:
+    """g, k, cluster (its smallest k; null: noise), prob of unit vectors v, in groups g of any size. Groups of over `small`
+    rows are taken one after the other, each by all tasks; their last step, linear in the rows, reads the tree's edges."""
     kinds = dict(points.dtypes)
     importable(points.sparkSession)
+    schema = f"g {kinds['g']}, k {kinds['k']}, cluster {kinds['k']}, prob double"
+
+    def named(g: object, keys: np.ndarray, label: np.ndarray, prob: np.ndarray) -> pd.DataFrame:
+        least_of = pd.Series(keys).groupby(label).min()
+        of = pd.Series(label).map(least_of).where(label >= 0).astype("Int64" if kinds["k"] in ("bigint", "int") else object)
+        return pd.DataFrame({"g": [g] * len(keys), "k": keys, "cluster": of, "prob": prob})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a group of {len(rows)} rows; at most {most} are clustered together")
         rows = rows.sort_values("k", ignore_index=True)
-        label, prob = clusters(np.array(rows["v"].tolist(), float), least)
-        least_of = rows["k"].groupby(label).min()
-        return pd.DataFrame({"g": rows["g"], "k": rows["k"], "cluster": pd.Series(label).map(least_of).where(label >= 0).astype("Int64" if kinds["k"] in ("bigint", "int") else object), "prob": prob})
+        return named(rows["g"].iloc[0], rows["k"].to_numpy(), *clusters(np.array(rows["v"].tolist(), float), least))
+
+    points = kept(points.select("g", "k", "v"))
+    large = [r["g"] for r in points.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > small).collect()]
+    rest = points
+    for g in large:
+        rest = rest.filter(~F.col("g").eqNullSafe(F.lit(g)))
+    out = rest.groupBy("g").applyInPandas(run, schema)
+
+    def of_tree(g: object):
+        def run(edges: pd.DataFrame) -> pd.DataFrame:
+            keys = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]))
+            e = np.column_stack([edges["w"].to_numpy(), np.searchsorted(keys, edges["a"].to_numpy()), np.searchsorted(keys, edges["b"].to_numpy())])
+            # edges of equal length in order of their rows
+            return named(g, keys, *condensed(e[np.lexsort((e[:, 2], e[:, 1], e[:, 0]))], len(keys), least))
+
+        return run
 
-    return points.select("g", "k", "v").groupBy("g").applyInPandas(run, f"g {kinds['g']}, k {kinds['k']}, cluster {kinds['k']}, prob double")
+    for g in large:
+        mine = points.filter(F.col("g").eqNullSafe(F.lit(g))).select("k", "v")
+        out = out.union(tree_edges(mine, least).groupBy().applyInPandas(of_tree(g), schema))
+    return out

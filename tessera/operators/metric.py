@@ -60,7 +60,9 @@ def _differing(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _chords(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (p @ q.T), 0))
+    """Distances of rows; what rounding leaves of none is none."""
+    squares = (p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (p @ q.T)
+    return np.sqrt(np.where(squares > 1e-14, squares, 0))
 
 
 def _majority(p: np.ndarray) -> np.ndarray:
@@ -101,7 +103,7 @@ def celled(points: DataFrame, metric: Metric) -> tuple[DataFrame, list[int], np.
 
     d = points.select("k", "v", F.arrow_udf(near, "struct<a:bigint,b:bigint,c:bigint,d:double>")("v").alias("at"))
     d = placed(d, "at.a", "at.b", "at.c", "at.d", "k")
-    size = max(CELL, -(-points.count() * pivots.shape[1] * 8 // BROADCAST))
+    size = cell_size(points.count(), pivots.shape[1])
     d = kept(d.select("k", "v", (F.floor(F.col("place") / size) * PIVOTS + F.col("at.a")).alias("cell")))
 
     def told(t: pa.Table) -> pa.Table:
@@ -131,11 +133,24 @@ def meeting_cells(spark: SparkSession, metric: Metric, cells: list[int], centres
     return spark.range(0, parts, 1, min(parts, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "a long, b long")
 
 
-def _unit(metric: Metric, passes: Callable[[np.ndarray], np.ndarray], key: pa.DataType, weight: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs a < b of rows that come unit by unit: first what is held (side 0), then what passes by, each with the cells it meets."""
+class Kernel:
+    """What a task does with a unit: hold() cells, let others meet() them, and end(). Batches have the points' columns."""
+
+    def hold(self, cell: int, batch: pa.RecordBatch) -> None:
+        raise NotImplementedError
+
+    def meet(self, cell: int, held: list[int], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def _unit(kernel: Callable[[], Kernel]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come unit by unit: first what is held (side 0), then what passes by, each with the cells it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, {}
+        unit, now = None, None
         for batch in batches:
             units, sides, cells = (batch[c].to_numpy(zero_copy_only=False) for c in ("unit", "side", "cell"))
             cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(sides) != 0) | (np.diff(cells) != 0)) + 1
@@ -143,47 +158,77 @@ def _unit(metric: Metric, passes: Callable[[np.ndarray], np.ndarray], key: pa.Da
                 if a == b:
                     continue
                 if units[a] != unit:
-                    unit, held = units[a], {}
-                k, m, cell = batch["k"].slice(a, b - a), metric.matrix(batch["v"].slice(a, b - a)), int(cells[a])
+                    if now:
+                        yield from now.end()
+                    unit, now = units[a], kernel()
+                part = batch.slice(a, b - a)
                 if sides[a] == 0:
-                    held.setdefault(cell, []).append((k, m))
-                    continue
-                others = batch["meets"][a].as_py()
-                keys = pa.concat_arrays([x for o in others for x, _ in held[o]])
-                rows = np.concatenate([x for o in others for _, x in held[o]])
-                same = np.repeat([o == cell for o in others], [sum(len(x) for x, _ in held[o]) for o in others])
-                for at in range(0, len(rows), 2048):
-                    w = metric.weight(rows[at : at + 2048], m)
-                    i, j = np.nonzero(passes(w))
-                    p, q = keys.take(pa.array(i + at)), k.take(pa.array(j))
-                    less = pc.less(p, q)
-                    pairs = [pc.if_else(less, p, q).cast(key), pc.if_else(less, q, p).cast(key), pa.array(w[i, j]).cast(weight)]
-                    yield pa.RecordBatch.from_arrays(pairs, ["a", "b", "w"]).filter(pc.or_(less, pa.array(~same[i + at])))
+                    now.hold(int(cells[a]), part)
+                else:
+                    yield from now.meet(int(cells[a]), part["meets"][0].as_py(), part)
+        if now:
+            yield from now.end()
 
     return run
 
 
+def units(points: DataFrame, pairs: DataFrame, size: int, kernel: Callable[[], Kernel], schema: str) -> DataFrame:
+    """What a kernel makes of points (with their cell), where cells a are held and the cells b of pairs (a, b) pass by them."""
+    spark = points.sparkSession
+    importable(spark)
+    unit = (F.floor(F.col("a") / PIVOTS / max(1, HELD // size)) * F.lit(1 << 31) + F.floor(F.col("b") / PIVOTS / max(1, PASSING // size))).alias("unit")
+    held = pairs.select(unit, F.col("a").alias("cell")).distinct().select("unit", F.lit(0).alias("side"), "cell", F.array().cast("array<bigint>").alias("meets"))
+    by = pairs.groupBy(unit, F.col("b").alias("cell")).agg(F.collect_list("a").alias("meets"))  # of HELD points at most
+    rows = held.union(by.select("unit", F.lit(1), "cell", "meets")).join(points, "cell")
+    # units take long for their bytes, so partitions aren't put together by size
+    many = max(1, min(pairs.select(unit).distinct().count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)))
+    rows = rows.repartition(many, "unit").sortWithinPartitions("unit", "side", "cell").select("unit", "side", "cell", "meets", *[c for c in points.columns if c != "cell"])
+    return rows.mapInArrow(_unit(kernel), schema)
+
+
+def cell_size(points: int, width: int) -> int:
+    """Points in a cell, so that the centres of all fit BROADCAST."""
+    return max(CELL, -(-points * width * 8 // BROADCAST))
+
+
+def _pairs(metric: Metric, passes: Callable[[np.ndarray], np.ndarray], key: pa.DataType, weight: pa.DataType) -> type[Kernel]:
+    class Pairs(Kernel):
+        """Pairs a < b whose weight passes."""
+
+        def __init__(self) -> None:
+            self.held: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
+
+        def hold(self, cell: int, batch: pa.RecordBatch) -> None:
+            self.held.setdefault(cell, []).append((batch["k"], metric.matrix(batch["v"])))
+
+        def meet(self, cell: int, held: list[int], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            k, m = batch["k"], metric.matrix(batch["v"])
+            keys = pa.concat_arrays([x for o in held for x, _ in self.held[o]])
+            rows = np.concatenate([x for o in held for _, x in self.held[o]])
+            same = np.repeat([o == cell for o in held], [sum(len(x) for x, _ in self.held[o]) for o in held])
+            for at in range(0, len(rows), 2048):
+                w = metric.weight(rows[at : at + 2048], m)
+                i, j = np.nonzero(passes(w))
+                p, q = keys.take(pa.array(i + at)), k.take(pa.array(j))
+                less = pc.less(p, q)
+                pairs = [pc.if_else(less, p, q).cast(key), pc.if_else(less, q, p).cast(key), pa.array(w[i, j]).cast(weight)]
+                yield pa.RecordBatch.from_arrays(pairs, ["a", "b", "w"]).filter(pc.or_(less, pa.array(~same[i + at])))
+
+    return Pairs
+
+
 def near_pairs(points: DataFrame, metric: Metric, within: float, passes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """a, b, w of keys a < b of points (k, once each, and v) whose weight passes; all pairs that pass are within the distance."""
     points = kept(points.select("k", "v"))
-    spark, n, kind = points.sparkSession, points.count(), dict(points.dtypes)["k"]
-    importable(spark)
+    spark, n, kind, size = points.sparkSession, points.count(), dict(points.dtypes)["k"], CELL
     if n <= SMALL:
         points = points.withColumn("cell", F.lit(0).cast("long"))
         pairs = spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
     else:
         points, cells, centres, radii = celled(points, metric)
-        pairs = kept(meeting_cells(spark, metric, cells, centres, radii, within))
-    size = max(CELL, -(-n * 8 * (centres.shape[1] if n > SMALL else 1) // BROADCAST))
-    unit = (F.floor(F.col("a") / PIVOTS / max(1, HELD // size)) * F.lit(1 << 31) + F.floor(F.col("b") / PIVOTS / max(1, PASSING // size))).alias("unit")
-    held = pairs.select(unit, F.col("a").alias("cell")).distinct().select("unit", F.lit(0).alias("side"), "cell", F.array().cast("array<bigint>").alias("meets"))
-    by = pairs.groupBy(unit, F.col("b").alias("cell")).agg(F.collect_list("a").alias("meets"))  # of HELD points at most
-    rows = held.union(by.select("unit", F.lit(1), "cell", "meets")).join(points, "cell")
-    # units take long for their bytes, so partitions aren't put together by size
-    many = 1 if n <= SMALL else min(pairs.select(unit).distinct().count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism))
-    rows = rows.repartition(max(1, many), "unit").sortWithinPartitions("unit", "side", "cell").select("unit", "side", "cell", "k", "v", "meets")
+        pairs, size = kept(meeting_cells(spark, metric, cells, centres, radii, within)), cell_size(n, centres.shape[1])
     types = (to_arrow_type(points.schema["k"].dataType), pa.int64() if metric.kind == "long" else pa.float64())
-    return rows.mapInArrow(_unit(metric, passes, *types), f"a {kind}, b {kind}, w {metric.kind}")
+    return units(points, pairs, size, _pairs(metric, passes, *types), f"a {kind}, b {kind}, w {metric.kind}")
 
 
 def similar_pairs(points: DataFrame, least: float) -> DataFrame:

@@ -2,9 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from tessera.operators import density
+from tessera.operators import density, metric
 
 
 def blobs(sizes, seed=0):
@@ -39,5 +37,30 @@ def test_small_and_equal_groups(spark):
     df = spark.createDataFrame(rows, "g string, k int, v array<double>")
     assert density.density_tree(df, 5).filter("g = 'few' AND cluster IS NOT NULL").count() == 0
     assert density.density_tree(df, 5).count() == 15
-    with pytest.raises(Exception, match="at most 10"):
-        density.density_tree(df, 5, most=10).select(F.max("k")).collect()
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_distributed_tree_is_as_light_as_the_plain_one(spark, monkeypatch, kind):
+    """Blobs of several densities, copies and outliers, in cells of few rows."""
+    monkeypatch.setattr(metric, "CELL", 16)
+    monkeypatch.setattr(metric, "HELD", 64)
+    x = np.concatenate([blobs([60, 50, 40, 30], 5), np.tile(np.eye(8)[5], (20, 1)), -np.eye(8)[:3]])
+    keys = [i if kind == "int" else f"k{i:04}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x, strict=True)], f"k {kind}, v array<double>").repartition(4)
+    edges = density.tree_edges(df, 5).collect()
+    want = density.spanning_tree(x, 5)
+    at = {k: i for i, k in enumerate(keys)}
+    children, heights, _ = density.linked(np.array(sorted((e.w, at[e.a], at[e.b]) for e in edges)), len(x))
+    assert len(children) == len(x) - 1 and sorted(heights) == pytest.approx(want[:, 0].tolist(), abs=1e-7)
+
+
+def test_large_groups_have_the_clusters_of_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(metric, "CELL", 16)
+    x = np.concatenate([blobs([70, 60, 50], 6), -np.eye(8)[:4]])
+    rows = [(g, i, v.tolist()) for g in ("a", "b", None) for i, v in enumerate(x[: 90 if g == "b" else len(x)])]
+    df = spark.createDataFrame(rows, "g string, k int, v array<double>")
+    plain = {(r.g, r.k): (r.cluster, r.prob) for r in density.density_tree(df, 5).collect()}
+    large = {(r.g, r.k): (r.cluster, r.prob) for r in density.density_tree(df, 5, small=100).collect()}
+    assert plain.keys() == large.keys() and len({c for c, _ in plain.values()}) > 2
+    assert {k: c for k, (c, _) in plain.items()} == {k: c for k, (c, _) in large.items()}
+    assert {k: (p, large[k][1]) for k, (_, p) in plain.items() if abs(p - large[k][1]) > 1e-6} == {}
