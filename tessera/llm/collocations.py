@@ -1,15 +1,17 @@
 """Phrases whose words meet more often than their parts would by chance, mined from vertical positional lists.
 
-Texts are cut into blocks of one language. A block holds, for each phrase that may be frequent, the sorted positions at
-which it starts; a list's length is the phrase's exact frequency in the block. Lengths are added up over all blocks, the
-frequent phrases get an id, and each block is told the ids of its own. A frequent phrase is then extended by merging its
-positions with the postings of the adjacent word, narrowed to those places where the words before it are a frequent
-phrase, too: occurrences at neighbouring positions make the next, longer list. What moves between machines is a row for
-each phrase of a block that is still in question, and the lists; no position is compared with another block's, and no
-phrase's occurrences ever meet in one task. Blocks are told in sorted runs, so a task holds one block at a time.
-
-A phrase is told by two frequent shorter ones, its words without the last and without the first; from these come its
-words, and the frequencies of all its beginnings and ends, so every cut is scored without another count.
+A task cuts its texts into blocks of one language. A block holds, for each phrase that may be frequent, the sorted
+positions at which it starts; a list's length is the phrase's exact frequency in the block, and lengths are added up over
+all blocks. A frequent phrase is extended by merging its positions with the postings of the adjacent word, narrowed to
+those places where the words before it are a frequent phrase, too: occurrences at neighbouring positions make the next,
+longer list. Only lengths are moved, added up before the shuffle; no position leaves its block, and no phrase's
+occurrences ever meet in one task.
+
+A phrase is told by two frequent shorter ones, its words without the last and without the first, each by a hash of 64
+bits of its own two; from these come its words, and the frequencies of all its beginnings and ends, so every cut is
+scored without another count. If two frequent phrases share a hash, all is done again with other hashes. Blocks learn
+which phrases are frequent from a bitmap of BITS bits, whatever the number of phrases: a frequent phrase always passes,
+and of others only some (more of them the fuller it is), whose longer lists are counted in vain and never kept.
 
 Null and empty texts have no words; a null language is `und`. Texts may be of any length, as a block takes whole texts.
 Repeated rows count each. Equal scores are ordered by frequency and then by the phrase's bytes. Empty tables give empty
@@ -18,50 +20,74 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import placed_within
 from .common import ARROW, drop, freed, importable, joined, saved, table, trimmed
-from .words import kinds, split
+from .words import Words, kinds, split
 
 #: Longest phrase, least occurrences, rows of each language, bytes of texts from which a block is closed.
-LONGEST, LEAST, TOP, BLOCK = 5, 100, 2000, 4 << 20
-#: A phrase is hot if more blocks than this, and than a thousandth of all such rows, hold it.
-HOT_BLOCKS = 10_000
+LONGEST, LEAST, TOP, BLOCK = 5, 100, 2000, 16 << 20
+#: Bits that tell blocks which phrases of a length are frequent.
+BITS = 1 << 27
 #: Pieces end at these bytes, words at these or at a space or tab.
 PIECES = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 UNKNOWN = "und"
+#: Spark's seed of xxhash64, and the function's constants (fixed values).
+_SEED = 42
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
 
+def _hash(x: np.ndarray, seed: np.ndarray | np.uint64 = np.uint64(_SEED)) -> np.ndarray:
+    """xxhash64 of one number, after others whose hash is the seed."""
+    h = _turned((seed + _P5 + np.uint64(8)) ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
 
-def _lists(codes: np.ndarray, places: np.ndarray) -> bytes:
-    """Positions, list after list; places ascend."""
-    return places[np.argsort(codes, kind="stable")].astype("<i4").tobytes()
 
+def _passing(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which ids the bitmap holds, at both of their bits."""
+    on = np.ones(len(ids), bool)
+    for at in (ids, _hash(ids)):
+        at = at & np.uint64(len(bits) * 8 - 1)
+        on &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return on
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (block, lang, words, n, pos) for each language of each block: distinct words, their lists' lengths, the lists."""
-    names, number = ["block", "lang", "words", "n", "pos"], TaskContext.get().partitionId() << 33
 
-    def closed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal number
+def _bitmap(frequent: DataFrame, size: int) -> Broadcast:
+    """The ids' bits; what passes through the driver is their `size` bits, whatever the number of ids."""
+    at = lambda h: h.bitwiseAND(F.lit(size - 1))
+    bits = frequent.select(F.explode(F.array(at(F.col("id")), at(F.xxhash64("id")))).alias("at"))
+    part = min(size, 1 << 15)
+    rows = bits.groupBy(F.floor(F.col("at") / part).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % part).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)[: part // 8]
+    return frequent.sparkSession.sparkContext.broadcast(out)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
+    """Each block's languages with their texts' words."""
+
+    def closed(held: list[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
         rows = pa.Table.from_batches(held).combine_chunks()
         langs = rows["lang"].combine_chunks().dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             w = split(rows["text"].filter(pa.array(langs.indices.to_numpy(zero_copy_only=False) == code)).combine_chunks(), PIECES)
-            if not len(w.codes):
-                continue
-            places = np.arange(len(w.codes)) + np.append(0, np.cumsum(np.diff(w.pieces) != 0))
-            n = np.bincount(w.codes, minlength=len(w.distinct))
-            words = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), w.distinct.cast(pa.large_string()).cast(pa.string()))
-            own = [pa.array([number]), pa.array([lang]), words, pa.array([n], pa.list_(pa.int64())), pa.array([_lists(w.codes, places)])]
-            number += 1
-            yield pa.RecordBatch.from_arrays(own, names)
+            if len(w.codes):
+                yield lang, w
 
     held, size = [], 0
     for batch in batches:
@@ -74,66 +100,73 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(held)
 
 
-def _extended(n: np.ndarray, pos: np.ndarray, index: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes] | None:
-    """first, second, n, lists of the phrases one word longer, given a block's lists and which of them (index) are frequent, by id."""
-    known = np.full(len(n), -1, np.int64)
-    known[index] = np.arange(len(index))
-    code = np.repeat(known, n)
-    on = code >= 0
-    places, code = pos[on], code[on]
-    order = np.argsort(places, kind="stable")
-    places, code = places[order], code[order]
-    met = np.flatnonzero(np.diff(places) == 1)
-    if not len(met):
-        return None
-    pairs, which, many = np.unique(code[met] * len(index) + code[met + 1], return_inverse=True, return_counts=True)
-    return ids[pairs // len(index)], ids[pairs % len(index)], many, _lists(which, places[met])
-
-
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, a, b, n, pos) from rows that come block by block: the ids of its frequent lists, and last its lists."""
-    names, types = ["block", "a", "b", "n", "pos"], (pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary())
-    index, ids = [], []
-    for batch in batches:
-        i, known = (batch[c].to_numpy(zero_copy_only=False) for c in ("i", "id"))
-        start = 0
-        for end in np.flatnonzero(batch["last"].to_numpy(zero_copy_only=False)).tolist():
-            index.append(i[start:end])
-            ids.append(known[start:end])
-            n, pos = batch["n"][end].values.to_numpy(), np.frombuffer(batch["pos"][end].as_buffer(), "<i4")
-            if (out := _extended(n, pos, np.concatenate(index), np.concatenate(ids))) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((batch["block"][end].as_py(), *out), types, strict=True)], names)
-            index, ids, start = [], [], end + 1
-        index.append(i[start:].copy())
-        ids.append(known[start:].copy())
-
-
-def _told(lists: DataFrame, key: Column, names: list[str], frequent: DataFrame) -> DataFrame:
-    """The blocks' longer lists: each block is told which of its lists are frequent, and extends them."""
-    spark = lists.sparkSession
-    asked = lists.select("block", *[c for c in ("lang",) if c in names], F.posexplode(key).alias("i", "k"))
-    asked = asked.select("block", "i", *[F.col(c) if c == "lang" else F.col(f"k.{c}").alias(c) for c in names])
-    hot, known = _hot(frequent, names), frequent.select(*names, "id")
-    answers = asked.join(known, names) if hot is None else joined(asked, known, names, hot=hot)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "array<bigint>"), ("pos", "binary"))]
-    rows = answers.select("block", F.lit(False).alias("last"), "i", "id", *none)
-    rows = rows.union(lists.select("block", F.lit(True), F.lit(0), F.lit(0).cast("long"), "n", "pos"))
-    rows = rows.repartition("block").sortWithinPartitions("block", "last")
-    importable(spark)
-    return rows.mapInArrow(trimmed(_longer), "block long, a array<bigint>, b array<bigint>, n array<bigint>, pos binary")
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, n of each block."""
+    for lang, w in _blocks(batches):
+        n = np.bincount(w.codes, minlength=len(w.distinct))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), w.distinct.cast(pa.large_string()).cast(pa.string()), pa.array(n)], ["lang", "word", "n"])
+
+
+def _longer(bitmaps: list[Broadcast], salt: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """a, b, n of each block's phrases that are a word longer than the bitmaps go: of the phrases without the last and the
+    first word, by their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, w in _blocks(batches):
+            head = f"{salt}{lang}\0".encode()
+            own = np.fromiter((xxhash.xxh64_intdigest(head + x.as_py(), _SEED) for x in w.distinct), np.uint64, len(w.distinct))
+            # positions leave a gap where a piece ends
+            places = np.arange(len(w.codes)) + np.append(0, np.cumsum(np.diff(w.pieces) != 0))
+            on = _passing(own, bitmaps[0].value)[w.codes]
+            places, ids = places[on], own[w.codes[on]]
+            for level in range(1, len(bitmaps) + 1):
+                met = np.flatnonzero(np.diff(places) == 1)
+                places, first, second = places[met], ids[met], ids[met + 1]
+                ids = _hash(second, _hash(first))
+                if level < len(bitmaps):
+                    on = _passing(ids, bitmaps[level].value)
+                    places, ids = places[on], ids[on]
+            if not len(ids):
+                continue
+            # a phrase's list is what has its id; lists are told by both ids they are made of
+            order = np.lexsort((second, first))
+            first, second = first[order], second[order]
+            heads = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(second) != 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(first[heads].view(np.int64)), pa.array(second[heads].view(np.int64)), pa.array(np.diff(np.append(heads, len(first))))], ["a", "b", "n"])
 
+    return run
 
-def _hot(frequent: DataFrame, names: list[str]) -> DataFrame | None:
-    """Phrases that very many blocks hold, at most a thousand: their rows are dealt over salts."""
-    total = frequent.agg(F.sum("blocks")).first()[0] or 0
-    hot = frequent.filter(F.col("blocks") > max(HOT_BLOCKS, total // 1000)).select(*names)
-    return hot if hot.limit(1).count() else None
 
+class _Shared(Exception):
+    """Two frequent phrases have one id."""
 
-def _frequent(counted: DataFrame, names: list[str], least: int) -> DataFrame:
-    """names, f, blocks, id of the phrases of at least so many occurrences, ids given once and kept."""
-    f = counted.groupBy(*names).agg(F.sum("n").alias("f"), F.count("*").alias("blocks")).filter(F.col("f") >= least)
-    return saved(f.withColumn("id", F.monotonically_increasing_id()))
+
+def _told(frequent: DataFrame) -> DataFrame:
+    kept = saved(frequent)
+    if kept.count() > kept.select("id").distinct().count():
+        raise _Shared
+    return kept
+
+
+def _phrases(texts: DataFrame, longest: int, least: int, salt: str) -> list[DataFrame]:
+    counted = lambda rows, *names: rows.groupBy(*names).agg(F.sum("n").alias("f"))
+    each = saved(counted(texts.mapInArrow(trimmed(_words), "lang string, word string, n long"), "lang", "word"))
+    total = each.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = joined(each.filter(F.col("f") >= least), total, ["lang"])
+    out = [_told(words.select(F.xxhash64(F.concat(F.lit(salt), "lang", F.lit("\0"), "word")).alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "n", F.array("f").alias("pre"), F.array("f").alias("suf")))]
+    drop(each)
+    bitmaps = []
+    for _ in range(longest - 1):
+        bitmaps.append(_bitmap(out[-1], BITS))
+        pairs = texts.mapInArrow(trimmed(_longer(list(bitmaps), salt)), "a long, b long, n long")
+        frequent = saved(counted(pairs, "a", "b").filter(F.col("f") >= least))
+        left = out[-1].select(F.col("id").alias("a"), "lang", "phrase", "n", "pre")
+        right = out[-1].select(F.col("id").alias("b"), "last", "suf")
+        both = joined(saved(joined(frequent, left, ["a"])), right, ["b"])
+        more = lambda c: F.concat(c, F.array("f")).alias(c)
+        out.append(_told(both.select(F.xxhash64("a", "b").alias("id"), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "n", more("pre"), more("suf"), "a", "b")))
+        freed(texts.sparkSession)
+    return out
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> list[DataFrame]:
@@ -145,28 +178,12 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> list
     for k, v in ARROW.items():
         spark.conf.set(k, v)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text").filter("text IS NOT NULL")
-    lists = saved(texts.mapInArrow(trimmed(_blocks), "block long, lang string, words array<string>, n array<bigint>, pos binary"))
-    zipped = F.arrays_zip(F.col("words").alias("word"), "n")
-    each = lists.select("lang", F.explode(zipped).alias("k")).select("lang", "k.word", "k.n")
-    own = _frequent(each, ["lang", "word"], least)
-    total = lists.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    words = joined(own, total, ["lang"])
-    out = [saved(words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "n", F.array("f").alias("pre"), F.array("f").alias("suf")))]
-    names, key, frequent = ["lang", "word"], zipped, own
-    for _ in range(longest - 1):
-        longer = saved(_told(lists, key, names, frequent))
-        drop(lists)
-        lists, names, key = longer, ["a", "b"], F.arrays_zip("a", "b", "n")
-        pairs = lists.select(F.explode(key).alias("k")).select("k.a", "k.b", "k.n")
-        frequent = _frequent(pairs, names, least)
-        left = out[-1].select(F.col("id").alias("a"), "lang", "phrase", "n", "pre")
-        right = out[-1].select(F.col("id").alias("b"), "last", "suf")
-        both = joined(saved(joined(frequent, left, ["a"])), right, ["b"])
-        more = lambda c: F.concat(c, F.array("f")).alias(c)
-        out.append(saved(both.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "n", more("pre"), more("suf"), "a", "b")))
-        freed(spark)
-    drop(lists)
-    return out
+    salt = ""
+    while True:
+        try:
+            return _phrases(texts, longest, least, salt)
+        except _Shared:
+            salt += "+"
 
 
 def _cuts(words: int) -> Column:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,13 +66,33 @@ def test_best_of_each_language_in_order(spark):
     assert sorted(map(tuple, collocations.collocations(df, 5, 5, 25).collect())) == sorted(want)
 
 
-def test_hot_phrases_are_salted_with_the_same_result(spark, monkeypatch):
+def test_a_full_bitmap_and_shared_ids_give_the_same_result(spark, monkeypatch):
     docs = corpus()
     df = spark.createDataFrame(docs, "lang string, text string").repartition(4)
-    monkeypatch.setattr(collocations, "BLOCK", 300)
-    want = sorted(map(tuple, collocations.candidates(df, 4, 10).collect()))
-    monkeypatch.setattr(collocations, "HOT_BLOCKS", 3)
-    assert sorted(map(tuple, collocations.candidates(df, 4, 10).collect())) == want
+    want = sorted(brute(docs, 4, 10))
+    monkeypatch.setattr(collocations, "BITS", 64)
+    assert sorted(map(tuple, collocations.candidates(df, 4, 10).drop("words").collect())) == want
+    told, tries = collocations._told, []
+
+    def shared(frequent):
+        tries.append(1)
+        if len(tries) == 2:
+            raise collocations._Shared
+        return told(frequent)
+
+    monkeypatch.setattr(collocations, "_told", shared)
+    assert sorted(map(tuple, collocations.candidates(df, 4, 10).drop("words").collect())) == want and len(tries) == 6
+
+
+def test_ids_and_bitmaps_are_sparks(spark):
+    r = random.Random(1)
+    rows = [(r.randrange(-(1 << 63), 1 << 63), r.randrange(-(1 << 63), 1 << 63)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = df.select(F.xxhash64("a", "b").alias("id")).toPandas()["id"].to_numpy()
+    a, b = (np.array(x, np.int64).view(np.uint64) for x in zip(*rows))
+    assert (collocations._hash(b, collocations._hash(a)).view(np.int64) == got).all()
+    bits = collocations._bitmap(df.select(F.col("a").alias("id")), 1 << 18).value
+    assert collocations._passing(a, bits).all() and collocations._passing(b, bits).sum() < 5
 
 
 def test_products_beyond_64_bits(spark):
