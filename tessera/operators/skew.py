@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,14 +23,28 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Computed once into the folder of spark.checkpoint.dir; where that is unset, into a local one if the master is this process."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a local one if the master is this process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
         if own is None and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ancestors, natural_key
 from ..operators import inventory
-from ..operators.skew import placed
+from ..operators.skew import kept_folder, placed
+from ..sources.ledger import Ledger
 from ..sources.tables import table
 from ..streaming import events as ev
 
@@ -83,6 +84,16 @@ def chain_breaks(spark, d):
     return ev.chain_breaks(c.withColumn("previous", prev), "conv_id", "seq", "digest", "previous").select("conv_id", "seq")
 
 
+def event_ledger(spark, d):
+    """Events as a chained log, written and read back: each segment's digests, and what its verification finds."""
+    e = table(spark, d, "events").select("event_id", F.concat_ws("|", "event_id", "user_id", "event_type").alias("line"))
+    log = Ledger(spark, kept_folder(spark, "ledger"), 500)
+    log.append(e, "line", "event_id")
+    tails = log.records().groupBy("segment").agg(F.max_by("digest", "sequence").alias("tail"), F.count("*").alias("records"), F.min("sequence").alias("first"))
+    heads = spark.createDataFrame([(h["number"], h["head"]) for h in log.heads()], "segment long, head string")
+    return tails.join(heads, "segment").join(log.faults().groupBy("segment").agg(F.count("*").alias("faults")), "segment", "left").na.fill(0, ["faults"])
+
+
 def folder_tree(spark, d):
     p = table(spark, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path"), "page_id")
     return p.select("page_id", F.explode(ancestors(F.col("path"))).alias("folder")).groupBy("folder").agg(F.count("*").alias("pages"))
@@ -170,7 +181,7 @@ def price_rollup(spark, d):
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (inventory_delta, duplicate_marks, new_content, review_filter, nulls_last_sort, natural_sort, neighbour_frame, latest_event, naming_fold, undo_fold, silent_gaps, chain_breaks, folder_tree, folder_purity, attribute_shares, support_quantiles, alias_lookup, assignment_diff, merged_options, conflicting_references, cluster_lineage, set_operations, integrity_violations, source_concentration, adjusted_rand, corpus_fingerprint, whole_fingerprint, price_rollup)}
+QUERIES = {f.__name__: f for f in (inventory_delta, duplicate_marks, new_content, review_filter, nulls_last_sort, natural_sort, neighbour_frame, latest_event, naming_fold, undo_fold, silent_gaps, chain_breaks, event_ledger, folder_tree, folder_purity, attribute_shares, support_quantiles, alias_lookup, assignment_diff, merged_options, conflicting_references, cluster_lineage, set_operations, integrity_violations, source_concentration, adjusted_rand, corpus_fingerprint, whole_fingerprint, price_rollup)}
 _REV = "docs AS (SELECT source || '/' || doc_id AS path, sha256(coalesce(text, '')) AS sha, doc_id FROM documents), o AS (SELECT path, sha FROM docs WHERE doc_id % 7 <> 0), n AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN sha256(sha || 'x') ELSE sha END AS sha FROM docs WHERE doc_id % 11 <> 0)"
 ORACLE = {
     "inventory_delta": f"WITH {_REV} SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.sha <> n.sha THEN 'changed' ELSE 'same' END AS status FROM o FULL JOIN n ON n.path = o.path",
@@ -186,6 +197,19 @@ ORACLE = {
     "undo_fold": "WITH e AS (SELECT user_id AS k, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'undo' ELSE event_type END AS action FROM events), s AS (SELECT *, sum(CASE WHEN action = 'undo' THEN -1 ELSE 1 END) OVER (PARTITION BY k ORDER BY seq DESC) AS b FROM e), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM s) SELECT k, arg_max(action, seq) AS action, max(seq) AS seq FROM m WHERE action <> 'undo' AND b > greatest(coalesce(h, 0), 0) GROUP BY k",
     "silent_gaps": "SELECT event_id, user_id, gap FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT) AS gap FROM events) WHERE gap > 3600",
     "chain_breaks": "WITH c AS (SELECT conv_id, turn + 1 AS seq, sha256(conv_id || '|' || turn) AS digest, CASE WHEN turn = 0 THEN '' WHEN (conv_id + turn + 1) % 17 = 0 THEN 'broken' ELSE sha256(conv_id || '|' || (turn - 1)) END AS previous FROM conversations) SELECT conv_id, seq FROM (SELECT *, row_number() OVER w AS n, lag(digest, 1, '') OVER w AS p FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY seq)) WHERE n <> seq OR p <> previous",
+    "event_ledger": """
+WITH RECURSIVE e AS (
+  SELECT concat_ws('|', event_id, user_id, event_type) AS line, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events),
+r AS (SELECT pos // 500 AS segment, pos % 500 AS i, line FROM e),
+c AS (
+  SELECT segment, -1::BIGINT AS i, sha256('segment:' || segment) AS digest FROM (SELECT DISTINCT segment FROM r)
+  UNION ALL SELECT r.segment, r.i, sha256(c.digest || chr(10) || r.line) FROM c JOIN r ON r.segment = c.segment AND r.i = c.i + 1),
+t AS (SELECT segment, arg_max(digest, i) AS tail, count(*) - 1 AS records FROM c GROUP BY segment),
+h AS (
+  SELECT -1::BIGINT AS segment, '' AS head
+  UNION ALL SELECT t.segment, sha256(h.head || chr(10) || t.tail || chr(10) || t.records) FROM h JOIN t ON t.segment = h.segment + 1)
+SELECT t.segment, tail, records, t.segment * 500 + 1 AS first, head, 0::BIGINT AS faults FROM t JOIN h USING (segment)
+""",
     "folder_tree": "WITH p AS (SELECT string_split(regexp_extract(url, '://([^?#]*)', 1), '/') AS s FROM pages), a AS (SELECT array_to_string(s[1:i], '/') AS folder FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p)) SELECT folder, count(*) AS pages FROM a GROUP BY folder",
     "folder_purity": "WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) SELECT source, CAST(sum(n) AS BIGINT) AS total, (list(lang ORDER BY n DESC, lang DESC))[1] AS modal, round(max(n) / sum(n), 6) AS purity FROM n GROUP BY source",
     "attribute_shares": "SELECT user_id, event_type, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share FROM events GROUP BY user_id, event_type",

@@ -96,34 +96,6 @@ def test_matrix_and_contents(spark, tmp_path):
     assert [bytes(r.content) for r in artifacts.kept_contents(spark, str(tmp_path / "kept")).collect()] == [b"one"]
 
 
-def test_journal_and_moves(spark, tmp_path):
-    j = artifacts.Journal(tmp_path / "log")
-    j.append("note", n=1)
-    j.append("note", n=2)
-    assert [r["sequence"] for r in artifacts.Journal(tmp_path / "log").records] == [1, 2]
-    whole = (tmp_path / "log").read_bytes()
-    (tmp_path / "log").write_bytes(whole + b'{"sequence":3,"ki')
-    back = artifacts.Journal(tmp_path / "log")
-    assert [r["kind"] for r in back.records] == ["note", "note", "recovery"] and len(artifacts.Journal(tmp_path / "log").records) == 3 and back.projection(spark).count() == 3
-    for bad in (whole.replace(b'"n":1', b'"n":9'), whole[whole.index(b"\n") + 1 :], b"x\n" + whole):
-        (tmp_path / "bad").write_bytes(bad)
-        with pytest.raises(ValueError):
-            artifacts.Journal(tmp_path / "bad")
-    src = tmp_path / "in"
-    src.mkdir()
-    rows = []
-    for i in range(5):
-        (src / f"{i}.png").write_bytes(b"data%d" % i)
-        rows.append((str(src / f"{i}.png"), str(tmp_path / "out" / ("same.png" if i < 2 else f"{i}.png")), hashlib.sha256(b"data%d" % i).hexdigest()))
-    rows.append((str(src / "gone.png"), str(tmp_path / "out/gone.png"), "0"))
-    plan = spark.createDataFrame(rows, "src string, dst string, sha256 string")
-    m = artifacts.Moves(artifacts.Journal(tmp_path / "moves"))
-    assert m.execute(plan) == {"done": 5, "refused": 1} and not list(src.iterdir()) and len(list((tmp_path / "out").iterdir())) == 5
-    again = artifacts.Moves(artifacts.Journal(tmp_path / "moves"))
-    assert again.execute(plan)["cached"] == 5 and len(again.status()) == 5
-    assert again.undo() == {"done": 5} and {p.read_bytes() for p in src.iterdir()} == {b"data%d" % i for i in range(5)} and not again.status()
-
-
 def test_stores_bundles_and_reports(spark, tmp_path):
     s = artifacts.Store(spark, str(tmp_path / "db"))
     s.replace("rows", spark.range(3))
