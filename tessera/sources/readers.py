@@ -9,7 +9,6 @@ import hashlib
 import io
 import json
 import struct
-import zlib
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -18,51 +17,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Fixed: colour types of PNG with their channels and the mode that they decode to.
-PNG_MODES = {0: (1, "L"), 2: (3, "RGB"), 3: (1, "P"), 4: (2, "LA"), 6: (4, "RGBA")}
-
-
-def inspect_image(data: bytes) -> tuple[int | None, int | None, str | None, str | None]:
-    """width, height, mode and what is wrong. A PNG is decoded strictly: every checksum, the pixels' length, its end; of a
-    JPEG the frame header and the end are read."""
+from ..operators.skew import importable
+from .images import SIGNATURE, decoded, perceptual_hash
+
+def inspect_image(data: bytes) -> tuple[int | None, int | None, str | None, str | None, str | None]:
+    """width, height, mode, perceptual hash and what is wrong. A PNG's pixels are decoded; of a JPEG, whose pixels and hash
+    need a library, the frame header and the end are read."""
+    nothing = (None,) * 4
+    if data[:8] == SIGNATURE:
+        try:
+            pixels, mode = decoded(data)
+        except ValueError as e:
+            return *nothing, str(e)
+        return pixels.shape[1], pixels.shape[0], mode, perceptual_hash(pixels), None
+    if data[:2] != b"\xff\xd8":
+        return *nothing, "unknown signature"
+    at = 2
     try:
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            at, head, pixels = 8, None, []
-            while True:
-                size, kind = struct.unpack(">I4s", data[at : at + 8])
-                body = data[at + 8 : at + 8 + size]
-                if len(body) < size or zlib.crc32(kind + body) != struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0]:
-                    return None, None, None, f"broken chunk at byte {at}"
-                at += 12 + size
-                if kind == b"IHDR":
-                    head = struct.unpack(">IIBBBBB", body)
-                elif kind == b"IDAT":
-                    pixels.append(body)
-                elif kind == b"IEND":
+        while data[at] == 0xFF:
+            kind, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                height, width, n = struct.unpack(">HHB", data[at + 5 : at + 10])
+                if not data.rstrip(b"\0").endswith(b"\xff\xd9"):
                     break
-            width, height, depth, colour, *_, interlaced = head
-            channels, mode = PNG_MODES[colour]
-            raw = zlib.decompress(b"".join(pixels))
-            if not interlaced and len(raw) != (1 + (width * channels * depth + 7) // 8) * height:
-                return None, None, None, "pixels missing"
-            return width, height, mode, None
-        if data[:2] == b"\xff\xd8":
-            at = 2
-            while data[at] == 0xFF:
-                kind, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-                if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                    height, width, n = struct.unpack(">HHB", data[at + 5 : at + 10])
-                    return (width, height, {1: "L", 3: "RGB", 4: "CMYK"}.get(n), None) if data.rstrip(b"\0").endswith(b"\xff\xd9") else (None, None, None, "cut off")
-                at += 2 + size
-            return None, None, None, "no frame"
-        return None, None, None, "unknown signature"
-    except (struct.error, zlib.error, KeyError, IndexError, TypeError):
-        return None, None, None, "cut off"
+                return width, height, {1: "L", 3: "RGB", 4: "CMYK"}.get(n), None, None
+            at += 2 + size
+        else:
+            return *nothing, "no frame"
+    except (struct.error, IndexError):
+        pass
+    return *nothing, "cut off"
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """path, size, sha256, sha16, width, height, mode, reason of files (path, content); a row with a reason was refused."""
-    schema = "path string, size long, sha256 string, sha16 string, width int, height int, mode string, reason string"
+    """path, size, sha256, sha16, width, height, mode, phash (null where no pixels were decoded), reason of files (path,
+    content); a row with a reason was refused."""
+    schema = "path string, size long, sha256 string, sha16 string, width int, height int, mode string, phash string, reason string"
 
     def run(batches):
         for b in batches:
@@ -72,8 +62,6 @@ def scanned(files: DataFrame) -> DataFrame:
                 out.append((path, len(data), sha, sha[:16], *inspect_image(bytes(data))))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
-    from ..operators.skew import importable
-
     importable(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -81,7 +69,7 @@ def scanned(files: DataFrame) -> DataFrame:
 def scan(files: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused): of each distinct content the first path, in order of its digest, and then the limit; refused rows keep their reason."""
     s = scanned(files)
-    first = s.filter("reason IS NULL").groupBy("sha256").agg(F.min(F.struct("path", "size", "sha16", "width", "height", "mode")).alias("r")).select("sha256", "r.*").orderBy("sha256")
+    first = s.filter("reason IS NULL").groupBy("sha256").agg(F.min(F.struct("path", "size", "sha16", "width", "height", "mode", "phash")).alias("r")).select("sha256", "r.*").orderBy("sha256")
     return (first if most is None else first.limit(most)), s.filter("reason IS NOT NULL").select("path", "reason")
 
 

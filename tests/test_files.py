@@ -10,12 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import adapters
-from tessera.sources import artifacts, readers
+from tessera.sources import artifacts, images, readers
 from tessera.streaming import ingest, memory
 
 
 def png(width=3, height=2, colour=2, cut=0, broken=False):
-    channels = readers.PNG_MODES[colour][0]
+    channels = images.MODES[colour][0]
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b) ^ (broken and k == b"IDAT"))
     rows = b"".join(b"\0" + bytes(width * channels) for _ in range(height - cut))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
