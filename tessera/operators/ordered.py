@@ -1,7 +1,7 @@
 """Operators that depend on an order: greedy selection, representative walls, whispers, seeded samples, overlapping boxes.
 
 Where rows of one group decide about each other, the group is spread over rounds of joins or over its connected parts,
-instead of being brought into one task.
+instead of being brought into one task. Only parts of a bounded number of links are tasks of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..functions.scalars import clip, dot
 from .blocks import matrix, products
 from .grouping import summed
 from .neardup import components
-from .skew import importable, kept, placed
+from .skew import importable, joined, kept, placed
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -63,7 +63,14 @@ def representative_wall(members: DataFrame, width: int, size: int = 12) -> DataF
     return state.filter(F.col("place") <= size).select("g", "k", "place").union(first)
 
 
+#: Links of a connected part, each counted from both ends, up to which it is one task; and steps in a link's weight, whose
+#: sums are exact in any order.
+PART_LINKS, STEPS = 2_000_000, 1 << 32
+
+
 def _whispers(rounds: int):
+    """Labels of one connected part, node by node."""
+
     def run(edges: pd.DataFrame) -> pd.DataFrame:
         names, a = np.unique(edges["a"].to_numpy(), return_inverse=True)
         b, w = np.searchsorted(names, edges["b"].to_numpy()), edges["w"].to_numpy()
@@ -84,17 +91,46 @@ def _whispers(rounds: int):
     return run
 
 
-def whispers(points: DataFrame, links: DataFrame, least: int, rounds: int = 20) -> DataFrame:
+def _whispered(both: DataFrame, rounds: int) -> DataFrame:
+    """k, label of parts of any size, the same as node by node: in each round a node reads the new labels of smaller
+    neighbours and the old ones of larger ones. Passes over all nodes, each with what the pass before found, end where none
+    changes anything; what they end at is what the order gives, as the first node needs no new label, and so on."""
+    state = kept(both.select(F.col("a").alias("k")).distinct().withColumns({"old": F.col("k"), "new": F.col("k")}))
+    for _ in range(rounds):
+        while True:
+            told = joined(both, state.select(F.col("k").alias("b"), "old", "new"), ["b"])
+            heard = told.select("a", "w", F.when(F.col("b") < F.col("a"), F.col("new")).otherwise(F.col("old")).alias("l"))
+            loudest = heard.groupBy("a", "l").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("w"), "l"))["l"].alias("heard"))
+            after = kept(state.join(loudest, state["k"] == loudest["a"]).select("k", "old", F.col("heard").alias("new"), (F.col("heard") != F.col("new")).alias("changed")))
+            state = after.drop("changed")
+            if not after.filter("changed").limit(1).count():
+                break
+        settled = not state.filter("old <> new").limit(1).count()
+        state = kept(state.select("k", F.col("new").alias("old"), "new"))
+        if settled:
+            break
+    return state.select("k", F.col("new").alias("label"))
+
+
+def whispers(points: DataFrame, links: DataFrame, least: int, rounds: int = 20, part_links: int = PART_LINKS) -> DataFrame:
     """k, cluster of every point: label propagation in order of k, the heaviest label of the neighbours, the smallest of equals.
 
-    links: a < b and weight w. Connected parts don't touch each other's labels, so each is a task of its own; clusters
-    of fewer than `least` points are null.
+    links: a < b and weight w. Connected parts don't touch each other's labels, so parts of up to `part_links` links are
+    tasks of their own, and larger ones go through joins; clusters of fewer than `least` points are null.
     """
     kind = dict(points.dtypes)["k"]
     importable(points.sparkSession)
-    both = links.select("a", "b", "w").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    w = F.round(F.col("w") * STEPS).cast("long").alias("w")
+    links = links.select("a", "b", w)
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     part = components(points, links).withColumnRenamed("k", "a")
-    got = kept(both.join(part, "a").groupBy("component").applyInPandas(_whispers(rounds), f"k {kind}, label {kind}"))
+    both = kept(both.join(part, "a"))
+    sizes = both.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > part_links).select("component")
+    large = kept(sizes)  # as many as parts of so many links fit
+    got = both.join(F.broadcast(large), "component", "left_anti").groupBy("component").applyInPandas(_whispers(rounds), f"k {kind}, label {kind}")
+    if large.limit(1).count():
+        got = got.union(_whispered(kept(both.join(F.broadcast(large), "component", "left_semi").select("a", "b", "w")), rounds))
+    got = kept(got)
     big = got.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("label")
     return points.select("k").join(got.join(big, "label", "left_semi"), "k", "left").select("k", F.col("label").alias("cluster"))
 

@@ -105,3 +105,20 @@ def test_png_without_metadata(spark):
     got = {r.path: r for r in images.sanitized(df).collect()}
     assert bytes(got["a"].content) == images.SIGNATURE + head + chunk(b"IDAT", b"data") + chunk(b"IEND", b"") and (got["a"].width, got["a"].height) == (7, 5)
     assert got["b"].error and got["b"].content is None and bytes(got["c"].content) == b"\xff\xd8jpeg" and got["d"].error is None
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_whispers_of_large_parts_are_those_of_the_order(spark, kind):
+    """Cliques, a chain whose labels run through it, a hub, ties, and a bridge between two parts."""
+    r = random.Random(12)
+    name = int if kind == "long" else lambda i: f"n{i:04}"
+    edges = {(i, j): r.choice((0.5, 0.5, 0.25, 0.8)) for base in (0, 20, 40) for i in range(base, base + 9) for j in range(base, i)}
+    edges |= {(i, i + 1): 0.5 for i in range(100, 130)} | {(200, i): 0.3 for i in range(201, 230)} | {(8, 40): 0.1, (28, 100): 0.9}
+    edges |= {tuple(sorted(r.sample(range(300, 360), 2))): round(r.random(), 2) for _ in range(200)}
+    rows = [(name(min(e)), name(max(e)), w) for e, w in edges.items()]
+    links = spark.createDataFrame(rows, f"a {kind}, b {kind}, w double").repartition(4)
+    points = spark.createDataFrame([(name(i),) for i in range(370)], f"k {kind}")
+    plain = {x.k: x.cluster for x in ordered.whispers(points, links, 2).collect()}
+    assert {x.k: x.cluster for x in ordered.whispers(points, links, 2, part_links=0).collect()} == plain and len(set(plain.values())) > 4
+    few = {x.k: x.cluster for x in ordered.whispers(points, links, 2, rounds=2).collect()}
+    assert {x.k: x.cluster for x in ordered.whispers(points, links, 2, rounds=2, part_links=40).collect()} == few
