@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, hex_int
-from .metric import similar_pairs
+from .metric import hamming_pairs, similar_pairs
 from .ranking import family_id
 from .skew import HOT_ROWS, joined, kept
 
+#: Rows of one band above which they aren't paired with each other by it.
+HOT_BAND = 4096
+
 
 def banded_pairs(rows: DataFrame, key: str, bits: str, within: int, digits: int = 64, band: int | None = None) -> DataFrame:
     """a, b, distance of keys a < b whose hex strings differ in at most `within` bits.
 
     `within` differing bits leave at least one of `within` + 1 or more bands equal, so equal bands find every pair; the
-    bands are as wide as that allows, unless `band` digits are asked for.
+    bands are as wide as that allows, unless `band` digits are asked for. Rows with a band that more than HOT_BAND of them
+    share, as flat or padded strings do, are compared by cells of near strings instead (metric.py).
     """
     band = band or digits // (within + 1)
     bands = digits // band
@@ -24,10 +28,20 @@ def banded_pairs(rows: DataFrame, key: str, bits: str, within: int, digits: int
     # the digits are read once for a row, not once for a pair
     d = d.withColumn("h", F.array(*(hex_int(F.col("x"), i) for i in range(1, digits, 8))))
     d = d.select("k", "h", F.posexplode(F.array(*(F.substring("x", i * band + 1, band) for i in range(bands)))).alias("band", "v"))
+    hot = kept(d.groupBy("band", "v").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BAND).select("band", "v"))
+    crowd = None
+    if hot.limit(1).count():
+        # as many hot bands as rows in lots of HOT_BAND: a band is one of few values for most rows of its lot
+        crowd = kept(d.join(hot, ["band", "v"], "left_semi").select("k").distinct())
+        d = d.join(hot, ["band", "v"], "left_anti")
     a, b = (d.select("band", "v", F.col("k").alias(k), F.col("h").alias("h" + k)) for k in "ab")
     distance = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = a.join(b, ["band", "v"]).filter("a < b").select("a", "b", distance.alias("distance"))
-    return pairs.filter(F.col("distance") <= within).distinct()
+    pairs = pairs.filter(F.col("distance") <= within)
+    if crowd is not None:
+        text = rows.select(F.col(key).alias("k"), F.lpad(F.col(bits), digits, "0").alias("v")).join(crowd, "k", "left_semi")
+        pairs = pairs.union(hamming_pairs(text, within).select("a", "b", F.col("w").cast("int")))
+    return pairs.distinct()
 
 
 def theta_links(pairs: DataFrame, vectors: DataFrame, near: int = 6, far: int = 10, cosine: float = 0.96) -> DataFrame:

@@ -228,6 +228,21 @@ def test_places_and_quantiles(spark):
     assert skew.quantiles(df.limit(0), "v", {"p": 0.5}).first().p is None
 
 
+def test_hot_bands_give_the_same_pairs(spark, monkeypatch):
+    """Strings that share bands of zeros, by bands alone and with all of them hot."""
+    import random
+
+    r = random.Random(3)
+    bits = [sum(1 << r.randrange(40) for _ in range(3)) for _ in range(60)] + [r.getrandbits(256) for _ in range(20)]
+    bits += [b ^ (1 << r.randrange(256)) for b in bits]
+    rows = spark.createDataFrame([(i, f"{b:064x}") for i, b in enumerate(bits)], "k int, x string")
+    want = {(i, j, (bits[i] ^ bits[j]).bit_count()) for i in range(len(bits)) for j in range(i + 1, len(bits)) if (bits[i] ^ bits[j]).bit_count() <= 5}
+    for hot in (4096, 10):
+        monkeypatch.setattr(neardup, "HOT_BAND", hot)
+        got = neardup.banded_pairs(rows, "k", "x", 5).collect()
+        assert {tuple(p) for p in got} == want and len(got) == len(want) > 60
+
+
 def test_theta_families_fold_copies(spark):
     """Copies of one hash make a family without pairs; the wider distance needs one pair of close vectors."""
     h = lambda *bits: f"{sum(1 << b for b in bits):064x}"
