@@ -113,7 +113,7 @@ def _longer(bitmaps: list[Broadcast], salt: str) -> Callable[[Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, w in _blocks(batches):
-            head = f"{salt}{lang}\0".encode()
+            head = f"{salt}{len(lang)}:{lang}".encode()
             own = np.fromiter((xxhash.xxh64_intdigest(head + x.as_py(), _SEED) for x in w.distinct), np.uint64, len(w.distinct))
             # positions leave a gap where a piece ends
             places = np.arange(len(w.codes)) + np.append(0, np.cumsum(np.diff(w.pieces) != 0))
@@ -153,7 +153,7 @@ def _phrases(texts: DataFrame, longest: int, least: int, salt: str) -> list[Data
     each = saved(counted(texts.mapInArrow(trimmed(_words), "lang string, word string, n long"), "lang", "word"))
     total = each.groupBy("lang").agg(F.sum("f").alias("n"))
     words = joined(each.filter(F.col("f") >= least), total, ["lang"])
-    out = [_told(words.select(F.xxhash64(F.concat(F.lit(salt), "lang", F.lit("\0"), "word")).alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "n", F.array("f").alias("pre"), F.array("f").alias("suf")))]
+    out = [_told(words.select(F.xxhash64(F.concat(F.lit(salt), F.length("lang").cast("string"), F.lit(":"), "lang", "word")).alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "n", F.array("f").alias("pre"), F.array("f").alias("suf")))]
     drop(each)
     bitmaps = []
     for _ in range(longest - 1):

@@ -39,6 +39,7 @@ def corpus():
     for i in range(400):
         parts = [r.choice(fixed) if r.random() < 0.4 else " ".join(r.choice(words[: 8 + i % 29]) for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 12))]
         rows.append((r.choice(("en", "de", None, "und", "")), r.choice((". ", " ", "\n", "\t\t", ", ", "\x0b")).join(parts)))
+    rows += [("a\0b", "c d " * 30), ("a", "b\0c d b\0c " * 30), ("", "1:x y " * 30), ("é", "z z " * 20), ("\U0001f600", "q r " * 30)]
     return [*rows, ("en", None), ("en", ""), (None, "  \n .."), ("de", "same " * 50_000 + "york")]
 
 
