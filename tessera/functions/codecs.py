@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
-from .scalars import let
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -20,11 +19,9 @@ def canonical_json(**fields: Column) -> Column:
 
 def ascii_json(text: Column) -> Column:
     """JSON text with every character beyond ASCII as \\uXXXX of its UTF-16 units, in lower case."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    unit = lambda i: F.substring(units, i * 4 + 1, F.lit(4))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))  # one pass
     one = lambda u: F.when(u < "0080", F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-    n = (F.length(units) / 4).cast("int")
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: let(unit(i), one)), ""))
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.array_join(F.transform(units, one), ""))
 
 
 def html_safe(json: Column) -> Column:
