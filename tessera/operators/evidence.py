@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hamming_hex
-from .skew import placed
+from .skew import joined, kept, placed
+
+#: Faces of a label that are passed over at once.
+HEAD = 512
 
 
 def reason(*cases: tuple[str, Column], good: str = "bound") -> Column:
@@ -155,17 +158,42 @@ def unresolved(subjects: DataFrame, included: DataFrame) -> DataFrame:
     return open_.select("image", "subject").union(asked.select("image", "subject")).distinct()
 
 
-def anchors(faces: DataFrame, least: float, cap: int, distance: int = 4) -> DataFrame:
+def anchors(faces: DataFrame, least: float, cap: int, distance: int = 4, head: int = HEAD) -> DataFrame:
     """label, face, rank of the faces that a pass by falling score accepts: a score of `least`, hashes more than `distance`
-    bits from each accepted one of the label, `cap` for each label. faces: label, face, score, hash (64 hex digits)."""
-    from .ordered import greedy_keep
-
-    d = placed(faces.filter(F.col("score") >= least), F.desc("score"), F.col("face"), name="k")
-    bands = d.select("label", "k", "hash", F.posexplode(F.array(*(F.substring("hash", 12 * i + 1, 12) for i in range(5)))).alias("band", "v"))
-    a, b = bands.select("label", "band", "v", F.col("k").alias("a"), F.col("hash").alias("x")), bands.select("label", "band", "v", F.col("k").alias("b"), F.col("hash").alias("y"))
-    pairs = a.join(b, ["label", "band", "v"]).filter("a < b").filter(hamming_hex(F.col("x"), F.col("y")) <= distance).select("a", "b").distinct()
-    got = d.join(greedy_keep(d, pairs), "k")
-    return got.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("k"))).filter(F.col("rank") <= cap).select("label", "face", "rank")
+    bits from each accepted one of the label, `cap` for each label. faces: label, face, score, hash (64 hex digits).
+
+    Only a label's first `head` faces are passed over at once, against `cap` accepted ones at most, so no pairs are made.
+    A label that is not full then goes on with its next faces that are far from all accepted ones; the first of these is
+    accepted, so there are at most `cap` rounds, and one where most faces are far from each other.
+    """
+    good = faces.filter(F.col("score") >= least).select("label", "face", "score", "hash")
+    left, done = kept(placed(good, F.desc("score"), "face", "hash", name="k").select("label", "face", "hash", "k")), None
+    kind = left.select(F.array(F.struct("face", "hash")).alias("got")).schema["got"].dataType
+    got = left.limit(0).select("label", F.lit(None).cast(kind).alias("got"))
+
+    def near(got: Column, x: Column) -> Column:
+        return F.exists(got, lambda y: F.coalesce(hamming_hex(y["hash"], x), F.lit(distance + 1)) <= distance)
+
+    accept = lambda got, x: F.when((F.size(got) >= cap) | near(got, x["hash"]), got).otherwise(F.concat(got, F.array(F.struct(x["face"], x["hash"]))))
+    while True:
+        first = left.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("k"))).filter(F.col("n") <= head)
+        first = first.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "face", "hash"))).alias("first"))
+        before = got.withColumnRenamed("label", "_label")
+        # a label whose other faces are all near accepted ones is there without a head
+        first = first.join(before, first["label"].eqNullSafe(before["_label"]), "full").select(F.coalesce("label", "_label").alias("label"), F.coalesce("first", F.array()).alias("first"), F.coalesce("got", F.array().cast(kind)).alias("got"))
+        got = kept(first.select("label", F.aggregate("first", "got", accept).alias("got"), F.array_max(F.col("first")["k"]).alias("last"), (F.size("first") < head).alias("whole")))
+        ends = F.col("whole") | (F.size("got") >= cap)
+        ended = got.filter(ends).select("label", "got")
+        done = ended if done is None else done.union(ended)
+        got = got.filter(~ends).drop("whole")
+        if not got.limit(1).count():
+            break
+        # the label null is one, whose faces meet what it accepted by a broadcast
+        named = joined(left.filter("label IS NOT NULL"), got.filter("label IS NOT NULL"), ["label"])
+        none = left.filter("label IS NULL").crossJoin(F.broadcast(got.filter("label IS NULL").drop("label")))
+        rest = named.unionByName(none).filter((F.col("k") > F.col("last")) & ~near(F.col("got"), F.col("hash")))
+        left, got = kept(rest.select("label", "face", "hash", "k")), got.drop("last")
+    return done.select("label", F.posexplode("got").alias("at", "f")).select("label", "f.face", (F.col("at") + 1).alias("rank"))
 
 
 def hash_ordered(rows: DataFrame, content: str, most: int) -> DataFrame:
