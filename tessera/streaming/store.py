@@ -85,12 +85,13 @@ def move_states(plan: DataFrame, known: DataFrame, files: DataFrame) -> DataFram
     The destination is dst or, after a collision, dst with the first 16 or all digits of the content. Both present is kept
     apart from moved, as a torn copy can't be told from a staged one; a source with other content is a conflict.
     """
-    todo = plan.filter("dst IS NOT NULL AND dst <> src").join(known.select("src").distinct(), "src", "left_anti")
+    # any side may be as long as the plan, and estimates take its digests for short strings, so none is sent to all workers
+    todo = plan.filter("dst IS NOT NULL AND dst <> src").join(known.select("src").distinct().hint("merge"), "src", "left_anti")
     stem, suffix = F.regexp_extract("dst", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("dst", r"(\.[^./]*)?$", 1)
     names = F.array("dst", F.concat(stem, F.lit("__"), F.substring("sha", 1, 16), suffix), F.concat(stem, F.lit("__"), "sha", suffix))
-    at = todo.select("src", "sha", F.posexplode(names).alias("i", "path")).join(files, ["path", "sha"]).groupBy("src").agg(F.min_by("path", "i").alias("found"))
+    at = todo.select("src", "sha", F.posexplode(names).alias("i", "path")).join(files.hint("merge"), ["path", "sha"]).groupBy("src").agg(F.min_by("path", "i").alias("found"))
     here = files.select(F.col("path").alias("src"), F.col("sha").alias("own"))
-    j = todo.join(at, "src", "left").join(here, "src", "left")
+    j = todo.join(at.hint("merge"), "src", "left").join(here.hint("merge"), "src", "left")
     state = (
         F.when(F.col("own") != F.col("sha"), "conflict")
         .when(F.col("found").isNull(), F.when(F.col("own").isNull(), "lost").otherwise("source_only"))

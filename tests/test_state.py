@@ -83,3 +83,9 @@ def test_declared_size_stands_over_members(spark):
     faces = spark.createDataFrame([(1, 0.4), (1, 0.6), (2, None), (None, 1.0)], "cluster long, probability double")
     got = {r.cluster: (r.size, r.confidence) for r in curation.effective_clusters(declared, faces).collect()}
     assert got == {1: (9, 0.5), 2: (1, None)}
+
+
+def test_recovery_of_moves_sends_no_side_to_all_workers(spark, data):
+    """Sides that are estimated to be small, as the columns that are read of a wide table, hold digests of every row."""
+    plan = state.move_recovery(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
