@@ -1,9 +1,10 @@
 """Hierarchical density clusters by mutual reachability.
 
-A group of up to SMALL rows is one task. Of a larger one the tree of least mutual reachability is built in rounds over
-cells of points (metric.py): core distances come from the cells that can hold a point's neighbours, and in each round
-every part of the tree finds its least edge to another part, looking only where a cell's distance leaves room for a lesser
-edge than the cells around it promise. Vectors never meet in one task; the clusters come from the tree's sorted edges.
+A group of up to SMALL rows is one task. Of a larger one core distances come from the cells of points that can hold a
+point's neighbours (metric.py). An edge that isn't in the tree of least mutual reachability of a part of the rows isn't in
+that of all, so rows are dealt into blocks, each two blocks give their tree, and trees are united by lots until one is left.
+All pairs are so looked at twice, whatever the vectors. Vectors never meet in one task; the clusters come from the tree's
+sorted edges.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .metric import COSINE, SLACK, Kernel, cell_size, celled, units
-from .neardup import components
 from .skew import importable, kept
 
 #: Rows of a group that one task clusters.
 SMALL = 4096
+#: Rows of a block, two of which are compared in a task, and trees that a task unites.
+BLOCK, UNITED = 2048, 8
 
 
 def spanning_tree(x: np.ndarray, neighbours: int) -> np.ndarray:
@@ -176,50 +178,55 @@ def _nearest(neighbours: int, key: pa.DataType) -> type[Kernel]:
     return Nearest
 
 
-def _outward(key: pa.DataType) -> type[Kernel]:
-    class Outward(_Rows):
-        """part, other, w, a, b: the least edge that leaves each part of the tree, among held rows and what passes by."""
-
-        def meet(self, cell: int, held: list[int], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            if self.all is None:
-                self.ready()
-                self.core, self.part = self.all["core"].to_numpy(), self.all["part"].combine_chunks()
-                self.codes, self.names = _coded(self.part)
-                self.least = np.full(self.rows, np.inf)
-                self.to: list = [None] * self.rows
-                self.of: list = [None] * self.rows
-            order = np.argsort(batch["k"].to_numpy(zero_copy_only=False), kind="stable")
-            batch = batch.take(pa.array(order))
-            at = np.r_[tuple(s for o in held for s in self.at[o])]
-            w = np.round(np.maximum(np.maximum(COSINE.distance(self.matrix[at], COSINE.matrix(batch["v"])), batch["core"].to_numpy()[None]), self.core[at, None]), 12)
-            theirs = np.array([self.names.get(p, -1) for p in batch["part"].to_pylist()])
-            w[self.codes[at, None] == theirs[None]] = np.inf
-            best = w.argmin(1)
-            found = w[np.arange(len(at)), best]
-            for i in np.flatnonzero((found < np.inf) & (found <= self.least[at])):
-                r, k = at[i], batch["k"][int(best[i])].as_py()
-                if found[i] < self.least[r] or k < self.to[r]:
-                    self.least[r], self.to[r], self.of[r] = found[i], k, batch["part"][int(best[i])].as_py()
-            yield from ()
-
-        def end(self) -> Iterator[pa.RecordBatch]:
-            best: dict = {}
-            for i in np.flatnonzero(self.least < np.inf) if self.all is not None else ():
-                a, b = self.keys[int(i)].as_py(), self.to[i]
-                edge = (float(self.least[i]), min(a, b), max(a, b), self.of[i])
-                part = self.part[int(i)].as_py()
-                if part not in best or edge < best[part]:
-                    best[part] = edge
-            if best:
-                columns = list(zip(*((p, e[3], e[0], e[1], e[2]) for p, e in best.items()), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, key, pa.float64(), key, key), strict=True)], ["part", "other", "w", "a", "b"])
-
-    return Outward
-
-
-def _coded(values: pa.Array) -> tuple[np.ndarray, dict]:
-    coded = values.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+def _tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Rows (distance, i, j) of the tree of least mutual reachability of some rows, given all rows' core distances; of equal
+    edges that of the smaller rows goes first."""
+    n = len(x)
+    reach = np.empty((n, n))
+    for at in range(0, n, 256):
+        d = np.maximum(COSINE.distance(x[at : at + 256], x), core[at : at + 256, None])
+        reach[at : at + 256] = np.round(np.maximum(d, core[None]), 12)
+    left = np.arange(1, n)
+    near, via = reach[0, 1:].copy(), np.zeros(n - 1, int)
+    edges = np.empty((max(n - 1, 0), 3))
+    for k in range(n - 1):
+        i = int(near.argmin())
+        ties = np.flatnonzero(near == near[i])
+        if len(ties) > 1:
+            a, b = left[ties], via[ties]
+            i = int(ties[np.lexsort((np.maximum(a, b), np.minimum(a, b)))[0]])
+        to = int(left[i])
+        edges[k] = near[i], min(via[i], to), max(via[i], to)
+        # the last of those left takes its place
+        left[i], near[i], via[i] = left[-1], near[-1], via[-1]
+        left, near, via = left[:-1], near[:-1], via[:-1]
+        other = reach[to, left]
+        same = np.flatnonzero(other == near)
+        if len(same):
+            a, was = left[same], via[same]
+            low, low_was = np.minimum(a, to), np.minimum(a, was)
+            same = same[(low < low_was) | ((low == low_was) & (np.maximum(a, to) < np.maximum(a, was)))]
+            via[same] = to
+        less = other < near
+        near[less], via[less] = other[less], to
+    return edges
+
+
+def _united(edges: pa.Table) -> pa.Table:
+    """The edges of the least tree (or trees) that can be made of some (a, b, w)."""
+    names, codes = np.unique(np.concatenate([edges[c].to_numpy() for c in "ab"]), return_inverse=True)
+    a, b = codes[: len(edges)], codes[len(edges) :]
+    order = np.lexsort((b, a, edges["w"].to_numpy()))
+    parent, taken = list(range(len(names))), []
+    for e, i, j in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        if i != j:
+            parent[i] = j
+            taken.append(e)
+    return edges.take(pa.array(taken, pa.int64()))
 
 
 def _slices(spark, cells: int, run, schema: str) -> DataFrame:
@@ -259,53 +266,28 @@ def tree_edges(points: DataFrame, neighbours: int) -> DataFrame:
     pairs = kept(_slices(spark, len(cells), holding, "a long, b long"))
     near = units(points, pairs, size, _nearest(min(neighbours, n), key), f"k {kind}, near array<double>")
     core = near.groupBy("k").agg(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(min(neighbours, n) - 1)).alias("core"))
-    points = kept(points.join(core, "k"))
-    label, edges = kept(points.select("k", F.col("k").alias("part"))), []
-    while True:
-        now = kept(points.join(label, "k"))
-        told = {r["cell"]: r for r in now.groupBy("cell").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.min("core").alias("low"), F.max("core").alias("high")).collect()}
-        rows = [told[c] for c in cells]
-        names = {p: i for i, p in enumerate({r["least"] for r in rows})}
-        own = np.array([names[r["least"]] if r["least"] == r["most"] else -1 for r in rows])
-        if (own == own[0]).all() and own[0] >= 0:
-            break
-        state = spark.sparkContext.broadcast((own, np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])))
-
-        def promised(mine: slice, state=state) -> pa.RecordBatch:
-            """An edge as short as this leaves every part that a cell has rows of."""
-            _, centres, radii, _ = sent.value
-            own, _, high = state.value
-            other = (own[mine, None] != own[None]) | (own[mine, None] < 0)
-            d = np.maximum(COSINE.distance(centres[mine], centres) + radii[mine, None] + radii[None], np.maximum(high[mine, None], high[None]))
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(mine.start, mine.stop)), pa.array(np.where(other, d, np.inf).min(1))], ["at", "most"])
-
-        most = np.empty(len(cells))
-        for r in _slices(spark, len(cells), promised, "at long, most double").toArrow().to_batches():
-            most[r["at"].to_numpy()] = r["most"].to_numpy()
-        of_part = np.full(len(names), np.inf)
-        np.minimum.at(of_part, own[own >= 0], most[own >= 0])
-        bound = spark.sparkContext.broadcast(np.where(own >= 0, of_part[own], most))
-
-        def looked(mine: slice, state=state, bound=bound) -> pa.RecordBatch:
-            """Cells among whose rows a part's least edge may end."""
-            numbers, centres, radii, _ = sent.value
-            own, low, _ = state.value
-            other = (own[mine, None] != own[None]) | (own[mine, None] < 0)
-            d = np.maximum(COSINE.distance(centres[mine], centres) - radii[mine, None] - radii[None], np.maximum(low[mine, None], low[None]))
-            i, j = np.nonzero(other & (d <= bound.value[mine, None] + SLACK))
-            return pa.RecordBatch.from_arrays([pa.array(numbers[mine][i]), pa.array(numbers[j])], ["a", "b"])
-
-        pairs = kept(_slices(spark, len(cells), looked, "a long, b long"))
-        found = units(now, pairs, size, _outward(key), f"part {kind}, other {kind}, w double, a {kind}, b {kind}")
-        best = kept(found.groupBy("part").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("part", "e.*"))
-        edges.append(kept(best.select("w", "a", "b").distinct()))
-        links = best.select(F.col("part").alias("a"), F.col("other").alias("b"))
-        joined = components(label.select(F.col("part").alias("k")).distinct(), links)
-        label = kept(label.join(joined.withColumnRenamed("k", "part"), "part").select("k", F.col("component").alias("part")))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out.select("a", "b", "w")
+    points = points.join(core, "k").select("k", "v", "core")
+    blocks = -(-n // BLOCK)
+    block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 2, 0))))
+    dealt = points.select("*", block.alias("i"), other.alias("j")).withColumn("j", F.col("j") + (F.col("j") >= F.col("i")).cast("int"))
+    dealt = dealt.select("k", "v", "core", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+    def of_two(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["k"].to_numpy(), kind="stable")))
+        edges = _tree(COSINE.matrix(rows["v"].combine_chunks()), rows["core"].to_numpy())
+        keys = rows["k"].combine_chunks()
+        two = pa.array([rows["i"][0].as_py() * blocks + rows["j"][0].as_py()] * len(edges), pa.int64())
+        return pa.table({"a": keys.take(pa.array(edges[:, 1].astype(int))), "b": keys.take(pa.array(edges[:, 2].astype(int))), "w": edges[:, 0], "lot": two})
+
+    schema = f"a {kind}, b {kind}, w double, lot long"
+    many = blocks * max(blocks - 1, 1)
+    edges = kept(dealt.repartition(max(1, min(many, 16 * spark.sparkContext.defaultParallelism)), "i", "j").groupBy("i", "j").applyInArrow(of_two, schema))
+    lots = blocks * blocks
+    while lots > 1:
+        lots = -(-lots // UNITED)
+        edges = kept(edges.withColumn("lot", F.floor(F.col("lot") / UNITED)).groupBy("lot").applyInArrow(_united, schema))
+    return edges.select("a", "b", "w")
 
 
 def density_tree(points: DataFrame, least: int = 5, small: int = SMALL) -> DataFrame:

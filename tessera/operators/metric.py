@@ -75,12 +75,13 @@ COSINE = Metric(_flat, lambda p: p.mean(0), _chords, lambda p, q: p @ q.T, "doub
 HAMMING = Metric(_bits, _majority, _differing, _differing, "long")
 
 
-def _pivots(points: DataFrame, metric: Metric) -> np.ndarray:
-    """Rows far from each other, out of a sample in order of a hash of the keys."""
+def _pivots(points: DataFrame, metric: Metric, most: int) -> np.ndarray:
+    """Rows far from each other, out of a sample in order of a hash of the keys; no more than fill cells, as cells of a few
+    points cost more than they spare."""
     rows = points.select("v", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow()
     m = metric.matrix(rows["v"].combine_chunks())
     at, near = [0], metric.distance(m, m[:1])[:, 0].astype(float)
-    while len(at) < min(PIVOTS, len(m)) and near.max() > 0:
+    while len(at) < min(PIVOTS, len(m), most) and near.max() > 0:
         at.append(int(near.argmax()))
         near = np.minimum(near, metric.distance(m, m[at[-1:]])[:, 0])
     return m[at]
@@ -90,7 +91,8 @@ def celled(points: DataFrame, metric: Metric) -> tuple[DataFrame, list[int], np.
     """points (k, v) with their cell, in the order of whose numbers near cells are near, and the cells' numbers, centres and radii."""
     spark = points.sparkSession
     importable(spark)
-    pivots = _pivots(points, metric)
+    n = points.count()
+    pivots = _pivots(points, metric, -(-n // CELL))
     sent = spark.sparkContext.broadcast(pivots)  # PIVOTS rows at most
 
     def near(values: pa.Array) -> pa.Array:
@@ -103,7 +105,7 @@ def celled(points: DataFrame, metric: Metric) -> tuple[DataFrame, list[int], np.
 
     d = points.select("k", "v", F.arrow_udf(near, "struct<a:bigint,b:bigint,c:bigint,d:double>")("v").alias("at"))
     d = placed(d, "at.a", "at.b", "at.c", "at.d", "k")
-    size = cell_size(points.count(), pivots.shape[1])
+    size = cell_size(n, pivots.shape[1])
     d = kept(d.select("k", "v", (F.floor(F.col("place") / size) * PIVOTS + F.col("at.a")).alias("cell")))
 
     def told(t: pa.Table) -> pa.Table:

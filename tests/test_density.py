@@ -64,3 +64,21 @@ def test_large_groups_have_the_clusters_of_small_ones(spark, monkeypatch):
     assert plain.keys() == large.keys() and len({c for c, _ in plain.values()}) > 2
     assert {k: c for k, (c, _) in plain.items()} == {k: c for k, (c, _) in large.items()}
     assert {k: (p, large[k][1]) for k, (_, p) in plain.items() if abs(p - large[k][1]) > 1e-6} == {}
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_tree_of_blocks_is_the_plain_one_in_one_pass(spark, monkeypatch, kind):
+    """Vectors without clusters, some of them copies, whose cells can all meet: trees of blocks, united in several steps."""
+    monkeypatch.setattr(density, "BLOCK", 40)
+    monkeypatch.setattr(density, "UNITED", 3)
+    monkeypatch.setattr(metric, "CELL", 16)
+    monkeypatch.setattr(density, "units", lambda *a, units=density.units, seen=[]: seen.append(1) or units(*a) if not seen else pytest.fail("all pairs are met in rounds"))
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.tile(np.eye(8)[2], (20, 1))])
+    keys = [i if kind == "int" else f"k{i:04}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x, strict=True)], f"k {kind}, v array<double>").repartition(4)
+    at = {k: i for i, k in enumerate(keys)}
+    got = sorted((e.w, at[e.a], at[e.b]) for e in density.tree_edges(df, 5).collect())
+    want = density.spanning_tree(x, 5)
+    assert [e[1:] for e in got] == [(int(a), int(b)) for _, a, b in want]
+    assert [e[0] for e in got] == pytest.approx(want[:, 0].tolist(), abs=1e-12)
