@@ -81,7 +81,7 @@ def label_scores(queries: DataFrame, bank: DataFrame, width: int) -> DataFrame:
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
 
     kind = dict(bank.dtypes)["label"]
-    parts = products(left, right, ("k", "key"), run, f"k {kinds['k']}, label {kind}, centre double, individual double")
+    parts = products(left, right, ("k", "key"), run, f"k {kinds['k']}, label {kind}, centre double, individual double", fold=lambda d: d.groupby(["k", "label"], as_index=False, sort=False).max())
     seen = lambda c: F.max(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(c)
     return parts.groupBy("k", "label").agg(seen("centre"), seen("individual")).filter("centre IS NOT NULL AND individual IS NOT NULL")
 

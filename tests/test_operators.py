@@ -210,6 +210,24 @@ def test_block_products(spark, monkeypatch):
         assert sorted(map(tuple, got)) == want
 
 
+def test_the_large_side_of_a_product_is_moved_once_a_unit(spark, monkeypatch):
+    """Shuffled rows grow with the rows held by a task, not with pairs of blocks, and a task folds what it returns."""
+    from tessera.operators import blocks, grouping
+
+    x = [(i, "abc"[i % 3], [float((i * 7 + j * 5) % 11 - 5) for j in range(4)]) for i in range(200)]
+    d = spark.createDataFrame([(k, g, [c / sum(c * c for c in v) ** 0.5 for c in v]) for k, g, v in x], "k long, label string, v array<double>").repartition(3)
+    bank = d.select("label", F.col("k").alias("crop"), "v")
+    scores = lambda: {(r.k, r.label): (r.centre, r.individual) for r in grouping.label_scores(d.select("k", F.col("k").alias("crop"), "v"), bank, 4).collect()}
+    want = scores()
+    monkeypatch.setattr(blocks, "SENT", 0)
+    monkeypatch.setattr(blocks, "PASSING", 16)
+    monkeypatch.setattr(blocks, "HELD", 70)
+    assert {k: pytest.approx(v) for k, v in want.items()} == scores() and len(want) == 600
+    run = lambda p, q: p[["k"]].assign(n=len(q))
+    got = blocks.products(d.select("k"), d.select("k"), ("k", "k"), run, "k long, n long", 10, lambda p: p.groupby("k", as_index=False).sum())
+    assert {r.n for r in got.collect()} == {200} and got.count() == 200  # 20 blocks of 10 rows, each of which gave a row for each block before
+
+
 def test_places_and_quantiles(spark):
     import numpy as np
 
