@@ -34,8 +34,9 @@ from .common import byte_slices, map_arrow, table
 MARK = "▁"
 #: Words whose ids a worker keeps between batches, and the length from which a word isn't kept.
 MEMORY, KEPT = 200_000, 64
-#: Pairs of pieces whose answer it keeps.
-PAIRS = 300_000
+#: Pairs of pieces whose answer it keeps. Of both, half is what was met of late; as it is full, it takes the place of the
+#: other half, out of which what is met again comes back, so frequent words and pairs are worked out once.
+PAIRS = 600_000
 
 
 def _shared(a: str, b: str) -> int:
@@ -124,10 +125,12 @@ class Pieces:
         self.names = {i: p for p, i in self.ids.items()}
         self.packs = [i.to_bytes(4, "little") for i in range(n)]
         self.apart: dict[int, bool] = {}
+        self.apart_before: dict[int, bool] = {}
         inner = [p for p in names if MARK in p.lstrip(MARK)]
         assert not inner, "pieces that cross words need whole texts as words"
         self.split = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if "\n" not in self.ids and not any("\n" in p for p in names) else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.memory: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The model's merges of a short string, one by one: the best-ranked pair first, the leftmost of equals."""
@@ -143,9 +146,14 @@ class Pieces:
     def stays_apart(self, key: int) -> bool:
         """Whether two neighbouring pieces, given as first << 16 | second (first 0: none), are merged no further."""
         x, y = self.names.get(key >> 16, ""), self.names[key & 0xFFFF]
-        if len(self.apart) > PAIRS:
+        if len(self.apart) >= PAIRS // 2:
+            # in place, as a pass holds the dictionary
+            self.apart_before = dict(self.apart)
             self.apart.clear()
-        got = self.apart[key] = self.merged(x + y) == ([x, y] if x else [y])
+        got = self.apart_before.get(key)
+        if got is None:
+            got = self.merged(x + y) == ([x, y] if x else [y])
+        self.apart[key] = got
         return got
 
     def packed(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -222,11 +230,13 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.split((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for ws in split for w in ws} - self.memory.keys()
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-            new = {w for ws in split for w in ws}
-        found = self.memory
+        words = {w for ws in split for w in ws}
+        if len(self.memory) > MEMORY // 2:
+            self.memory, self.before = {}, self.memory
+        found, before = self.memory, self.before
+        again = (words - found.keys()) & before.keys()
+        found.update(zip(again, map(before.__getitem__, again), strict=True))
+        new = words - found.keys()
         found.update(self.packed(new))
         ids = [b"".join(map(found.__getitem__, ws)) for ws in split]
         for w in new:
@@ -249,11 +259,6 @@ def opened(path: str, shared: Broadcast | None = None) -> Pieces:
     return _OPEN[path]
 
 
-def _forget(path: str):
-    """Empties the words' memory at a partition's end; the pairs stay, as they serve any text."""
-    return lambda: _OPEN[path].memory.clear() if path in _OPEN else None
-
-
 def _shipped(df: DataFrame, path: str) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
@@ -277,7 +282,7 @@ def tokenize(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     path = path or default_model()
-    return map_arrow(docs.select("doc_id", "text"), _digest(path, _shipped(docs, path), with_ids), schema, _forget(path))
+    return map_arrow(docs.select("doc_id", "text"), _digest(path, _shipped(docs, path), with_ids), schema)
 
 
 def _texts(path: str, shared: Broadcast):

@@ -86,3 +86,20 @@ def test_a_word_of_a_megabyte():
     assert peak < 100 * len(text) + (20 << 20) and not any(len(w) > pieces.KEPT for w in own.memory)
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     assert ids(got) == sp.encode(text) and own.decode(np.frombuffer(got, "<i4")) == text
+
+
+def test_frequent_words_and_pairs_are_worked_out_once(monkeypatch):
+    """The memories fill up and turn over, but what each batch holds stays."""
+    monkeypatch.setattr(pieces, "MEMORY", 20)
+    monkeypatch.setattr(pieces, "PAIRS", 200)
+    import sentencepiece
+
+    own, done = pieces.Pieces(open(pieces.default_model(), "rb").read()), []
+    packed = own.packed
+    own.packed = lambda words: done.extend(words) or packed(words)
+    sp, r = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), random.Random(8)
+    for n in range(40):
+        text = "frequent words " + " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(6))
+        assert ids(own.encode([text])[0]) == sp.encode(text)
+        assert len(own.memory) + len(own.before) <= 20 + 3 * 8 and len(own.apart) + len(own.apart_before) <= 200
+    assert done.count("▁frequent") == done.count("▁words") == 1
