@@ -246,7 +246,7 @@ def tree_edges(points: DataFrame, neighbours: int) -> DataFrame:
     spark, kind = points.sparkSession, dict(points.dtypes)["k"]
     importable(spark)
     key = to_arrow_type(points.schema["k"].dataType)
-    points, cells, centres, radii = celled(points, COSINE)
+    points, cells, centres, radii = celled(points, COSINE, True)
     n, size = points.count(), cell_size(points.count(), centres.shape[1])
     sizes = {r["cell"]: r["n"] for r in points.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     numbers = np.array(cells, np.int64)

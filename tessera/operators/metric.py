@@ -76,8 +76,8 @@ HAMMING = Metric(_bits, _majority, _differing, _differing, "long")
 
 
 def _pivots(points: DataFrame, metric: Metric, most: int) -> np.ndarray:
-    """Rows far from each other, out of a sample in order of a hash of the keys; no more than fill cells, as cells of a few
-    points cost more than they spare."""
+    """Rows far from each other, out of a sample in order of a hash of the keys; as many as fill cells where cells of a few
+    points would cost more than they spare."""
     rows = points.select("v", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow()
     m = metric.matrix(rows["v"].combine_chunks())
     at, near = [0], metric.distance(m, m[:1])[:, 0].astype(float)
@@ -87,12 +87,12 @@ def _pivots(points: DataFrame, metric: Metric, most: int) -> np.ndarray:
     return m[at]
 
 
-def celled(points: DataFrame, metric: Metric) -> tuple[DataFrame, list[int], np.ndarray, np.ndarray]:
+def celled(points: DataFrame, metric: Metric, full: bool = False) -> tuple[DataFrame, list[int], np.ndarray, np.ndarray]:
     """points (k, v) with their cell, in the order of whose numbers near cells are near, and the cells' numbers, centres and radii."""
     spark = points.sparkSession
     importable(spark)
     n = points.count()
-    pivots = _pivots(points, metric, -(-n // CELL))
+    pivots = _pivots(points, metric, -(-n // CELL) if full else PIVOTS)
     sent = spark.sparkContext.broadcast(pivots)  # PIVOTS rows at most
 
     def near(values: pa.Array) -> pa.Array:
