@@ -7,9 +7,11 @@ instead of being brought into one task. Only parts of a bounded number of links
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,11 @@ def representative_wall(members: DataFrame, width: int, size: int = 12) -> DataF
     return state.filter(F.col("place") <= size).select("g", "k", "place").union(first)
 
 
-#: Links of a connected part, each counted from both ends, up to which it is one task; and steps in a link's weight, whose
-#: sums are exact in any order.
+#: Links of a unit or a connected part, each counted from both ends, up to which it is one task; and steps in a link's weight,
+#: whose sums are exact in any order.
 PART_LINKS, STEPS = 2_000_000, 1 << 32
+#: Nodes and bytes of their names up to which labels are sent to all workers; links that are packed or read at once.
+SENT, BYTES, PACKED = 1 << 22, 64 << 20, 1 << 19
 
 
 def _whispers(rounds: int):
@@ -91,6 +95,137 @@ def _whispers(rounds: int):
     return run
 
 
+def _packed(sent, bounds: np.ndarray):
+    """Links (a, b, w) from both ends, as numbers of nodes, in one row for each unit of nodes and PACKED links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pd.Index(sent.value.to_pandas())
+
+        def dealt(some: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            a, b, w = (np.concatenate(x) for x in zip(*some, strict=True))
+            a, b, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+            unit = np.searchsorted(bounds, a, "right") - 1
+            order = np.argsort(unit, kind="stable")
+            a, b, w, unit = a[order], b[order], w[order], unit[order]
+            cuts = np.flatnonzero(np.diff(unit, prepend=-1, append=-1))
+            rows = [[x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (a, b, w)]
+            return pa.RecordBatch.from_arrays([pa.array(unit[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in rows)], ["unit", "a", "b", "w"])
+
+        some, n = [], 0
+        for batch in batches:
+            a, b = (names.get_indexer(batch[c].to_pandas()).astype(np.int32) for c in ("a", "b"))
+            some.append((a, b, batch["w"].to_numpy()))
+            n += len(a)
+            if n >= PACKED:
+                yield dealt(some)
+                some, n = [], 0
+        if n:
+            yield dealt(some)
+
+    return run
+
+
+def _lined(bounds: np.ndarray):
+    """A unit's links node by node: rows of about PACKED links, each with its first node and its nodes' numbers of links."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b, w = (np.concatenate([np.frombuffer(x, kind) for c in t[name].chunks for x in (v.as_buffer() for v in c)]) for name, kind in (("a", np.int32), ("b", np.int32), ("w", np.int64)))
+        order = np.argsort(a, kind="stable")
+        a, b, w = a[order], b[order], w[order]
+        unit, low = t["unit"][0].as_py(), int(a[0])
+        ends = np.cumsum(np.bincount(a - low))  # a node has a link, so a unit's numbers follow each other
+        at, node, rows = 0, 0, []
+        while node < len(ends):
+            last = max(node + 1, int(np.searchsorted(ends, at + PACKED, "right")))
+            to = int(ends[last - 1])
+            counts = np.diff(ends[node:last], prepend=at).astype(np.int32)
+            rows.append((unit, low, int(bounds[unit + 1]), low + node, counts.tobytes(), b[at:to].tobytes(), w[at:to].tobytes()))
+            at, node = to, last
+        return pa.table(list(zip(*rows, strict=True)), schema=pa.schema([*((c, pa.int64()) for c in ("unit", "low", "high", "first")), *((c, pa.binary()) for c in ("counts", "b", "w"))]))
+
+    return run
+
+
+def _sweep(sent):
+    """node, label of those whose label changes as units go through their nodes in order, each by what was sent: the labels
+    before the round, the newest ones, the nodes that changed since (None: all are looked at), and whether the round begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new, moved, begins = sent.value
+        unit = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["unit"] != unit:
+                    unit, low, high = row["unit"], row["low"], row["high"]
+                    now, again = old.copy(), np.zeros(high - low, bool)
+                    now[:low] = new[:low]
+                counts, b, w = (np.frombuffer(row[c], kind) for c, kind in (("counts", np.int32), ("b", np.int32), ("w", np.int64)))
+                ends = np.cumsum(counts)
+                starts, first = ends - counts, row["first"]
+                # what a node heard last changes with larger ones of the last round, and smaller ones of this; of its unit's it knows
+                if moved is None:
+                    again[:] = True
+                else:
+                    told = moved[b]
+                    told &= b > np.repeat(np.arange(first, first + len(counts), dtype=np.int32), counts) if begins else b < low
+                    again[first - low : first - low + len(counts)] |= np.logical_or.reduceat(told, starts)
+                nodes, labels = [], []
+                for i, at, to in zip(range(first, first + len(counts)), starts.tolist(), ends.tolist(), strict=True):
+                    if not again[i - low]:
+                        now[i] = new[i]
+                        continue
+                    near = b[at:to]
+                    label = now[near]
+                    order = label.argsort()
+                    label = label[order]
+                    cuts = np.concatenate([[0], np.flatnonzero(label[1:] != label[:-1]) + 1])
+                    now[i] = label[cuts[np.add.reduceat(w[at:to][order], cuts).argmax()]]
+                    if now[i] != new[i]:
+                        nodes.append(i)
+                        labels.append(now[i])
+                        again[near[(near > i) & (near < high)] - low] = True
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int32()), pa.array(labels, pa.int32())], ["node", "label"])
+
+    return run
+
+
+def _swept(links: DataFrame, names: pa.Array, degrees: np.ndarray, rounds: int, unit_links: int) -> DataFrame:
+    """k, label, the same as node by node. Nodes are dealt in their order into units of about `unit_links` links, whose tasks
+    go through their nodes one after another. A pass takes all units at once, each by the labels that the pass before
+    found in smaller units, and only nodes that hear something new are looked at again. Passes end where none changes
+    anything: the first unit needs no new label of another, the second only those of the first, and so on.
+    """
+    spark, n, kind = links.sparkSession, len(names), links.schema["a"].dataType
+    before = np.cumsum(degrees) - degrees
+    bounds = np.append(np.flatnonzero(np.diff(before // max(1, unit_links), prepend=-1)), n)
+    named = spark.sparkContext.broadcast(names)
+    packed = links.mapInArrow(_packed(named, bounds[:-1]), "unit long, a binary, b binary, w binary")
+    lines = kept(packed.groupBy("unit").applyInArrow(_lined(bounds), "unit long, low long, high long, first long, counts binary, b binary, w binary"))
+    old, moved = np.arange(n, dtype=np.int32), None
+    for _ in range(rounds):
+        new, begins = old.copy(), True
+        while True:
+            sent = spark.sparkContext.broadcast((old, new, moved, begins))
+            found = lines.mapInArrow(_sweep(sent), "node int, label int").toArrow()
+            sent.destroy()
+            nodes, moved, begins = found["node"].to_numpy(), np.zeros(n, bool), False
+            new[nodes], moved[nodes] = found["label"].to_numpy(), True
+            if not (nodes < bounds[-2]).any():  # nobody hears the last unit's before the next round
+                break
+        moved = old != new
+        old = new
+        if not moved.any():
+            break
+    labels = spark.sparkContext.broadcast(old)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([named.value.take(x) for x in (batch["id"], pa.array(labels.value[batch["id"].to_numpy()]))], ["k", "label"])
+
+    kind = kind.simpleString()
+    return spark.range(n).mapInArrow(told, f"k {kind}, label {kind}")
+
+
 def _whispered(both: DataFrame, rounds: int) -> DataFrame:
     """k, label of parts of any size, the same as node by node: in each round a node reads the new labels of smaller
     neighbours and the old ones of larger ones. Passes over all nodes, each with what the pass before found, end where none
@@ -112,16 +247,10 @@ def _whispered(both: DataFrame, rounds: int) -> DataFrame:
     return state.select("k", F.col("new").alias("label"))
 
 
-def whispers(points: DataFrame, links: DataFrame, least: int, rounds: int = 20, part_links: int = PART_LINKS) -> DataFrame:
-    """k, cluster of every point: label propagation in order of k, the heaviest label of the neighbours, the smallest of equals.
-
-    links: a < b and weight w. Connected parts don't touch each other's labels, so parts of up to `part_links` links are
-    tasks of their own, and larger ones go through joins; clusters of fewer than `least` points are null.
-    """
-    kind = dict(points.dtypes)["k"]
-    importable(points.sparkSession)
-    w = F.round(F.col("w") * STEPS).cast("long").alias("w")
-    links = links.select("a", "b", w)
+def _by_parts(points: DataFrame, links: DataFrame, rounds: int, part_links: int) -> DataFrame:
+    """k, label. Connected parts don't touch each other's labels, so parts of up to `part_links` links are tasks of their
+    own, and larger ones go through joins."""
+    kind = dict(links.dtypes)["a"]
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     part = components(points, links).withColumnRenamed("k", "a")
     both = kept(both.join(part, "a"))
@@ -130,6 +259,26 @@ def whispers(points: DataFrame, links: DataFrame, least: int, rounds: int = 20,
     got = both.join(F.broadcast(large), "component", "left_anti").groupBy("component").applyInPandas(_whispers(rounds), f"k {kind}, label {kind}")
     if large.limit(1).count():
         got = got.union(_whispered(kept(both.join(F.broadcast(large), "component", "left_semi").select("a", "b", "w")), rounds))
+    return got
+
+
+def whispers(points: DataFrame, links: DataFrame, least: int, rounds: int = 20, part_links: int = PART_LINKS, sent: int = SENT) -> DataFrame:
+    """k, cluster of every point: label propagation in order of k, the heaviest label of the neighbours, the smallest of equals.
+
+    links: a < b and weight w, read more than once. Where up to `sent` points have links, their labels are sent to all
+    workers, and units of `part_links` links go through them side by side; more go by connected parts. Clusters of fewer
+    than `least` points are null.
+    """
+    importable(points.sparkSession)
+    w = F.round(F.col("w") * STEPS).cast("long").alias("w")
+    links = links.select("a", "b", w)
+    ends = links.groupBy("a").agg(F.count("*").alias("n")).union(links.groupBy("b").agg(F.count("*").alias("n")))
+    nodes = kept(ends.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("n")))
+    few = nodes.orderBy("k").toArrow() if 0 < nodes.count() <= sent else None
+    if few is not None and few["k"].nbytes <= BYTES:
+        got = _swept(links, few["k"].combine_chunks(), few["n"].to_numpy(), rounds, part_links)
+    else:
+        got = _by_parts(points, links, rounds, part_links)
     got = kept(got)
     big = got.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("label")
     return points.select("k").join(got.join(big, "label", "left_semi"), "k", "left").select("k", F.col("label").alias("cluster"))

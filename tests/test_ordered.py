@@ -122,3 +122,57 @@ def test_whispers_of_large_parts_are_those_of_the_order(spark, kind):
     assert {x.k: x.cluster for x in ordered.whispers(points, links, 2, part_links=0).collect()} == plain and len(set(plain.values())) > 4
     few = {x.k: x.cluster for x in ordered.whispers(points, links, 2, rounds=2).collect()}
     assert {x.k: x.cluster for x in ordered.whispers(points, links, 2, rounds=2, part_links=40).collect()} == few
+
+
+def _in_order(nodes, links, rounds):
+    """Labels node by node in exact sums."""
+    near, label = {}, {}
+    for a, b, w in links:
+        near.setdefault(a, []).append((b, round(w * ordered.STEPS)))
+        near.setdefault(b, []).append((a, round(w * ordered.STEPS)))
+    label = {k: k for k in nodes}
+    for _ in range(rounds):
+        before = dict(label)
+        for k in sorted(near):
+            support = {}
+            for b, w in near[k]:
+                support[label[b]] = support.get(label[b], 0) + w
+            label[k] = min(support, key=lambda x: (-support[x], x))
+        if before == label:
+            break
+    sizes = [label[k] for k in nodes]
+    return {k: label[k] if sizes.count(label[k]) >= 2 else None for k in nodes}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_whispers_in_units_and_by_parts_are_those_of_the_order(spark, kind, monkeypatch):
+    """Sparse and dense links, a hub of more links than a unit and a row, a long chain, nodes with smaller neighbours only."""
+    monkeypatch.setattr(ordered, "PACKED", 16)
+    r = random.Random(5)
+    name = (lambda i: 7 * i - 900) if kind == "long" else lambda i: f"é{i:04}"
+    edges = {tuple(sorted(r.sample(range(150), 2))): r.choice((0.25, 0.5, 1.0)) for _ in range(600)}
+    edges |= {(i, i + 1): 1 - i / 1000 for i in range(200, 215)} | {(300, i): 0.4 for i in range(301, 340)} | {(i, 400): 0.5 for i in range(380, 383)}
+    links = [(name(a), name(b), w) for (a, b), w in edges.items()]
+    nodes = [name(i) for i in range(410)]
+    df = spark.createDataFrame(links, f"a {kind}, b {kind}, w double").repartition(3)
+    points = spark.createDataFrame([(k,) for k in nodes], f"k {kind}")
+    for rounds in (1, 3, 20):
+        want = _in_order(nodes, links, rounds)
+        assert len(set(want.values())) > 4
+        for options in ({}, {"part_links": 30}, {"part_links": 1}, {"part_links": 30, "sent": 0})[: 4 if rounds == 3 and kind == "long" else 2]:
+            assert {x.k: x.cluster for x in ordered.whispers(points, df, 2, rounds, **options).collect()} == want
+
+
+def test_whispers_of_a_large_part_are_no_rounds_of_joins(spark, monkeypatch):
+    """A part of more links than a task takes is settled in units: joins would pass over all links for each step of this chain."""
+    monkeypatch.setattr(ordered, "_whispered", None)
+    monkeypatch.setattr(ordered, "components", None)
+    links = spark.range(40).selectExpr("id a", "id + 1 b", "1 - id / 1000 w")
+    got = ordered.whispers(spark.range(42).selectExpr("id k"), links, 2, part_links=20).collect()
+    want = _in_order(range(42), [(r.a, r.b, r.w) for r in links.collect()], 20)
+    assert {x.k: x.cluster for x in got} == want
+
+
+def test_whispers_without_links(spark):
+    links = spark.createDataFrame([], "a long, b long, w double")
+    assert [tuple(r) for r in ordered.whispers(spark.range(1).selectExpr("id k"), links, 1).collect()] == [(0, None)]
