@@ -125,44 +125,46 @@ def _packed(sent, bounds: np.ndarray):
     return run
 
 
-def _lined(bounds: np.ndarray):
-    """A unit's links node by node: rows of about PACKED links, each with its first node and its nodes' numbers of links."""
+def _lined(spans: np.ndarray):
+    """A unit's links node by node: rows of about PACKED links, each with the span of units that it is in, its first node and
+    its nodes' numbers of links."""
 
     def run(t: pa.Table) -> pa.Table:
         a, b, w = (np.concatenate([np.frombuffer(x, kind) for c in t[name].chunks for x in (v.as_buffer() for v in c)]) for name, kind in (("a", np.int32), ("b", np.int32), ("w", np.int64)))
         order = np.argsort(a, kind="stable")
         a, b, w = a[order], b[order], w[order]
-        unit, low = t["unit"][0].as_py(), int(a[0])
+        low = int(a[0])
+        span = int(np.searchsorted(spans, low, "right")) - 1
         ends = np.cumsum(np.bincount(a - low))  # a node has a link, so a unit's numbers follow each other
         at, node, rows = 0, 0, []
         while node < len(ends):
             last = max(node + 1, int(np.searchsorted(ends, at + PACKED, "right")))
             to = int(ends[last - 1])
             counts = np.diff(ends[node:last], prepend=at).astype(np.int32)
-            rows.append((unit, low, int(bounds[unit + 1]), low + node, counts.tobytes(), b[at:to].tobytes(), w[at:to].tobytes()))
+            rows.append((span, int(spans[span]), int(spans[span + 1]), low + node, counts.tobytes(), b[at:to].tobytes(), w[at:to].tobytes()))
             at, node = to, last
-        return pa.table(list(zip(*rows, strict=True)), schema=pa.schema([*((c, pa.int64()) for c in ("unit", "low", "high", "first")), *((c, pa.binary()) for c in ("counts", "b", "w"))]))
+        return pa.table(list(zip(*rows, strict=True)), schema=pa.schema([*((c, pa.int64()) for c in ("span", "low", "high", "first")), *((c, pa.binary()) for c in ("counts", "b", "w"))]))
 
     return run
 
 
 def _sweep(sent):
-    """node, label of those whose label changes as units go through their nodes in order, each by what was sent: the labels
+    """node, label of those whose label changes as spans go through their nodes in order, each by what was sent: the labels
     before the round, the newest ones, the nodes that changed since (None: all are looked at), and whether the round begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, new, moved, begins = sent.value
-        unit = None
+        span = None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["unit"] != unit:
-                    unit, low, high = row["unit"], row["low"], row["high"]
+                if row["span"] != span:
+                    span, low, high = row["span"], row["low"], row["high"]
                     now, again = old.copy(), np.zeros(high - low, bool)
                     now[:low] = new[:low]
                 counts, b, w = (np.frombuffer(row[c], kind) for c, kind in (("counts", np.int32), ("b", np.int32), ("w", np.int64)))
                 ends = np.cumsum(counts)
                 starts, first = ends - counts, row["first"]
-                # what a node heard last changes with larger ones of the last round, and smaller ones of this; of its unit's it knows
+                # what a node heard last changes with larger ones of the last round, and smaller ones of this; of its span's it knows
                 if moved is None:
                     again[:] = True
                 else:
@@ -190,17 +192,24 @@ def _sweep(sent):
 
 
 def _swept(links: DataFrame, names: pa.Array, degrees: np.ndarray, rounds: int, unit_links: int) -> DataFrame:
-    """k, label, the same as node by node. Nodes are dealt in their order into units of about `unit_links` links, whose tasks
-    go through their nodes one after another. A pass takes all units at once, each by the labels that the pass before
-    found in smaller units, and only nodes that hear something new are looked at again. Passes end where none changes
-    anything: the first unit needs no new label of another, the second only those of the first, and so on.
+    """k, label, the same as node by node. Nodes are dealt in their order into units of about `unit_links` links, which are
+    sorted, and these into spans of units, a few for each core, whose tasks read them row by row and go through their
+    nodes one after another. A pass takes all spans at once, each by the labels that the pass before found in smaller
+    ones, and only nodes that hear something new are looked at again. Passes end where none changes anything: the first
+    span needs no new label of another, the second only those of the first, and so on.
     """
     spark, n, kind = links.sparkSession, len(names), links.schema["a"].dataType
     before = np.cumsum(degrees) - degrees
     bounds = np.append(np.flatnonzero(np.diff(before // max(1, unit_links), prepend=-1)), n)
+    many = 2 * spark.sparkContext.defaultParallelism
+    step = -(-(len(bounds) - 1) // many)
+    spans = np.append(bounds[:-1:step], n)
     named = spark.sparkContext.broadcast(names)
     packed = links.mapInArrow(_packed(named, bounds[:-1]), "unit long, a binary, b binary, w binary")
-    lines = kept(packed.groupBy("unit").applyInArrow(_lined(bounds), "unit long, low long, high long, first long, counts binary, b binary, w binary"))
+    lines = packed.groupBy("unit").applyInArrow(_lined(spans), "span long, low long, high long, first long, counts binary, b binary, w binary")
+    if step > 1:  # by a hash, so more parts are asked for than there are spans, and most spans get their own
+        lines = lines.repartition(8 * many, "span").sortWithinPartitions("span", "first")
+    lines = kept(lines)
     old, moved = np.arange(n, dtype=np.int32), None
     for _ in range(rounds):
         new, begins = old.copy(), True
@@ -210,7 +219,7 @@ def _swept(links: DataFrame, names: pa.Array, degrees: np.ndarray, rounds: int,
             sent.destroy()
             nodes, moved, begins = found["node"].to_numpy(), np.zeros(n, bool), False
             new[nodes], moved[nodes] = found["label"].to_numpy(), True
-            if not (nodes < bounds[-2]).any():  # nobody hears the last unit's before the next round
+            if not (nodes < spans[-2]).any():  # nobody hears the last span's before the next round
                 break
         moved = old != new
         old = new
